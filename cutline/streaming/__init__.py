@@ -1,0 +1 @@
+"""Every run is a bounded batch: there is no streaming operator to provide."""
