@@ -1,0 +1,5 @@
+"""Registered queries over the given tables, each with an equivalent SQL check."""
+
+from bindings import matching, parsing, web
+
+MODULES = (matching, parsing, web)

@@ -47,15 +47,22 @@ def alias_targets(aliases: DataFrame) -> DataFrame:
 
 
 def fleet_lookup(index: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``(brand, name_key, fleet, via_alias)``: direct series win; an alias to an absent series is no match."""
-    direct = index.select("brand", F.col("series_key").alias("name_key"), F.col("count").alias("fleet"))
-    by_alias = (
-        alias_targets(aliases)
-        .join(index, ["brand", "series_key"])
-        .select("brand", "name_key", F.col("count").alias("fleet"))
-        .join(direct.select("brand", "name_key"), ["brand", "name_key"], "left_anti")
+    """``(brand, name_key, fleet, via_alias)``: direct series win; an alias to an absent series is no match.
+
+    One pass over the index: every series answers to its own key and, one rank lower, to the
+    keys of its aliases; the best rank per key is kept.
+    """
+    answers = F.array(
+        F.struct(F.col("series_key").alias("name_key"), F.lit(0).alias("rank")),
+        F.struct("name_key", F.lit(1).alias("rank")),
+    )
+    return (
+        index.join(alias_targets(aliases), ["brand", "series_key"], "left")
+        .select("brand", "count", F.explode(answers).alias("answer"))
+        .where(F.col("answer.name_key").isNotNull())
+        .groupBy("brand", F.col("answer.name_key").alias("name_key"))
+        .agg(F.min_by("count", "answer.rank").alias("fleet"), (F.min("answer.rank") == 1).alias("via_alias"))
     )
-    return direct.withColumn("via_alias", F.lit(False)).unionByName(by_alias.withColumn("via_alias", F.lit(True)))
 
 
 def attach_fleet(

@@ -18,23 +18,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cutline import fixed_values as fv
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
 
 
-PARSED = _struct(
+def struct_of(columns: str) -> T.StructType:
+    """Flat schema from ``name type, ...``; unlike Spark's own parser it needs no session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[type_]) for name, type_ in pairs])
+
+
+PARSED = struct_of(
     "model_name string, variant string, body_type string, build_year_from int, build_year_to int, "
     "doors int, fuel_type string, language_code string, parse_confidence string"
 )
 
-PAGES = _struct("url string, html string")
-FEEDS = _struct("url string, json string")
-FETCH_LOG = _struct(
+PAGES = struct_of("url string, html string")
+FEEDS = struct_of("url string, json string")
+FETCH_LOG = struct_of(
     "url string, http_status int, reason string, content_type string, error string, "
     "timed_out boolean, fetched_at timestamp"
 )
-PDF_PAGES = _struct("source_doc string, page_no int, text string")
-SHEET_CELLS = _struct(
+PDF_PAGES = struct_of("source_doc string, page_no int, text string")
+SHEET_CELLS = struct_of(
     "book string, year int, sheet string, sheet_pos int, row_no int, col_no int, cell_type string, value string"
 )
 
@@ -44,11 +57,11 @@ ENTRIES = (
     .add("source_page_url", T.StringType())
     .add("download_url", T.StringType())
     .add("raw_label", T.StringType())
-    .add("entry_pos", _struct("page int, link int"))
+    .add("entry_pos", struct_of("page int, link int"))
     .add("parsed", PARSED)
 )
 
-CARDS = _struct(
+CARDS = struct_of(
     "id string, brand string, model_name string, variant string, body_type string, build_year_from int, "
     "build_year_to int, doors int, fuel_type string, language_code string, status string, "
     "source_page_url string, download_url string, failure_reason string, parse_confidence string, "
@@ -56,20 +69,20 @@ CARDS = _struct(
     "sibling_model_ids array<string>, estimated_fleet_size int, bundle_priority string"
 )
 
-STOCK = _struct("year int, row_no int, segment string, brand_label string, model_series string, count int")
-STOCK_WARNINGS = _struct("year int, row_no int, warning string")
-STOCK_META = _struct(
+STOCK = struct_of("year int, row_no int, segment string, brand_label string, model_series string, count int")
+STOCK_WARNINGS = struct_of("year int, row_no int, warning string")
+STOCK_META = struct_of(
     "year int, reference_date date, source_url string, license string, fetched_at_utc timestamp, "
     "row_count bigint, warning_count bigint"
 )
 
-ALIASES = _struct("pos int, brand string, model_name string, model_series string")
-SIBLINGS = _struct("group_pos int, group_id string, platform_name string, brand string, model_name string")
-REPORT = _struct(
+ALIASES = struct_of("pos int, brand string, model_name string, model_series string")
+SIBLINGS = struct_of("group_pos int, group_id string, platform_name string, brand string, model_name string")
+REPORT = struct_of(
     "brand string, model_name string, card_count bigint, not_downloaded_count bigint, "
     "estimated_fleet_size int, bundle_priority string"
 )
-BRAND_RUNS = _struct("brand string, outcome string, note string")
+BRAND_RUNS = struct_of("brand string, outcome string, note string")
 
 
 def literal_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType) -> DataFrame:
@@ -85,17 +98,17 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def brand_dim(spark: SparkSession) -> DataFrame:
-    return literal_frame(spark, [(b, i) for i, b in enumerate(fv.BRANDS)], _struct("brand string, ordinal int"))
+    return literal_frame(spark, [(b, i) for i, b in enumerate(fv.BRANDS)], struct_of("brand string, ordinal int"))
 
 
 def priority_dim(spark: SparkSession) -> DataFrame:
     return literal_frame(
-        spark, [(p, i) for i, p in enumerate(fv.PRIORITIES)], _struct("bundle_priority string, ordinal int")
+        spark, [(p, i) for i, p in enumerate(fv.PRIORITIES)], struct_of("bundle_priority string, ordinal int")
     )
 
 
 def brand_labels(spark: SparkSession) -> DataFrame:
-    return literal_frame(spark, fv.BRAND_LABELS, _struct("brand string, label string"))
+    return literal_frame(spark, fv.BRAND_LABELS, struct_of("brand string, label string"))
 
 
 def bundled_aliases(spark: SparkSession) -> DataFrame:
@@ -112,4 +125,4 @@ def bundled_siblings(spark: SparkSession) -> DataFrame:
 
 
 def unknown_baselines(spark: SparkSession) -> DataFrame:
-    return literal_frame(spark, fv.UNKNOWN_BASELINES, _struct("brand string, baseline int"))
+    return literal_frame(spark, fv.UNKNOWN_BASELINES, struct_of("brand string, baseline int"))

@@ -18,7 +18,7 @@ from cutline import schemas
 from cutline.functions.names import slug
 from cutline.sources.config import canonical
 
-_VERSIONS = T.StructType.fromDDL("version bigint, path string")
+_VERSIONS = schemas.struct_of("version bigint, path string")
 _TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 _ENUMS = {
     "brand": fv.BRANDS,
@@ -130,7 +130,7 @@ def read_card_sidecars(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        corrupt = T.StructType.fromDDL("file string, content string")
+        corrupt = schemas.struct_of("file string, content string")
         return schemas.empty_frame(spark, schemas.CARDS), schemas.empty_frame(spark, corrupt)
     columns = [
         (canonical(F.col(camel(c)), _ENUMS[c]) if c in _ENUMS else F.col(camel(c))).alias(c)
