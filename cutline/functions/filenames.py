@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.functions.names import trim_ws
-from cutline.functions.text import YEAR
+from cutline.functions.binding import bind
+from cutline.functions.text import WS, YEAR
 
 _MIN_TOKENS = 7
 _YEARS = rf"\A({YEAR})(?:-({YEAR}))?\z"
@@ -36,7 +36,9 @@ def audi_tokens(c: Column) -> Column:
 
 
 def _split_tokens(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "_"), trim_ws), lambda t: t != "")
+    # One pass removes white space around separators and at both ends.
+    trimmed = F.regexp_replace(c, rf"{WS}*_{WS}*|\A{WS}+|{WS}+\z", "_")
+    return F.array_remove(F.split(trimmed, "_"), "")
 
 
 def parse_tokens(t: Column) -> Column:
@@ -79,9 +81,5 @@ def parse_tokens(t: Column) -> Column:
 
 
 def with_parsed_name(df: DataFrame, name_col: str, tokenizer=tokens, out: str = "parsed") -> DataFrame:
-    """Add the parsed struct; the token array is computed once per row in its own projection."""
-    return (
-        df.withColumn("_tokens", tokenizer(F.col(name_col)))
-        .withColumn(out, parse_tokens(F.col("_tokens")))
-        .drop("_tokens")
-    )
+    """Add the parsed struct; the token array is computed once per row."""
+    return bind(df, _tokens=tokenizer(F.col(name_col))).withColumn(out, parse_tokens(F.col("_tokens"))).drop("_tokens")

@@ -14,6 +14,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cutline.functions.binding import let
 from cutline.functions.names import trim_ws
 
 _TAG_REST = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
@@ -22,10 +23,10 @@ _ENTITY = r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+
 
 
 @lru_cache(maxsize=None)
-def _named_entities() -> tuple[tuple[str, str], ...]:
-    named = {f"&{name};": chr(code) for name, code in name2codepoint.items()}
-    named["&apos;"] = "'"
-    return tuple(sorted(named.items()))
+def _named_entities() -> str:
+    """``name<TAB>character`` lines; one short literal keeps plans small."""
+    named = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    return "\n".join(f"&{name};\t{char}" for name, char in sorted(named.items()))
 
 
 @lru_cache(maxsize=None)
@@ -38,7 +39,7 @@ def _windows_controls() -> tuple[str, str]:
 
 def decode_entities(c: Column) -> Column:
     """Replace character references; text without an ampersand passes untouched."""
-    named = F.create_map(*[F.lit(x) for pair in _named_entities() for x in pair])
+    named = F.str_to_map(F.lit(_named_entities()), F.lit("\n"), F.lit("\t"))
 
     def char_of(code: Column) -> Column:
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
@@ -59,8 +60,7 @@ def decode_entities(c: Column) -> Column:
         pieces = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
         return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 
-    # The one-element transform binds the text to a name, so it is evaluated once.
-    return F.element_at(F.transform(F.array(c), decode_text), 1)
+    return let(c, decode_text)
 
 
 def visible_markup(html: Column) -> Column:
@@ -76,8 +76,11 @@ def attribute(tag: Column, name: str) -> Column:
         rf"(?is)\A<[a-z][^\s/>]*+(?:[\s/]++(?!{wanted}[\s=/>])[^\s=>/]++(?:\s*+=\s*+{value})?+)*+"
         rf"[\s/]++{wanted}\s*+=\s*+({value})"
     )
-    raw = F.nullif(F.regexp_extract(tag, pattern, 1), F.lit(""))
-    return decode_entities(F.regexp_replace(raw, r"""\A["']|["']\z""", ""))
+
+    def unquote(raw: Column) -> Column:
+        return F.when(raw != "", decode_entities(F.regexp_replace(raw, r"""\A["']|["']\z""", "")))
+
+    return let(F.regexp_extract(tag, pattern, 1), unquote)
 
 
 def has_class(tag: Column, css_class: str) -> Column:
@@ -125,19 +128,29 @@ def _first_element(piece: Column, element: str) -> Column:
     return F.array_join(F.slice(steps, F.lit(1), F.greatest(kept, F.lit(1))), "")
 
 
-def anchors(markup: Column) -> Column:
-    """``array<struct<href, tag, inner>>`` of all anchors, in document order.
+ANCHOR = r"<a(?=[\s/>])"
+
+
+def anchor_tag(piece: Column) -> Column:
+    """Opening tag of a piece of markup that starts with an anchor."""
+    return F.regexp_extract(piece, rf"(?is)\A{ANCHOR}{_TAG_REST}", 0)
+
 
-    An anchor's content ends at its closing tag or, left open, at the next anchor.
-    """
-    opening = rf"<a(?=[\s/>]){_TAG_REST}"
+def anchor_inner(piece: Column, tag: Column) -> Column:
+    """Content of an anchor: up to its closing tag or, left open, up to the next anchor."""
+    return F.regexp_replace(F.substr(piece, F.length(tag) + 1), r"(?is)</a\b.*", "")
+
+
+def anchors(markup: Column) -> Column:
+    """``array<struct<href, inner>>`` of all anchors, in document order."""
 
     def describe(piece: Column) -> Column:
-        tag = F.regexp_extract(piece, rf"(?is)\A{opening}", 0)
-        inner = F.regexp_replace(F.substr(piece, F.length(tag) + 1), r"(?is)</a\b.*", "")
-        return F.struct(attribute(tag, "href").alias("href"), tag.alias("tag"), inner.alias("inner"))
+        return let(
+            anchor_tag(piece),
+            lambda tag: F.struct(attribute(tag, "href").alias("href"), anchor_inner(piece, tag).alias("inner")),
+        )
 
-    return F.transform(pieces_from(markup, r"<a(?=[\s/>])"), describe)
+    return F.transform(pieces_from(markup, ANCHOR), describe)
 
 
 def anchor_text(inner: Column) -> Column:
@@ -148,6 +161,10 @@ def labelled_text(markup: Column, css_class: str) -> Column:
     """Trimmed text of the first element carrying a class, NULL when there is none."""
     pattern = (
         rf"""(?is)<([a-z][a-z0-9\-]*+)\s[^>]*?\bclass\s*=\s*["'](?:[^"']*\s)?{re.escape(css_class)}"""
-        rf"""(?:\s[^"']*)?["'][^>]*+>(.*?)</\1\s*+>"""
+        rf"""(?:\s[^"']*)?["'][^>]*+(>.*?)</\1\s*+>"""
+    )
+    # The captured text starts with the end of the tag, so an empty capture means no element.
+    return let(
+        F.regexp_extract(markup, pattern, 2),
+        lambda found: F.when(found != "", trim_ws(text_content(F.substr(found, F.lit(2))))),
     )
-    return F.when(markup.rlike(pattern), trim_ws(text_content(F.regexp_extract(markup, pattern, 2))))

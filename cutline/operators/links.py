@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
 from cutline.functions import html as H
+from cutline.functions.binding import bind
 from cutline.functions.names import not_blank, trim_ws
 from cutline.functions.urls import resolve_url
 
@@ -27,18 +28,20 @@ def extract_links(
     href and the opening tag and return a condition.  Blank hrefs are dropped.
     """
     keep = [c for c in pages.columns if c != "html"]
-    wanted = not_blank(F.col("link.href"))
+    pieces = H.pieces_from(H.visible_markup(F.col("html")), H.ANCHOR)
+    found = pages.select(*keep, F.posexplode(pieces).alias("pos", "piece"))
+    found = bind(bind(found, tag=H.anchor_tag(F.col("piece"))), href=H.attribute(F.col("tag"), "href"))
+    wanted = not_blank(F.col("href"))
     if suffix is not None:
-        wanted &= F.col("link.href").endswith(suffix)
+        wanted &= F.col("href").endswith(suffix)
     if href_test is not None:
-        wanted &= href_test(F.col("link.href"))
+        wanted &= href_test(F.col("href"))
     if tag_test is not None:
-        wanted &= tag_test(F.col("link.tag"))
-    columns = [F.col("pos"), F.col("link.href").alias("href")]
+        wanted &= tag_test(F.col("tag"))
+    columns = [*keep, "pos", "href"]
     if with_text:
-        columns.append(H.anchor_text(F.col("link.inner")).alias("text"))
-    exploded = pages.select(*keep, F.posexplode(H.anchors(H.visible_markup(F.col("html")))).alias("pos", "link"))
-    return exploded.where(wanted).select(*keep, *columns)
+        columns.append(H.anchor_text(H.anchor_inner(F.col("piece"), F.col("tag"))).alias("text"))
+    return found.where(wanted).select(*columns)
 
 
 def lower_json_keys(c: Column) -> Column:
@@ -49,31 +52,23 @@ def lower_json_keys(c: Column) -> Column:
     )
 
 
-def parse_json(c: Column, ddl: str) -> Column:
-    """Strictly parsed JSON with case-insensitive member names; malformed text gives NULL.
+def with_json(df: DataFrame, raw: Column, ddl: str, out: str) -> DataFrame:
+    """Add strictly parsed JSON; rows whose text is missing or malformed are dropped.
 
-    ``ddl`` lists the top-level fields in lower case.  Reference the result through one
-    materialised column.
+    Member names match in any case: ``ddl`` lists the fields in lower case.
     """
-    options = {
-        "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": _CORRUPT,
-        "allowSingleQuotes": "false",
-    }
-    parsed = F.from_json(lower_json_keys(c), f"{ddl}, {_CORRUPT} string", options)
-    return F.when(parsed[_CORRUPT].isNull(), parsed)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
+    read = bind(df, **{out: F.from_json(lower_json_keys(raw), f"{ddl}, {_CORRUPT} string", options)})
+    return read.where(F.col(out).isNotNull() & F.col(f"{out}.{_CORRUPT}").isNull())
 
 
 def extract_data_props(pages: DataFrame, module: str, ddl: str) -> DataFrame:
     """``(page columns except html, module_pos, props)``: parsed ``data-props`` of every
     ``div[data-module=module]``; modules with missing or malformed JSON give no row."""
     keep = [c for c in pages.columns if c != "html"]
-    return (
-        pages.select(*keep, F.posexplode(H.opening_tags(F.col("html"), "div")).alias("module_pos", "tag"))
-        .where(H.attribute(F.col("tag"), "data-module") == module)
-        .select(*keep, "module_pos", parse_json(H.attribute(F.col("tag"), "data-props"), ddl).alias("props"))
-        .where(F.col("props").isNotNull())
-    )
+    tags = pages.select(*keep, F.posexplode(H.opening_tags(F.col("html"), "div")).alias("module_pos", "tag"))
+    modules = bind(tags.where(H.attribute(F.col("tag"), "data-module") == module), raw=H.attribute(F.col("tag"), "data-props"))
+    return with_json(modules, F.col("raw"), ddl, "props").select(*keep, "module_pos", "props")
 
 
 def extract_template_links(pages: DataFrame, prefix: str = fv.COMBINED_PREFIX) -> DataFrame:
@@ -83,25 +78,22 @@ def extract_template_links(pages: DataFrame, prefix: str = fv.COMBINED_PREFIX) -
     template = F.regexp_extract(F.regexp_replace(F.col("html"), r"(?s)<!--.*?-->", ""), _TEMPLATE, 1)
     lists = H.opening_tags(template, "link-list")
     items = "items array<struct<link:struct<href:string,text:string>>>"
+    tags = pages.select(*keep, F.posexplode(lists).alias("list_pos", "tag"))
+    raw = bind(tags, raw=H.attribute(F.col("tag"), ":items")).where(not_blank(F.col("raw")))
     as_object = F.concat(F.lit('{"items":'), F.replace(F.col("raw"), F.lit("'"), F.lit('"')), F.lit("}"))
-    return (
-        pages.select(*keep, F.posexplode(lists).alias("list_pos", "tag"))
-        .select(*keep, "list_pos", H.attribute(F.col("tag"), ":items").alias("raw"))
-        .where(not_blank(F.col("raw")))
-        .select(*keep, "list_pos", parse_json(as_object, items).alias("parsed"))
-        .where(F.col("parsed").isNotNull())
-        .select(*keep, "list_pos", F.posexplode("parsed.items").alias("item_pos", "item"))
-        .select(
-            *keep,
-            (F.col("list_pos") * 1_000_000 + F.col("item_pos")).alias("pos"),
-            F.col("item.link.href").alias("href"),
-            trim_ws(F.col("item.link.text")).alias("text"),
-        )
-        .where(
-            not_blank(F.col("href"))
-            & not_blank(F.col("text"))
-            & F.lower("text").startswith(prefix.lower())
-        )
+    found = with_json(raw, as_object, items, "parsed").select(
+        *keep, "list_pos", F.posexplode("parsed.items").alias("item_pos", "item")
+    )
+    named = bind(found, text=trim_ws(F.col("item.link.text")))
+    return named.where(
+        not_blank(F.col("item.link.href"))
+        & not_blank(F.col("text"))
+        & F.lower("text").startswith(prefix.lower())
+    ).select(
+        *keep,
+        (F.col("list_pos") * 1_000_000 + F.col("item_pos")).alias("pos"),
+        F.col("item.link.href").alias("href"),
+        "text",
     )
 
 
@@ -141,4 +133,4 @@ def pick_publication(pages: DataFrame, year: int, host: str = fv.STOCK_HOST) ->
 
 
 def with_absolute_url(links: DataFrame, base: str = "url", href: str = "href") -> DataFrame:
-    return links.withColumn("download_url", resolve_url(F.col(base), F.col(href)))
+    return bind(links, download_url=resolve_url(F.col(base), F.col(href)))

@@ -10,18 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
+from cutline.functions.binding import bind
 from cutline.functions.names import card_id, card_path
 from cutline.functions.text import header_text, page_doc_id, parse_header
 
 
 def identified_pages(pdf_pages: DataFrame) -> DataFrame:
     """``(source_doc, page_no, doc_id, header)``: pages carrying a document id; others are dropped."""
-    return pdf_pages.select(
-        "source_doc",
-        "page_no",
-        page_doc_id(F.col("text")).alias("doc_id"),
-        header_text(F.col("text")).alias("header"),
-    ).where(F.col("doc_id").isNotNull())
+    identified = bind(pdf_pages, doc_id=page_doc_id(F.col("text"))).where(F.col("doc_id").isNotNull())
+    return identified.select("source_doc", "page_no", "doc_id", header_text(F.col("text")).alias("header"))
 
 
 def page_manifest(pdf_pages: DataFrame) -> DataFrame:

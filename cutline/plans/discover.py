@@ -19,6 +19,7 @@ from cutline import fixed_values as fv
 from cutline import schemas
 from cutline.functions import html as H
 from cutline.functions import text as X
+from cutline.functions.binding import bind
 from cutline.functions.filenames import audi_tokens, tokens, with_parsed_name
 from cutline.functions.names import not_blank, trim_ws
 from cutline.functions.urls import resolve_url, url_file_name, url_file_stem
@@ -28,8 +29,8 @@ from cutline.operators.links import (
     extract_links,
     extract_template_links,
     follow,
-    parse_json,
     with_absolute_url,
+    with_json,
 )
 from cutline.session import broadcast_if_small, checkpointed
 
@@ -83,14 +84,14 @@ def discover_cupra(pages: DataFrame) -> DataFrame:
 def discover_vw(feeds: DataFrame) -> DataFrame:
     """Files of the first German language bucket of a JSON feed; an incomplete feed gives no rows."""
     ddl = "config struct<base_url:string>, languages array<struct<name:string,files:array<string>>>"
-    feed = feeds.select("url", parse_json(F.col("json"), ddl).alias("feed")).where(F.col("feed").isNotNull())
+    feed = with_json(feeds, F.col("json"), ddl, "feed")
 
     def is_german(bucket: Column) -> Column:
         return F.contains(F.upper(F.coalesce(bucket["name"], F.lit(""))), F.lit(fv.GERMAN_BUCKET_MARK))
 
     bucket = F.try_element_at(F.filter(F.col("feed.languages"), is_german), F.lit(1))
     files = (
-        feed.select("url", F.col("feed.config.base_url").alias("base_url"), bucket.alias("bucket"))
+        bind(feed, base_url=F.col("feed.config.base_url"), bucket=bucket)
         .where(F.length("base_url") > 0)
         .select("url", "base_url", F.col("bucket.name").alias("bucket"), F.posexplode("bucket.files").alias("pos", "file"))
     )
@@ -102,11 +103,8 @@ def discover_vw(feeds: DataFrame) -> DataFrame:
 def discover_lamborghini(pages: DataFrame) -> DataFrame:
     """Model name is what stands before the phrase in the file name; other documents fall out."""
     links = with_absolute_url(extract_links(pages, with_text=False))
-    named = (
-        links.withColumn("stem", url_file_stem(F.col("download_url")))
-        .where(X.has_rescue_sheet_name(F.col("stem")))
-        .withColumn("name", X.name_before_sheet(F.col("stem")))
-    )
+    stems = bind(links, stem=url_file_stem(F.col("download_url"))).where(X.has_rescue_sheet_name(F.col("stem")))
+    named = bind(stems, name=X.name_before_sheet(F.col("stem")))
     parsed = _parsed(
         model_name=F.col("name"), language_code=F.lit(fv.ENGLISH), parse_confidence=F.lit("High")
     )
@@ -139,23 +137,20 @@ def discover_bentley(pages: DataFrame) -> DataFrame:
 
     def labelled(anchor: Column) -> Column:
         label = H.labelled_text(anchor["inner"], fv.BENTLEY_LABEL_CLASS)
-        german = F.coalesce(F.upper(label) == fv.GERMAN_BUTTON_LABEL, F.lit(False))
+        german = F.coalesce(F.upper(label) == fv.GERMAN_BUTTON_LABEL, F.lit(False))  # no label is another label
         return F.struct(anchor["href"].alias("href"), german.alias("german"))
 
     documents = F.filter(
         F.transform(H.anchors(F.col("item")), labelled), lambda a: not_blank(a["href"]) & a["href"].endswith(".pdf")
     )
-    heading = H.labelled_text(F.col("item"), fv.BENTLEY_TITLE_CLASS)
-    headed = (
-        items.withColumn("heading", heading)
-        .where(not_blank(F.col("heading")))
-        .withColumn("years", X.year_range(F.col("heading")))
-        .where(F.col("years.from").isNotNull() | F.col("years.to").isNotNull())
-        .withColumn("links", documents)
-        .withColumn("href", F.try_element_at(F.filter("links", lambda a: a["german"]), F.lit(1))["href"])
-        .where(not_blank(F.col("href")))
-        .where(~F.exists("links", lambda a: (a["href"] == F.col("href")) & ~a["german"]))
-        .withColumn("download_url", resolve_url(F.col("url"), F.col("href")))
+    headed = bind(items, heading=H.labelled_text(F.col("item"), fv.BENTLEY_TITLE_CLASS)).where(not_blank(F.col("heading")))
+    dated = bind(headed, years=X.year_range(F.col("heading"))).where(
+        F.col("years.from").isNotNull() | F.col("years.to").isNotNull()
+    )
+    linked = bind(dated, links=documents)
+    picked = bind(linked, href=F.try_element_at(F.filter("links", lambda a: a["german"]), F.lit(1))["href"])
+    trusted = picked.where(not_blank(F.col("href"))).where(
+        ~F.exists("links", lambda a: (a["href"] == F.col("href")) & ~a["german"])
     )
     parsed = _parsed(
         model_name=X.strip_parens(F.col("heading")),
@@ -166,7 +161,7 @@ def discover_bentley(pages: DataFrame) -> DataFrame:
         language_code=F.lit(fv.GERMAN),
         parse_confidence=F.lit("Heuristic"),
     )
-    return _entries(headed, "Bentley", F.col("url"), F.col("heading"), F.lit(0), F.col("pos"), parsed)
+    return _entries(with_absolute_url(trusted), "Bentley", F.col("url"), F.col("heading"), F.lit(0), F.col("pos"), parsed)
 
 
 def seat_model_pages(overview: DataFrame) -> DataFrame:
@@ -233,29 +228,35 @@ def discover_skoda(overview: DataFrame, pages: DataFrame) -> DataFrame:
     """
     links = broadcast_if_small(skoda_model_links(overview))
     linked = pages.join(links.select(F.col("page_url").alias("url")), "url", "left_semi")
-    files = (
-        extract_data_props(
-            linked, fv.SKODA_MODEL_MODULE, "viewmodel struct<files:array<struct<title:string,link:string>>>"
-        )
-        .select(F.col("url").alias("page_url"), "module_pos", F.posexplode("props.viewmodel.files").alias("file_pos", "file"))
-        .where(not_blank(F.col("file.link")))
-        .select(
-            "page_url",
-            (F.col("module_pos") * 10_000 + F.col("file_pos")).alias("pos"),
-            trim_ws(F.col("file.title")).alias("title"),
-            resolve_url(F.col("page_url"), F.col("file.link")).alias("download_url"),
-        )
-        .withColumn("years", X.year_range(F.col("title")))
+    modules = extract_data_props(
+        linked, fv.SKODA_MODEL_MODULE, "viewmodel struct<files:array<struct<title:string,link:string>>>"
+    )
+    found = modules.select(
+        F.col("url").alias("page_url"), "module_pos", F.posexplode("props.viewmodel.files").alias("file_pos", "file")
+    ).where(not_blank(F.col("file.link")))
+    titled = bind(
+        found,
+        title=trim_ws(F.col("file.title")),
+        download_url=resolve_url(F.col("page_url"), F.col("file.link")),
+        pos=F.col("module_pos") * 10_000 + F.col("file_pos"),
     )
+    title = F.col("title")
+    files = bind(
+        titled,
+        years=X.year_range(title),
+        body_type=X.last_vocab(title, fv.SKODA_BODY_TYPES),
+        doors=X.doors(title),
+        fuel_type=X.fuel_type(title),
+    ).drop("file", "module_pos", "file_pos")
     no_year = F.col("years.from").isNull() & F.col("years.to").isNull()
     parsed = _parsed(
         model_name=F.col("model_name"),
-        variant=F.col("title"),
-        body_type=X.last_vocab(F.col("title"), fv.SKODA_BODY_TYPES),
+        variant=title,
+        body_type=F.col("body_type"),
         build_year_from=F.col("years.from"),
         build_year_to=F.col("years.to"),
-        doors=X.doors(F.col("title")),
-        fuel_type=X.fuel_type(F.col("title")),
+        doors=F.col("doors"),
+        fuel_type=F.col("fuel_type"),
         language_code=F.lit(fv.GERMAN),
         parse_confidence=F.when(no_year, "Unparsed").otherwise("Heuristic"),
     )

@@ -39,9 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Broadcast a join side after counting that it stays under ``max_rows``.
 
-    For sides Spark cannot size itself, such as rows exploded out of one page.  A larger
-    side is returned as it is and joins by shuffle.
+    For sides Spark cannot size itself, such as rows exploded out of one page.  The side is
+    checkpointed first, so neither the count nor the joins extract it again.  A larger side
+    joins by shuffle.
     """
-    if df.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
-        return df
-    return F.broadcast(df)
+    kept = checkpointed(df)
+    if kept.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
+        return kept
+    return F.broadcast(kept)

@@ -111,7 +111,7 @@ def _sidecar_schema() -> T.StructType:
     return T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
 
 
-def read_card_sidecars(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_card_sidecars(spark: SparkSession, root: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """``(cards, corrupt)`` of a tree of one-card JSON files.
 
     Names starting with an underscore (manifests) are skipped. An unreadable file, or one with
@@ -124,7 +124,7 @@ def read_card_sidecars(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", _CORRUPT)
             .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json")
+            .option("pathGlobFilter", names)
             .json(root)
         )
     except AnalysisException as error:

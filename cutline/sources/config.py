@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
 from cutline import schemas
-from cutline.operators.links import parse_json
+from cutline.operators.links import with_json
 
 _ALIASES = "aliases array<struct<brand:string,modelname:string,kbamodelseries:string>>"
 _GROUPS = (
@@ -35,9 +35,10 @@ def _read_document(spark: SparkSession, path: str, ddl: str) -> DataFrame | None
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    parsed = text.select(parse_json(F.col("value"), ddl).alias("config"))
-    broken = F.raise_error(F.lit(f"not a valid configuration file: {path}"))
-    return parsed.select(F.when(F.col("config").isNull(), broken).otherwise(F.col("config")).alias("config"))
+    document = with_json(text, F.col("value"), ddl, "config")
+    if document.isEmpty():
+        raise ValueError(f"not a valid configuration file: {path}")
+    return document.select("config")
 
 
 def read_aliases(spark: SparkSession, path: str | None = None) -> DataFrame:
