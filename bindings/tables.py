@@ -68,11 +68,13 @@ def sheet_cells(spark, sf):
 
 
 def stock_from_sheets(spark, sf):
-    return S.stock_rows(sheet_cells(spark, sf))
+    return S.stock_rows(S.data_region(S.sheet_rows(sheet_cells(spark, sf))))
 
 
 def sheet_warnings(spark, sf):
-    return S.stock_warnings(sheet_cells(spark, sf))
+    rows = S.sheet_rows(sheet_cells(spark, sf))
+    layout = S.book_layout(rows)
+    return S.stock_warnings(S.data_region(rows, layout), layout)
 
 
 def broken_sheets(spark, sf):
@@ -80,7 +82,7 @@ def broken_sheets(spark, sf):
     cells = sheet_cells(spark, sf).where(
         "NOT (book = 'book0' AND sheet <> 'Cover') AND NOT (book = 'book2' AND row_no = 6 AND col_no = 3)"
     )
-    return S.sheet_errors(cells)
+    return S.sheet_errors(cells, S.book_layout(S.sheet_rows(cells)))
 
 
 def previews(spark, sf):

@@ -179,6 +179,7 @@ TEXT_ABOVE_BASELINE = (
     "model may need a model-aliases.json entry, or an existing alias broke."
 )
 TEXT_NO_SHEET = "No '%s' worksheet found in the FZ12 %s file - the layout has likely changed."
+TEXT_EMPTY_SHEET = "Worksheet '%s' in the FZ12 %s file is empty."
 TEXT_NO_HEADER = "Header row ('Segment'/'Modellreihe') not found in FZ12 %s - the layout has likely changed."
 TEXT_HEADER_YEAR = "The count column header ('%s') does not contain the expected year %s."
 TEXT_NOT_A_NUMBER = "Row %s: count for '%s' is not a number ('%s') - skipped."

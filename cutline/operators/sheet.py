@@ -2,8 +2,9 @@
 
 Cells arrive as one row each, ``(book, year, sheet, sheet_pos, row_no, col_no,
 cell_type, value)``.  Any number of workbooks is read at once; ``book`` keys every
-step.  Per-book facts (chosen sheet, used range, header row, end row) are combining
-aggregates of one row per book, joined back to the cells.
+step.  What has to be known about a workbook before its rows can be read takes two
+combining aggregates of one row per book: which sheet with which used corner, and
+where its header and end are.
 """
 
 from __future__ import annotations
@@ -16,35 +17,43 @@ from cutline.functions.names import trim_ws
 from cutline.functions.text import brand_and_series
 from cutline.operators.ordered import fill_down
 
-_TEXT_COLUMNS = ("segment_cell", "series_cell", "count_cell", "count_type")
-
-
 def _same(c: Column, text: str) -> Column:
     return F.upper(c) == text.upper()
 
 
+def _filled() -> Column:
+    return F.col("value").isNotNull() & (F.col("value") != "")
+
+
+def sheet_corners(cells: DataFrame) -> DataFrame:
+    """``(book, year, sheet, sheet_pos, row0, col0, row1, col1)``: used range of every sheet, NULL when empty."""
+    row, col = (F.when(_filled(), F.col(c)) for c in ("row_no", "col_no"))
+    return cells.groupBy("book", "year", "sheet", "sheet_pos").agg(
+        F.min(row).alias("row0"), F.min(col).alias("col0"), F.max(row).alias("row1"), F.max(col).alias("col1")
+    )
+
+
 def choose_sheet(cells: DataFrame) -> DataFrame:
-    """``(book, sheet)``: the exactly named sheet, else the first one with the prefix."""
+    """``(book, sheet, row0, col0)``: the exactly named sheet, else the first one with the prefix."""
     exact = _same(F.col("sheet"), fv.SHEET_NAME)
     prefixed = F.upper("sheet").startswith(fv.SHEET_PREFIX.upper())
-    return (
-        cells.where(exact | prefixed)
+    picked = (
+        sheet_corners(cells)
+        .where(exact | prefixed)
         .groupBy("book")
-        .agg(F.min_by("sheet", F.struct(~exact, "sheet_pos")).alias("sheet"))
+        .agg(F.min_by(F.struct("sheet", "row0", "col0"), F.struct(~exact, "sheet_pos")).alias("pick"))
     )
+    return picked.select("book", "pick.*")
 
 
-def used_cells(cells: DataFrame) -> DataFrame:
+def _from_corner(cells: DataFrame, corners: DataFrame) -> DataFrame:
     """Non-empty cells with positions counted from the first used row and column of their sheet."""
-    filled = cells.where(F.col("value").isNotNull() & (F.col("value") != ""))
-    corner = filled.groupBy("book", "sheet").agg(
-        F.min("row_no").alias("_row0"), F.min("col_no").alias("_col0")
-    )
     return (
-        filled.join(corner, ["book", "sheet"])
-        .withColumn("row_no", F.col("row_no") - F.col("_row0") + 1)
-        .withColumn("col_no", F.col("col_no") - F.col("_col0") + 1)
-        .drop("_row0", "_col0")
+        cells.where(_filled())
+        .join(corners.select("book", "sheet", "row0", "col0"), ["book", "sheet"])
+        .withColumn("row_no", F.col("row_no") - F.col("row0") + 1)
+        .withColumn("col_no", F.col("col_no") - F.col("col0") + 1)
+        .drop("row0", "col0")
     )
 
 
@@ -58,7 +67,7 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
         return F.coalesce(trim_ws(cell(col_no, F.col("value"))), F.lit(""))
 
     return (
-        used_cells(cells.join(choose_sheet(cells), ["book", "sheet"], "left_semi"))
+        _from_corner(cells, choose_sheet(cells))
         .where(F.col("col_no") <= 3)
         .groupBy("book", "year", "row_no")
         .agg(
@@ -70,28 +79,44 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
-    """``(book, header_row, header_text)`` of the first header within the search window."""
-    is_header = _same(F.col("segment_cell"), fv.SHEET_SEGMENT_TITLE) & _same(
-        F.col("series_cell"), fv.SHEET_SERIES_TITLE
+def book_layout(rows: DataFrame) -> DataFrame:
+    """``(book, year, header_row, header_text, end_row)`` of every workbook with a header.
+
+    The header is the first one within the search window; the end marker counts from two rows
+    below it.  Marker rows close to the window are few and kept until the header is known.
+    """
+    is_header = (
+        (F.col("row_no") <= fv.HEADER_SEARCH_ROWS)
+        & _same(F.col("segment_cell"), fv.SHEET_SEGMENT_TITLE)
+        & _same(F.col("series_cell"), fv.SHEET_SERIES_TITLE)
     )
-    return (
-        rows.where((F.col("row_no") <= fv.HEADER_SEARCH_ROWS) & is_header)
-        .groupBy("book")
-        .agg(F.min("row_no").alias("header_row"), F.min_by("count_cell", "row_no").alias("header_text"))
+    is_end = (F.col("series_cell") == "") & _same(F.col("segment_cell"), fv.SHEET_END_MARKER)
+    near = F.col("row_no") <= fv.HEADER_SEARCH_ROWS + 2
+    header_at = F.when(is_header, F.col("row_no"))
+    facts = (
+        rows.where(is_header | is_end)
+        .groupBy("book", "year")
+        .agg(
+            F.min(header_at).alias("header_row"),
+            F.min_by("count_cell", header_at).alias("header_text"),
+            F.collect_set(F.when(is_end & near, F.col("row_no"))).alias("near_ends"),
+            F.min(F.when(is_end & ~near, F.col("row_no"))).alias("far_end"),
+        )
+        .where(F.col("header_row").isNotNull())
     )
+    near_end = F.array_min(F.filter("near_ends", lambda r: r >= F.col("header_row") + 2))
+    return facts.select("book", "year", "header_row", "header_text", F.coalesce(near_end, "far_end").alias("end_row"))
 
 
-def data_region(rows: DataFrame) -> DataFrame:
+def data_region(rows: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """Rows from two below the header up to the end marker, segment carried down, subtotal rows dropped."""
-    below = rows.join(header_rows(rows).select("book", "header_row"), "book").where(
-        F.col("row_no") >= F.col("header_row") + 2
-    )
-    is_end = (F.col("series_cell") == "") & _same(F.col("segment_cell"), fv.SHEET_END_MARKER)
-    ends = below.where(is_end).groupBy("book").agg(F.min("row_no").alias("_end"))
+    layout = book_layout(rows) if layout is None else layout
     inside = (
-        below.join(ends, "book", "left")
-        .where(F.col("_end").isNull() | (F.col("row_no") < F.col("_end")))
+        rows.join(layout.select("book", "header_row", "end_row"), "book")
+        .where(
+            (F.col("row_no") >= F.col("header_row") + 2)
+            & (F.col("end_row").isNull() | (F.col("row_no") < F.col("end_row")))
+        )
         .withColumn("segment", F.nullif(F.col("segment_cell"), F.lit("")))
         .select("book", "year", "row_no", "segment", "series_cell", "count_cell", "count_type")
     )
@@ -103,104 +128,71 @@ def _is_number() -> Column:
     return F.coalesce(F.col("count_type") == "number", F.lit(False)) & F.col("count_cell").try_cast("double").isNotNull()
 
 
-def stock_rows(cells: DataFrame) -> DataFrame:
-    """``(book, year, row_no, segment, brand_label, model_series, count)``; counts are truncated to int."""
+def stock_rows(region: DataFrame) -> DataFrame:
+    """``(book, year, row_no, segment, brand_label, model_series, count)`` of a data region; counts are truncated."""
     brand, series = brand_and_series(F.col("series_cell"))
-    return (
-        data_region(sheet_rows(cells))
-        .where(_is_number())
-        .select(
-            "book",
-            "year",
-            "row_no",
-            "segment",
-            brand.alias("brand_label"),
-            series.alias("model_series"),
-            F.col("count_cell").try_cast("double").try_cast("int").alias("count"),
-        )
+    return region.where(_is_number()).select(
+        "book",
+        "year",
+        "row_no",
+        "segment",
+        brand.alias("brand_label"),
+        series.alias("model_series"),
+        F.col("count_cell").try_cast("double").try_cast("int").alias("count"),
     )
 
 
-def stock_warnings(cells: DataFrame) -> DataFrame:
+def stock_warnings(region: DataFrame, layout: DataFrame) -> DataFrame:
     """``(book, year, row_no, warning)``: a header of another year, and rows whose count is no number."""
-    rows = sheet_rows(cells)
-    years = rows.select("book", "year").distinct()
-    mismatch = (
-        header_rows(rows)
-        .join(years, "book")
-        .where(~F.contains(F.col("header_text"), F.col("year").cast("string")))
-        .select(
-            "book",
-            "year",
-            F.col("header_row").alias("row_no"),
-            F.format_string(fv.TEXT_HEADER_YEAR, "header_text", F.col("year").cast("string")).alias("warning"),
-        )
+    year = F.col("year").cast("string")
+    mismatch = layout.where(~F.contains(F.col("header_text"), year)).select(
+        "book",
+        "year",
+        F.col("header_row").alias("row_no"),
+        F.format_string(fv.TEXT_HEADER_YEAR, "header_text", year).alias("warning"),
     )
-    rejected = (
-        data_region(rows)
-        .where(~_is_number())
-        .select(
-            "book",
-            "year",
-            "row_no",
-            F.format_string(fv.TEXT_NOT_A_NUMBER, F.col("row_no").cast("string"), "series_cell", "count_cell").alias(
-                "warning"
-            ),
-        )
+    not_a_number = F.format_string(
+        fv.TEXT_NOT_A_NUMBER, F.col("row_no").cast("string"), F.col("series_cell"), F.col("count_cell")
     )
+    rejected = region.where(~_is_number()).select("book", "year", "row_no", not_a_number.alias("warning"))
     return mismatch.unionByName(rejected)
 
 
-def sheet_errors(cells: DataFrame) -> DataFrame:
-    """``(book, year, error)``: books without a stock sheet or without a header row."""
-    books = cells.select("book", "year").distinct()
+def sheet_errors(cells: DataFrame, layout: DataFrame) -> DataFrame:
+    """``(book, year, error)``: books without a stock sheet, with an empty one, or without a header row."""
     year = F.col("year").cast("string")
-    sheets = choose_sheet(cells).select("book")
-    no_sheet = books.join(sheets, "book", "left_anti").withColumn(
-        "error", F.format_string(fv.TEXT_NO_SHEET, F.lit(fv.SHEET_NAME), year)
+    sheets = choose_sheet(cells).select("book", "sheet", F.col("row0").isNotNull().alias("used"))
+    found = layout.select("book", F.lit(True).alias("headed"))
+    books = cells.select("book", "year").distinct().join(sheets, "book", "left").join(found, "book", "left")
+    error = (
+        F.when(F.col("sheet").isNull(), F.format_string(fv.TEXT_NO_SHEET, F.lit(fv.SHEET_NAME), year))
+        .when(~F.col("used"), F.format_string(fv.TEXT_EMPTY_SHEET, F.col("sheet"), year))
+        .when(F.col("headed").isNull(), F.format_string(fv.TEXT_NO_HEADER, year))
     )
-    headers = header_rows(sheet_rows(cells)).select("book")
-    no_header = (
-        books.join(sheets, "book", "left_semi")
-        .join(headers, "book", "left_anti")
-        .withColumn("error", F.format_string(fv.TEXT_NO_HEADER, year))
-    )
-    return no_sheet.unionByName(no_header)
+    return books.select("book", "year", error.alias("error")).where(F.col("error").isNotNull())
 
 
 def reference_date(year: Column) -> Column:
     return F.make_date(year, F.lit(1), F.lit(1))
 
 
-def sheet_ranges(cells: DataFrame) -> DataFrame:
-    """``(book, sheet, first_row, last_row, first_col, last_col)`` of every sheet."""
-    filled = cells.where(F.col("value").isNotNull() & (F.col("value") != ""))
-    return filled.groupBy("book", "sheet").agg(
-        F.min("row_no").alias("first_row"),
-        F.max("row_no").alias("last_row"),
-        F.min("col_no").alias("first_col"),
-        F.max("col_no").alias("last_col"),
-    )
-
-
 def preview_sheet(cells: DataFrame, rows: int = fv.PREVIEW_ROWS, columns: int = fv.PREVIEW_COLUMNS) -> DataFrame:
     """``(book, sheet, row_no, line)``: the first rows of each sheet, first columns joined by `` | ``.
 
     One row of a preview holds at most ``columns`` cells, so its line is built by one
     conditional maximum per column.
     """
-    ranges = sheet_ranges(cells).select(
-        "book", "sheet", (F.col("last_col") - F.col("first_col") + 1).alias("_width"),
-        (F.col("last_row") - F.col("first_row") + 1).alias("_height"),
-    )
-    picked = used_cells(cells).where((F.col("row_no") <= rows) & (F.col("col_no") <= columns))
+    corners = sheet_corners(cells).where(F.col("row0").isNotNull())
+    picked = _from_corner(cells, corners).where((F.col("row_no") <= rows) & (F.col("col_no") <= columns))
     wide = picked.groupBy("book", "sheet", "row_no").agg(
         *[F.max(F.when(F.col("col_no") == i, F.col("value"))).alias(f"_c{i}") for i in range(1, columns + 1)]
     )
     # Rows without any cell still take a line.
-    lines = ranges.select(
-        "book", "sheet", "_width", F.explode(F.sequence(F.lit(1), F.least("_height", F.lit(rows)))).alias("row_no")
+    height = F.least(F.col("row1") - F.col("row0") + 1, F.lit(rows))
+    width = F.least(F.col("col1") - F.col("col0") + 1, F.lit(columns)).cast("int")
+    lines = corners.select(
+        "book", "sheet", width.alias("_width"), F.explode(F.sequence(F.lit(1), height)).alias("row_no")
     ).join(wide, ["book", "sheet", "row_no"], "left")
     cells_of_row = F.array(*[F.coalesce(f"_c{i}", F.lit("")) for i in range(1, columns + 1)])
-    line = F.array_join(F.slice(cells_of_row, F.lit(1), F.least("_width", F.lit(columns)).cast("int")), " | ")
+    line = F.array_join(F.slice(cells_of_row, F.lit(1), F.col("_width")), " | ")
     return lines.select("book", "sheet", "row_no", line.alias("line"))

@@ -15,7 +15,15 @@ from cutline.operators.links import pick_publication
 from cutline.operators.match import attach_siblings, fleet_lookup, stock_index, attach_fleet
 from cutline.operators.quality import check_quality, quality_gate
 from cutline.operators.report import priority_distribution, priority_report, run_summary, unexpected_failures
-from cutline.operators.sheet import preview_sheet, sheet_errors, stock_rows, stock_warnings
+from cutline.operators.sheet import (
+    book_layout,
+    data_region,
+    preview_sheet,
+    sheet_errors,
+    sheet_rows,
+    stock_rows,
+    stock_warnings,
+)
 from cutline.operators.split import combined_cards, replace_combined, split_cards, split_counts, split_groups, split_summary
 from cutline.plans.discover import Landed, run_discovery
 from cutline.session import checkpointed
@@ -71,10 +79,14 @@ def load_stock(spark: SparkSession, cells: DataFrame, pages: DataFrame, stock_ro
     if not link["supported"]:
         return JobResult(1, None, fv.TEXT_STOCK_FORMAT % (year, link["download_url"]))
     book = cells.where(F.col("year") == year)
-    error = sheet_errors(book).first()
+    # The few facts per workbook and the rows built on them are read several times below.
+    rows = checkpointed(sheet_rows(book))
+    layout = checkpointed(book_layout(rows))
+    error = sheet_errors(book, layout).first()
     if error is not None:
         return JobResult(2, None, error["error"])
-    meta = write_stock(stock_rows(book), stock_warnings(book), stock_root, year, link["download_url"])
+    region = data_region(rows, layout)
+    meta = write_stock(stock_rows(region), stock_warnings(region, layout), stock_root, year, link["download_url"])
     return JobResult(0, meta)
 
 
