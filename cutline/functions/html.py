@@ -113,7 +113,7 @@ def element_pieces(markup: Column, element: str, css_class: str) -> Column:
 
 
 def _first_element(piece: Column, element: str) -> Column:
-    """The leading element of a piece of markup, found by counting nested tags."""
+    """The leading element of a piece of markup without its closing tag, found by counting nested tags."""
     steps = pieces_from(piece, rf"</?{element}\b")
     depth_step = F.transform(steps, lambda s: F.when(s.startswith("</"), -1).otherwise(1))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
@@ -121,7 +121,11 @@ def _first_element(piece: Column, element: str) -> Column:
     def count(acc: Column, step: Column) -> Column:
         depth = acc["depth"] + step
         return F.when(acc["closed"], acc).otherwise(
-            F.struct(depth.alias("depth"), (acc["kept"] + 1).alias("kept"), (depth <= 0).alias("closed"))
+            F.struct(
+                depth.alias("depth"),
+                (acc["kept"] + F.when(depth > 0, 1).otherwise(0)).alias("kept"),
+                (depth <= 0).alias("closed"),
+            )
         )
 
     kept = F.aggregate(depth_step, start, count, lambda acc: acc["kept"])

@@ -17,6 +17,7 @@ from cutline.functions.names import trim_ws
 from cutline.functions.text import brand_and_series
 from cutline.operators.ordered import fill_down
 
+
 def _same(c: Column, text: str) -> Column:
     return F.upper(c) == text.upper()
 
