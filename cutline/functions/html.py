@@ -19,6 +19,8 @@ from cutline.functions.names import trim_ws
 
 _TAG_REST = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
 _RAW_TEXT = r"(?is)<!--.*?-->|<(script|style)\b[^>]*+>.*?</\1\s*+>"
+_FREQUENT = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"))
+_OTHER_REFERENCE = r"&(?!amp;)[#A-Za-z]"
 _ENTITY = r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+"
 
 
@@ -56,9 +58,17 @@ def decode_entities(c: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(named, piece), piece))
         )
 
-    def decode_text(text: Column) -> Column:
+    def decode_rest(text: Column) -> Column:
         pieces = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-        return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+        every = F.array_join(F.transform(pieces, decode), "")
+        return F.when(text.rlike(_OTHER_REFERENCE), every).otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))
+
+    def decode_text(text: Column) -> Column:
+        # Frequent references first: none of them yields an ampersand, so no reference can form anew.
+        rest = text
+        for reference, char in _FREQUENT:
+            rest = F.replace(rest, F.lit(reference), F.lit(char))
+        return F.when(F.instr(text, "&") > 0, let(rest, decode_rest)).otherwise(text)
 
     return let(c, decode_text)
 

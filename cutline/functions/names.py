@@ -8,16 +8,20 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cutline.functions.binding import let
+
 # A character that is neither a letter nor a decimal digit.  Characters beyond the
 # basic plane count as neither: names are compared per UTF-16 unit.
-_NOT_ALNUM = r"(?:[^\p{L}\p{Nd}]|[\x{10000}-\x{10FFFF}])"
+_NOT_ALNUM = r"[^\p{L}\p{Nd}&&[\x{0}-\x{FFFF}]]"
+_ASCII_REST = "".join(chr(code) for code in range(0x80) if not chr(code).isalnum())
 _PRIVATE_USE = 0xE000
 
 
 @lru_cache(maxsize=None)
 def _accent_fold() -> tuple[str, str]:
     """Every basic-plane character whose canonical decomposition is one base
-    character plus non-spacing marks, with that base character."""
+    character plus non-spacing marks, with that base character.  ASCII characters that
+    are no letters or digits follow without a counterpart, which deletes them."""
     source, target = [], []
     for code in range(0xC0, 0x10000):
         if 0xAC00 <= code <= 0xDFFF:
@@ -27,7 +31,7 @@ def _accent_fold() -> tuple[str, str]:
         if base != char and len(base) == 1:
             source.append(char)
             target.append(base)
-    return "".join(source), "".join(target)
+    return "".join(source) + _ASCII_REST, "".join(target)
 
 
 @lru_cache(maxsize=None)
@@ -61,11 +65,24 @@ def trim_ws(c: Column) -> Column:
 
 def norm_name(c: Column) -> Column:
     """Matching key of a brand or model name: accents folded, only letters and
-    decimal digits kept, upper-cased character by character."""
-    folded = F.translate(c, *_accent_fold())
-    letters = F.regexp_replace(folded, _NOT_ALNUM, "")
+    decimal digits kept, upper-cased character by character.
+
+    Most names are plain ASCII and take the short way.
+    """
     kept, stand_in = _unexpanded_upper()
-    return F.translate(F.upper(F.translate(letters, kept, stand_in)), stand_in, kept)
+
+    def upper_each(letters: Column) -> Column:
+        guarded = F.translate(F.upper(F.translate(letters, kept, stand_in)), stand_in, kept)
+        # All kept letters but the dotless i expand, so an unchanged length proves there are none.
+        as_long = (F.length(F.upper(letters)) == F.length(letters)) & (F.instr(letters, "ı") == 0)
+        return F.when(as_long, F.upper(letters)).otherwise(guarded)
+
+    def normalize(text: Column) -> Column:
+        plain = F.upper(F.translate(text, _ASCII_REST, ""))
+        folded = F.regexp_replace(F.translate(text, *_accent_fold()), _NOT_ALNUM + "+", "")
+        return F.when(F.octet_length(text) == F.length(text), plain).otherwise(let(folded, upper_each))
+
+    return let(c, normalize)
 
 
 def slug(c: Column) -> Column:
