@@ -125,11 +125,12 @@ def normalized_documents(spark, sf):
 
 
 def normalized_names(spark, sf):
-    """Distinct normalised file words per language: the key both sides of a match meet on."""
+    """Normalised keys of all words per language; equal words are counted before they are normalised."""
     words = table(spark, sf, "documents").select("lang", F.explode(F.split("text", " ")).alias("word"))
+    counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     return (
-        words.groupBy("lang", norm_name(F.col("word")).alias("name_key"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        counted.groupBy("lang", norm_name(F.col("word")).alias("name_key"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("lang")
         .agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("words"), F.max("n").alias("most"))
     )
