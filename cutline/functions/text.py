@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
+from cutline.functions.binding import let
 from cutline.functions.names import is_blank, trim_ws
 
 # Java's \s, \b and \d only know ASCII; these classes spell the Unicode meaning out.
@@ -129,18 +130,21 @@ def parse_header(doc_id: Column, header: Column) -> Column:
     """Parsed card attributes of one document group from its header text."""
     none = F.lit(None).cast("string")
     unreadable = is_blank(header)
-    years = year_range(header)
-    return F.struct(
-        F.when(unreadable, doc_id).otherwise(header_model(header)).alias("model_name"),
-        F.when(unreadable, none).otherwise(header).alias("variant"),
-        F.when(unreadable, none).otherwise(last_vocab(header, fv.PORSCHE_BODY_TYPES)).alias("body_type"),
-        years["from"].alias("build_year_from"),
-        years["to"].alias("build_year_to"),
-        F.lit(None).cast("int").alias("doors"),
-        none.alias("fuel_type"),
-        F.lit(fv.ENGLISH).alias("language_code"),
-        F.when(unreadable, "Unparsed").otherwise("Heuristic").alias("parse_confidence"),
-    )
+
+    def attributes(years: Column) -> Column:
+        return F.struct(
+            F.when(unreadable, doc_id).otherwise(header_model(header)).alias("model_name"),
+            F.when(unreadable, none).otherwise(header).alias("variant"),
+            F.when(unreadable, none).otherwise(last_vocab(header, fv.PORSCHE_BODY_TYPES)).alias("body_type"),
+            years["from"].alias("build_year_from"),
+            years["to"].alias("build_year_to"),
+            F.lit(None).cast("int").alias("doors"),
+            none.alias("fuel_type"),
+            F.lit(fv.ENGLISH).alias("language_code"),
+            F.when(unreadable, "Unparsed").otherwise("Heuristic").alias("parse_confidence"),
+        )
+
+    return let(year_range(header), attributes)
 
 
 def brand_and_series(c: Column) -> tuple[Column, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
+from cutline.functions.binding import bind
 from cutline.functions.names import card_id, card_path
 from cutline.functions.status import card_status, fetch_failure, fetch_status_code
 from cutline.operators.match import attach_siblings
@@ -61,18 +62,15 @@ def build_cards(
             "success", F.coalesce("success", F.lit(False)) & F.col("download_url").isNotNull()
         )
     url, parsed, success = F.col("download_url"), F.col("parsed"), F.col("success")
-    status = card_status(url, dry_run, success)
-    identified = fetched.withColumn("status", status).withColumn(
-        "id",
-        card_id(
-            F.col("brand"),
-            parsed["model_name"],
-            parsed["build_year_from"],
-            parsed["body_type"],
-            parsed["language_code"],
-            F.col("raw_label"),
-        ),
+    identity = card_id(
+        F.col("brand"),
+        parsed["model_name"],
+        parsed["build_year_from"],
+        parsed["body_type"],
+        parsed["language_code"],
+        F.col("raw_label"),
     )
+    identified = bind(fetched, id=identity, status=card_status(url, dry_run, success))
     cards = identified.select(
         "id",
         "brand",

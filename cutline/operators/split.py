@@ -45,7 +45,7 @@ def group_pages(pdf_pages: DataFrame) -> DataFrame:
 
 def split_groups(pdf_pages: DataFrame) -> DataFrame:
     """Groups with the card attributes parsed from their header."""
-    return group_pages(pdf_pages).withColumn("parsed", parse_header(F.col("doc_id"), F.col("header")))
+    return bind(group_pages(pdf_pages), parsed=parse_header(F.col("doc_id"), F.col("header")))
 
 
 def combined_cards(cards: DataFrame) -> DataFrame:
@@ -74,17 +74,15 @@ def split_cards(combined: DataFrame, groups: DataFrame) -> DataFrame:
         "source_doc",
     )
     parsed = F.col("parsed")
-    identified = joined.withColumn(
-        "id",
-        card_id(
-            F.col("brand"),
-            parsed["model_name"],
-            parsed["build_year_from"],
-            parsed["body_type"],
-            parsed["language_code"],
-            F.concat_ws("|", "combined_id", "doc_id"),
-        ),
+    identity = card_id(
+        F.col("brand"),
+        parsed["model_name"],
+        parsed["build_year_from"],
+        parsed["body_type"],
+        parsed["language_code"],
+        F.concat_ws("|", "combined_id", "doc_id"),
     )
+    identified = bind(joined, id=identity)
     status = F.lit("Downloaded")
     return identified.select(
         "id",
@@ -115,15 +113,10 @@ def split_cards(combined: DataFrame, groups: DataFrame) -> DataFrame:
 def replace_combined(cards: DataFrame, split: DataFrame) -> DataFrame:
     """Card table with every combined card that produced split cards replaced by them.
 
-    A combined document without a single group stays.
+    A combined document without a single group stays; a stored card of the same id is overwritten.
     """
-    replaced = split.select(F.col("combined_id").alias("id")).distinct()
-    new_cards = split.drop("combined_id")
-    return (
-        cards.join(replaced, "id", "left_anti")
-        .join(new_cards.select("id"), "id", "left_anti")
-        .unionByName(new_cards)
-    )
+    gone = split.select(F.explode(F.array("combined_id", "id")).alias("id")).distinct()
+    return cards.join(gone, "id", "left_anti").unionByName(split.drop("combined_id"))
 
 
 def split_counts(combined: DataFrame, split: DataFrame) -> DataFrame:
