@@ -29,8 +29,14 @@ def classify_fetch(fetch_log: DataFrame) -> DataFrame:
 
 
 def attach_fetch(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Entries with the outcome of their download; every entry survives."""
-    return entries.join(outcomes.withColumnRenamed("url", "download_url"), "download_url", "left")
+    """Entries with the outcome of their download; every entry survives.
+
+    Entries without a URL match nothing. They get spread keys, or a shuffle would send all of
+    them to one task.
+    """
+    spread = F.concat(F.lit("no-url-"), F.pmod(F.xxhash64("raw_label", "entry_pos"), F.lit(1024)))
+    keyed = entries.withColumn("_key", F.coalesce("download_url", spread))
+    return keyed.join(outcomes.withColumnRenamed("url", "_key"), "_key", "left").drop("_key")
 
 
 def only_language(df: DataFrame, language: str, column: str = "parsed.language_code") -> DataFrame:

@@ -2,8 +2,7 @@
 
 Dimensions are built from Arrow tables, which Spark plans as a ``LocalRelation``
 of known size: the optimizer can prove they are small and broadcasts them on its
-own, under ``spark.sql.autoBroadcastJoinThreshold``.  No join in this package
-carries a broadcast hint.
+own, under ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_SIDE_ROWS = 100_000
+SMALL_SIDE_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +37,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Broadcast a join side after counting that it stays under ``max_rows``.
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS, max_bytes: int = SMALL_SIDE_BYTES) -> DataFrame:
+    """Broadcast a join side after measuring that it stays under both bounds.
 
     For sides Spark cannot size itself, such as rows exploded out of one page.  The side is
-    checkpointed first, so neither the count nor the joins extract it again.  A larger side
-    joins by shuffle.
+    checkpointed first, so neither the measuring nor the joins extract it again.  A larger
+    side joins by shuffle.
     """
     kept = checkpointed(df)
-    if kept.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
+    texts = [F.coalesce(F.octet_length(name), F.lit(0)) for name, type_ in kept.dtypes if type_ == "string"]
+    row_bytes = sum(texts, F.lit(8 * len(kept.columns)))
+    size = kept.agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes).alias("bytes")).first()
+    if size["rows"] > max_rows or (size["bytes"] or 0) > max_bytes:
         return kept
     return F.broadcast(kept)

@@ -193,3 +193,29 @@ def test_registry_isolates_failures(spark):
         ("Audi", "Completed", None), ("Seat", "DiscoveryFailed", "layout changed"), ("Cupra", "NotImplemented", "old format"),
         ("VW", "Completed", None), ("Porsche", "NotImplemented", fv.TEXT_NO_SOURCE),
     ]
+
+
+def test_extraction_plans(spark, tmp_path):
+    pages_of(spark, (fv.PAGE_URLS["Audi"], AUDI)).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.schema(schemas.PAGES).parquet(str(tmp_path / "pages"))
+    landed = D.Landed(pages, None)
+    for brand, extract in (("Audi", D.discover_audi), ("Bentley", D.discover_bentley), ("Porsche", D.discover_porsche)):
+        plan = extract(landed.page(brand))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan
+        assert f"EqualTo(url,{fv.PAGE_URLS[brand][:35]}" in plan  # long values are cut in plan texts
+        assert plan.count("<!--") <= 2  # markup is cleaned once, not once per use
+
+
+def test_larger_sides_are_not_broadcast(spark):
+    from cutline.session import broadcast_if_small
+
+    side = spark.range(50).selectExpr("cast(id as string) AS page_url")
+    other = spark.range(50).selectExpr("cast(id as string) AS page_url")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kept, hinted in ((broadcast_if_small(side), True), (broadcast_if_small(side, max_rows=10), False), (broadcast_if_small(side, max_bytes=100), False)):
+            joined = other.join(kept, "page_url")
+            assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) is hinted
+            assert joined.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
