@@ -22,6 +22,13 @@ def match_key(name: Column) -> Column:
     return F.when(not_blank(name), norm_name(name))
 
 
+def _join_key(df: DataFrame) -> Column:
+    """Match key for the card side of a join. Rows without one get keys no series can have,
+    spread by their content, or a shuffle would send all of them to one task."""
+    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(1024)))
+    return F.coalesce(match_key(F.col("model_name")), nowhere)
+
+
 def brands_of_stock(stock: DataFrame, labels: DataFrame) -> DataFrame:
     """Stock rows with every brand their label stands for; one row may fan out."""
     by_label = labels.select("brand", norm_name(F.col("label")).alias("_label")).distinct()
@@ -70,7 +77,7 @@ def attach_fleet(
 ) -> DataFrame:
     """Add fleet size, tier and ``matched_via_alias`` to rows carrying brand and model_name."""
     columns = [c for c in names.columns if c not in ("estimated_fleet_size", "bundle_priority")]
-    matched = names.select(*columns, match_key(F.col("model_name")).alias("name_key")).join(
+    matched = names.select(*columns, _join_key(names).alias("name_key")).join(
         lookup, ["brand", "name_key"], "left"
     )
     return matched.select(
@@ -103,7 +110,7 @@ def attach_siblings(cards: DataFrame, siblings: DataFrame, out: str = "sibling_m
     columns = [c for c in cards.columns if c != out]
     none = F.array().cast("array<string>")
     return (
-        cards.select(*columns, match_key(F.col("model_name")).alias("name_key"))
+        cards.select(*columns, _join_key(cards).alias("name_key"))
         .join(groups, ["brand", "name_key"], "left")
         .select(*columns, F.coalesce("_ids", none).alias(out))
     )
