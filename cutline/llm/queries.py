@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, language_model, pii, quality, shards
+from cutline.llm import decontaminate, language_model, near_copies, pii, quality, shards
 from cutline.llm.common import remainder, table
 
 
@@ -33,6 +33,10 @@ def op3_lm_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.judged(found).select(
@@ -65,6 +69,6 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op3_lm_log_bilinear, op7_decontaminate, op8_interleave, op10_quality_gam)
+    f.__name__: f for f in (op1_pii, op3_lm_log_bilinear, op6_order_minhash, op7_decontaminate, op8_interleave, op10_quality_gam)
 }
 ORACLE: dict[str, str] = {}
