@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, language_model, near_copies, pii, quality, shards
+from cutline.llm import decontaminate, language_model, near_copies, pieces, pii, quality, shards
 from cutline.llm.common import remainder, table
 
 
@@ -57,6 +57,10 @@ def op8_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +73,6 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op3_lm_log_bilinear, op6_order_minhash, op7_decontaminate, op8_interleave, op10_quality_gam)
+    f.__name__: f for f in (op1_pii, op3_lm_log_bilinear, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
 }
 ORACLE: dict[str, str] = {}
