@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, language_model, near_copies, pieces, pii, quality, shards
+from cutline.llm import decontaminate, language_model, near_copies, neighbours, pieces, pii, quality, shards
 from cutline.llm.common import remainder, table
 
 
@@ -29,6 +29,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,6 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op3_lm_log_bilinear, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
+    f.__name__: f for f in (op1_pii, op2_cross_polytope, op3_lm_log_bilinear, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
 }
 ORACLE: dict[str, str] = {}
