@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, html_blocks, language_model, near_copies, neighbours, pieces, pii, quality, shards
+from cutline.llm import decontaminate, html_blocks, language_model, near_copies, neighbours, pieces, pii, quality, repeats, shards
 from cutline.llm.common import remainder, table
 
 
@@ -42,6 +42,10 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(pages, html_blocks.fitted(pages))
 
 
+def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.classes(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,6 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op2_cross_polytope, op3_lm_log_bilinear, op4_html_blocks, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
+    f.__name__: f for f in (op1_pii, op2_cross_polytope, op3_lm_log_bilinear, op4_html_blocks, op5_run_length_dedup, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
 }
 ORACLE: dict[str, str] = {}
