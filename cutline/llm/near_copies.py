@@ -12,8 +12,8 @@ labels finds it.
 
 Copies are one text from the start.  A bucket is never gathered: its texts are cut into salted runs of bounded length,
 each text is verified against the smallest of its run and its neighbours in a hashed order, and the
-runs' smallest against each other's.  Texts in one class already need no further comparison, so a second round
-only looks at the remaining candidates, further along the runs.  Classes are connected components of the links.
+runs' smallest against each other's.  Texts in one class already need no further comparison, so further rounds
+only look at candidates in different classes, further along the runs.  Classes are connected components of the links.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ LEAST = 0.8
 SKETCHES, MINIMA = 16, 3
 #: Texts of a bucket in one run.
 RUN = 10_000
-#: How far along a run a text is compared in the first and the second round.
-NEAR, FAR = 1, 7
+#: How far along a run a text is compared, round by round.
+REACH = (1, 3, 7, 15)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -154,21 +154,34 @@ def _runs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(runs: DataFrame) -> DataFrame:
-    """``a, b, far`` pairs of texts: linear in the number of members, however large a bucket is."""
+def _candidates(runs: DataFrame, classes: DataFrame | None, first: int, last: int) -> DataFrame:
+    """Pairs (a, b) of texts, ``first`` to ``last`` places apart in a run, that are not in one class yet.
+
+    Linear in the number of members, however large a bucket is.  The first round adds the smallest of each run, and
+    links the runs of a bucket by theirs.
+    """
+    if classes is None:
+        open_ = runs.withColumn("label", F.col("text_key"))
+    else:
+        labelled = runs.join(classes.withColumnRenamed("node", "text_key"), "text_key", "left")
+        labelled = labelled.withColumn("label", F.coalesce("label", "text_key"))
+        mixed = labelled.groupBy("bucket", "run").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+        open_ = labelled.join(mixed.select("bucket", "run"), ["bucket", "run"])
     run = Window.partitionBy("bucket", "run")
     order = run.orderBy("place", "text_key")
-    named = [F.lead("text_key", n).over(order).alias(f"b{n}") for n in range(1, FAR + 1)]
-    near = runs.select(F.col("text_key").alias("a"), F.min("text_key").over(run).alias("b0"), *named)
-    steps = [F.struct(F.col(f"b{n}").alias("b"), F.lit(n > NEAR).alias("far")) for n in range(FAR + 1)]
-    inside = near.select("a", F.explode(F.array(*steps)).alias("s")).select("a", "s.b", "s.far")
-    heads = runs.groupBy("bucket", "run").agg(F.min("text_key").alias("a"))
-    bucket = Window.partitionBy("bucket")
-    heads = heads.select("a", F.lead("a").over(bucket.orderBy("run")).alias("b0"), F.min("a").over(bucket).alias("b1"))
-    between = heads.select("a", F.explode(F.array("b0", "b1")).alias("b"), F.lit(False).alias("far"))
-    pairs = inside.unionByName(between).where("b IS NOT NULL AND a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far")
-    return pairs.groupBy("a", "b").agg(F.min("far").alias("far"))
+    member = F.struct(F.col("text_key").alias("b"), "label")
+    named = [F.lead(member, n).over(order).alias(f"b{n}") for n in range(first, last + 1)]
+    if classes is None:
+        named.append(F.struct(F.min("text_key").over(run).alias("b"), F.min("text_key").over(run).alias("label")).alias("b0"))
+    beside = open_.select(F.col("text_key").alias("a"), "label", *named)
+    others = F.filter(F.array(*[c for c in beside.columns if c not in ("a", "label")]), lambda s: s["label"] != F.col("label"))
+    pairs = beside.select("a", F.explode(others).alias("s")).select("a", "s.b")
+    if classes is None:
+        heads = runs.groupBy("bucket", "run").agg(F.min("text_key").alias("a"))
+        bucket = Window.partitionBy("bucket")
+        heads = heads.select("a", F.lead("a").over(bucket.orderBy("run")).alias("b0"), F.min("a").over(bucket).alias("b1"))
+        pairs = pairs.unionByName(heads.select("a", F.explode(F.array("b0", "b1")).alias("b")).where("b IS NOT NULL AND a <> b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -192,22 +205,23 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _members(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, class_key`` of every row."""
     rows = stored(_sketched(docs), "sketches")
-    pairs = stored(_candidates(_runs(rows)), "candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    runs = stored(_runs(rows), "runs")
+    named = runs.select("text_key").distinct()
     wanted = _keyed(docs.select(F.coalesce("text", F.lit("")).alias("text"))).join(named, "text_key", "left_semi")
     texts = stored(wanted.groupBy("text_key").agg(F.first("text").cast("binary").alias("text")), "candidate-texts")
-    links = stored(_linked(pairs.where("NOT far"), texts), "links")
-    first = components(links)
-    apart = pairs.where("far")
-    for side in ("a", "b"):
-        label = first.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-        apart = apart.join(label, side, "left")
-    apart = apart.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    links = links.unionByName(_linked(apart, texts))
-    classes = components(links).select(F.col("node").alias("text_key"), F.col("label"))
+    links: DataFrame | None = None
+    found: DataFrame | None = None
+    for before, reach in zip((0, *REACH), REACH):
+        pairs = stored(_candidates(runs, found, before + 1, reach), "candidates")
+        new = stored(_linked(pairs, texts), "links")
+        if links is not None and new.isEmpty():
+            continue
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+    found = found.withColumnRenamed("node", "text_key")
     return (
         rows.select("doc_id", "text_key")
-        .join(classes, "text_key", "left")
+        .join(found, "text_key", "left")
         .select("doc_id", "text_key", F.coalesce("label", "text_key").alias("class_key"))
     )
 
