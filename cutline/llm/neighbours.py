@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 A fast pseudo-rotation (random signs and a Hadamard transform, three times) turns a vector, and its hash is the
-signed axis that it then lies nearest to.  A table's bucket joins two such hashes, the second over as many axes as give
+signed axis that it then lies nearest to.  A table's bucket joins several such hashes, the last over as many axes as give
 about one bucket for ``ROWS_A_BUCKET`` vectors, so buckets stay small however many vectors there are.  A query probes
 in every table the buckets whose axes it lies closest to, and the candidates are ranked by their exact distance.
 
@@ -25,6 +25,8 @@ from cutline.llm.common import stored
 
 TABLES = 14
 ROWS_A_BUCKET = 4
+#: A query probes PROBES * n ** PROBES_GROW of the n buckets of a table.
+PROBES, PROBES_GROW = 18, 0.2
 #: Vectors, chosen by a hash of their ids, that show which buckets are crowded; every vector is indexed.
 SAMPLE = 20_000
 #: A bucket with this many vectors of the sample has a table of its own, up to so many levels down.
@@ -52,6 +54,7 @@ def rotated(vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
 class Table:
     """One table, or the inner table of a crowded bucket."""
 
+    #: One pseudo-rotation for each hash of the bucket; the last looks at the first ``axes`` axes only.
     signs: np.ndarray
     axes: int
     number: int
@@ -60,37 +63,44 @@ class Table:
     @classmethod
     def fit(cls, sample: np.ndarray, rows: float, number: int, level: int = 1) -> Table:
         width = sample.shape[1]
-        signs = np.random.default_rng(number).choice([-1.0, 1.0], (2, 3, width))
-        axes = 1
-        while axes < width and 4 * width * axes < rows / ROWS_A_BUCKET:
+        hashes, axes, buckets = 2, 1, 4 * width
+        while buckets < rows / ROWS_A_BUCKET:
+            buckets *= 2
             axes *= 2
+            if axes > width:
+                hashes, axes = hashes + 1, 1
+        signs = np.random.default_rng(number).choice([-1.0, 1.0], (hashes, 3, width))
         table = cls(signs, axes, number)
         if level < LEVELS and len(sample) >= CROWD:
-            buckets = table._buckets(*table._values(sample))
+            buckets = table._buckets(table._values(sample))
             for bucket, n in zip(*np.unique(buckets, return_counts=True)):
                 if n >= CROWD:
                     own = sample[buckets == bucket]
                     mean = own.mean(0)
-                    below = cls.fit(own - mean, rows * n / len(sample), number * 7919 + int(bucket) + 1, level + 1)
+                    below = cls.fit(own - mean, rows * n / len(sample), (number * 7919 + int(bucket) + 1) % (1 << 40), level + 1)
                     table.inner[int(bucket)] = (mean, below)
         return table
 
-    def _values(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first, second = (rotated(vectors, s) for s in self.signs)
-        second = second[:, : self.axes]
-        return np.hstack([first, -first]), np.hstack([second, -second])
+    def _values(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each hash, how far every signed axis points along every rotated vector."""
+        turned = [rotated(vectors, s) for s in self.signs]
+        turned[-1] = turned[-1][:, : self.axes]
+        return [np.hstack([x, -x]) for x in turned]
 
     @staticmethod
-    def _buckets(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return first.argmax(1) * second.shape[1] + second.argmax(1)
+    def _buckets(values: list[np.ndarray]) -> np.ndarray:
+        buckets = np.zeros(len(values[0]), np.int64)
+        for value in values:
+            buckets = buckets * value.shape[1] + value.argmax(1)
+        return buckets
 
     def _code(self, buckets: np.ndarray) -> np.ndarray:
-        code = (buckets.astype(np.uint64) + np.uint64(self.number) * np.uint64(1 << 20) + np.uint64(1)) * _MIX
-        return code ^ (code >> np.uint64(29))
+        code = (buckets.astype(np.uint64) + np.uint64(self.number) * _MIX + np.uint64(1)) * _MIX
+        return (code ^ (code >> np.uint64(29))) * _MIX
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """The code of every vector's bucket."""
-        buckets = self._buckets(*self._values(vectors))
+        buckets = self._buckets(self._values(vectors))
         codes = self._code(buckets)
         for bucket, (mean, below) in self.inner.items():
             rows = np.flatnonzero(buckets == bucket)
@@ -100,15 +110,18 @@ class Table:
 
     @property
     def probes(self) -> int:
-        n = 4 * self.signs.shape[2] * self.axes
-        return min(n, round(8 * n**0.3))
+        width = 2 * self.signs.shape[2]
+        n = width ** (len(self.signs) - 1) * 2 * self.axes
+        return min(n, round(PROBES * n**PROBES_GROW))
 
     def probed(self, query: np.ndarray) -> np.ndarray:
-        """Codes of the buckets a query looks into, its own among them."""
-        first, second = self._values(query[None])
-        lost = (first.max() - first[0])[:, None] + (second.max() - second[0])[None]
-        chosen = np.argpartition(lost.ravel(), self.probes - 1)[: self.probes]
-        out = [self._code(chosen[[b not in self.inner for b in chosen.tolist()]])]
+        """Codes of the buckets a query looks into, its own among them: those whose axes lose least together."""
+        lost, chosen = np.zeros(1), np.zeros(1, np.int64)
+        for value in self._values(query[None]):
+            sums = (lost[:, None] + (value.max() - value)).ravel()
+            best = np.argsort(sums, kind="stable")[: self.probes]
+            lost, chosen = sums[best], chosen[best // value.shape[1]] * value.shape[1] + best % value.shape[1]
+        out = [self._code(np.array([b for b in chosen.tolist() if b not in self.inner], np.int64))]
         for bucket in chosen.tolist():
             if bucket in self.inner:
                 mean, below = self.inner[bucket]
