@@ -187,27 +187,22 @@ def blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) ->
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_FOUND = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+_ADDED = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, n_words, spans, items`` of every row: hit spans in words (disjoint, ascending), item ids (sorted as text).
-
-    Null or empty texts have no words and no hits; null or wordless items have no windows.  Several
-    items with one id count once.  Repeated rows and null ids are kept as they are; other columns are
-    left behind.  An empty benchmark gives every row no hits.
-    """
-    found = text_bytes(docs)
+def _streamed(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """``rows`` (row, text) with ``n_words, spans, items``; ``row`` is whatever is to be kept of a document."""
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, text binary, {_ADDED}"
+    found = rows
     for ids, automaton in blocks(benchmark, window, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, automaton))
+        shared = rows.sparkSession.sparkContext.broadcast((ids, automaton))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, automaton = shared.value
             for batch in slices(batches, "text"):
-                texts = batch.column("text").to_pylist()
-                earlier = batch.schema.names[2:] and [batch.column("spans").to_pylist(), batch.column("items").to_pylist()]
+                earlier = batch.num_columns > 2 and [batch.column(3).to_pylist(), batch.column(4).to_pylist()]
                 n_words, spans, items = [], [], []
-                for at, text in enumerate(texts):
+                for at, text in enumerate(batch.column("text").to_pylist()):
                     sequence = words(text)
                     new_spans, new_items = automaton.hits(sequence)
                     names = {ids[i] for i in new_items}
@@ -217,19 +212,29 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                     n_words.append(len(sequence))
                     spans.append([{"start": a, "end": b} for a, b in merged(new_spans)])
                     items.append(sorted(names))
-                yield pa.record_batch(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("text"),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(spans, pa.list_(_SPAN)),
-                        pa.array(items, pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "text", "n_words", "spans", "items"],
-                )
-
-        found = found.mapInArrow(search, _FOUND.replace("doc_id bigint", "doc_id bigint, text binary"))
-    return found.drop("text")
+                added = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(items, pa.list_(pa.string()))]
+                yield pa.record_batch([*batch.columns[:2], *added], ["row", "text", "n_words", "spans", "items"])
+
+        found = found.mapInArrow(search, schema)
+    return found
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, n_words, spans, items`` of every row: hit spans in words (disjoint, ascending), item ids (sorted as text).
+
+    Null or empty texts have no words and no hits; null or wordless items have no windows.  Several
+    items with one id count once.  Repeated rows and null ids are kept as they are; other columns are
+    left behind.  An empty benchmark gives every row no hits.
+    """
+    rows = text_bytes(docs).select(F.col("doc_id").alias("row"), "text")
+    return _streamed(rows, benchmark, window, block_words).select(F.col("row").alias("doc_id"), "n_words", "spans", "items")
+
+
+def kept(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, columns unchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = judged(_streamed(rows, benchmark, window, BLOCK_WORDS), share)
+    return found.where("NOT contaminated").select("row.*")
 
 
 def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
