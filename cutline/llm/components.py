@@ -34,4 +34,4 @@ def components(links: DataFrame) -> DataFrame:
         up = stored(up, "hooks")
         labels = up if labels is None else stored(_through(labels, "label", up), "labels")
         links = stored(_through(_through(links, "a", up), "b", up).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    return labels
+    return labels.select("node", "label")

@@ -95,7 +95,7 @@ class Table:
         return buckets
 
     def _code(self, buckets: np.ndarray) -> np.ndarray:
-        code = (buckets.astype(np.uint64) + np.uint64(self.number) * _MIX + np.uint64(1)) * _MIX
+        code = (buckets.astype(np.uint64) + np.uint64(self.number * int(_MIX) % (1 << 64)) + np.uint64(1)) * _MIX
         return (code ^ (code >> np.uint64(29))) * _MIX
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
