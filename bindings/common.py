@@ -67,7 +67,7 @@ def flat_entries(entries: DataFrame) -> DataFrame:
 
 def entry_sql(source: str, **columns: str) -> str:
     """SELECT of all entry columns, NULL where no expression is given."""
-    ints = {"page", "link", "build_year_from", "build_year_to", "doors"}
+    types = dict.fromkeys(("page", "link"), "BIGINT") | dict.fromkeys(("build_year_from", "build_year_to", "doors"), "INTEGER")
     return "SELECT " + ", ".join(
-        f"CAST({columns.get(c, 'NULL')} AS {'INTEGER' if c in ints else 'VARCHAR'}) AS {c}" for c in ENTRY_COLUMNS
+        f"CAST({columns.get(c, 'NULL')} AS {types.get(c, 'VARCHAR')}) AS {c}" for c in ENTRY_COLUMNS
     ) + f" FROM {source}"

@@ -133,7 +133,7 @@ _COMBINED_CARD = {
 
 
 def _stored_cards(spark, sf):
-    present = table(spark, sf, "conversations").where("turn = 0")
+    present = table(spark, sf, "conversations").select("conv_id").distinct()
     named = derive(present, **_COMBINED_CARD)
     return named.select(
         *[
@@ -184,9 +184,12 @@ def gate(spark, sf):
 
 
 def gate_before_prioritize(spark, sf):
-    """Brand rules stay silent while no card has a priority."""
-    cards = derive(table(spark, sf, "part"), **(_FAULTY | {"bundle_priority": "'Unknown'"}))
-    return Q.brand_issues(cards, _baselines(spark)).groupBy().agg(F.count(F.lit(1)).alias("issues"))
+    """Brand rules stay silent while no card has a priority; the same cards with some are judged."""
+    part, found = table(spark, sf, "part"), []
+    for state, priority in (("before", "'Unknown'"), ("after", _FAULTY["bundle_priority"])):
+        cards = derive(part, **(_FAULTY | {"bundle_priority": priority}))
+        found.append(Q.brand_issues(cards, _baselines(spark)).select(F.lit(state).alias("state"), "brand", "kind"))
+    return found[0].unionByName(found[1])
 
 
 # --- fetch outcomes, cards, run summary ----------------------------------------------------
@@ -272,7 +275,13 @@ def summary(spark, sf):
 
 
 def failures(spark, sf):
-    return R.unexpected_failures(summary(spark, sf)).select("brand")
+    """Nations as brands, suppliers in debt as their results: some complete without any, some break."""
+    brands = table(spark, sf, "nation").selectExpr("n_name AS brand", "n_nationkey AS ordinal", "n_regionkey AS region", "n_nationkey")
+    results = table(spark, sf, "supplier").where("s_acctbal < 0").join(brands, F.col("s_nationkey") == F.col("n_nationkey"))
+    outcome = "CASE region WHEN 0 THEN 'DiscoveryFailed' WHEN 1 THEN 'NotImplemented' ELSE 'Completed' END AS outcome"
+    runs = brands.selectExpr("brand", outcome, "CAST(NULL AS STRING) AS note")
+    found = R.run_summary(results.selectExpr("brand", "'Downloaded' AS status"), runs, brands.select("brand", "ordinal"))
+    return R.unexpected_failures(found).select("brand", "outcome", "discovered")
 
 
 # --- upserts and stores --------------------------------------------------------------------
@@ -285,7 +294,7 @@ def upserted(spark, sf):
     """Later orders overwrite earlier ones of the same customer; other customers stay."""
     orders = _order_cards(spark, sf)
     existing = O.latest_by(orders.where("o_orderkey % 2 = 0"), ["id"], F.col("o_orderkey"))
-    incoming = orders.where("o_orderkey % 2 = 1 AND id % 3 > 0")
+    incoming = orders.where("o_orderkey % 2 = 1")
     return C.upsert_cards(existing, incoming, F.col("o_orderkey"))
 
 
@@ -297,9 +306,11 @@ def deleted(spark, sf):
 
 def first_and_latest(spark, sf):
     events = table(spark, sf, "events").selectExpr("user_id", "event_id", "event_type")
-    first = O.first_by(events, ["user_id"], F.col("event_id")).withColumnsRenamed({"event_id": "first_id", "event_type": "first_type"})
-    last = O.latest_by(events, ["user_id"], F.col("event_id")).withColumnsRenamed({"event_id": "last_id", "event_type": "last_type"})
-    return first.join(last, "user_id")
+    ends = O.first_and_latest_by(events, ["user_id"], F.col("event_id"))
+    return ends.select(
+        "user_id", F.col("first.event_id").alias("first_id"), F.col("first.event_type").alias("first_type"),
+        F.col("latest.event_id").alias("last_id"), F.col("latest.event_type").alias("last_type"),
+    )
 
 
 def _full_cards(spark, sf):
@@ -320,7 +331,7 @@ def card_store(spark, sf):
     """Two versions written, the current one read back."""
     root = scratch_path(spark, "cards")
     cards = _full_cards(spark, sf)
-    CS.write_cards(cards.where("status = 'Downloaded'"), root)
+    CS.write_cards(cards, root)
     kept = CS.write_cards(C.upsert_cards(CS.read_cards(spark, root), cards.withColumn("status", F.lit("Failed")).where("brand <> 'Brand#3'")), root)
     return kept.select("id", "brand", "model_name", "status", "build_year_from", F.array_join("sibling_model_ids", "|").alias("siblings"))
 
@@ -359,7 +370,7 @@ def stock_store(spark, sf):
         "year(o_orderdate) AS year", "CAST(o_orderkey AS INT) AS row_no", "o_orderpriority AS segment", "o_orderstatus AS brand_label",
         "concat('c', o_custkey) AS model_series", "CAST(o_totalprice AS INT) AS count",
     )
-    for year in (1995, 1996):
+    for (year,) in sorted(orders.select("year").distinct().collect()):
         rows = orders.where(F.col("year") == year)
         rejected = rows.where("count % 10 = 0").select("year", "row_no", F.lit("w").alias("warning"))
         SS.write_stock(rows, rejected, root, year, "u")
@@ -432,7 +443,7 @@ groups AS (SELECT source_doc, conv_id, doc_id, min(page_no) AS first_page, count
   arg_min(header, page_no) FILTER (header IS NOT NULL) AS header,
   min(turn) FILTER (header IS NOT NULL) AS header_turn FROM pages GROUP BY ALL)"""
 _MODEL_OF_GROUP = "CASE WHEN header IS NULL THEN doc_id ELSE 'Boxster ' || header_turn END"
-_COMBINED = f"cc AS (SELECT {sql_columns(_COMBINED_CARD)}, conv_id FROM conversations WHERE turn = 0)"
+_COMBINED = f"cc AS (SELECT {sql_columns(_COMBINED_CARD)}, conv_id FROM (SELECT DISTINCT conv_id FROM conversations))"
 _SPLIT = f"""{_GROUPS}, {_COMBINED},
 picked AS (SELECT * FROM cc WHERE brand = 'Porsche' AND local_pdf_relative_path IS NOT NULL AND lower(variant) LIKE 'rescue data sheets%'),
 made AS (SELECT p.id AS combined_id, {_MODEL_OF_GROUP} AS model_name, doc_id, header IS NULL AS unread, p.source_page_url, p.conv_id
@@ -496,7 +507,8 @@ UNION ALL SELECT id, brand, model_name, status, source_page_url, local_pdf_relat
     "split_summary": f"""WITH {_SPLIT} SELECT count(DISTINCT combined_id) AS documents_processed, count(*) AS cards_created FROM made""",
     "check_quality": f"WITH {_ISSUES} SELECT * FROM issues",
     "quality_gate": f"WITH {_ISSUES} SELECT (SELECT count(*) FROM issues) AS issue_count, (SELECT count(*) FROM c) AS card_count, (SELECT count(*) FROM issues) = 0 AS passed",
-    "brand_issues_before_prioritize": "SELECT CAST(0 AS BIGINT) AS issues FROM part HAVING count(*) > 0",
+    "brand_issues_before_prioritize": f"""WITH {_ISSUES}
+SELECT 'after' AS state, brand, kind FROM issues WHERE kind IN ('BrandEntirelyUnknownPriority', 'BrandUnknownPriorityCountAboveBaseline')""",
     "classify_fetch": f"WITH {_OUTCOMES} SELECT * FROM classified",
     "build_cards": f"""WITH {_OUTCOMES}, {_BUILT}
 SELECT id, brand, model_name, CASE WHEN download_url IS NULL THEN 'Failed' WHEN success THEN 'Downloaded' ELSE 'MetadataOnly' END AS status,
@@ -511,12 +523,15 @@ SELECT id, brand, model_name, CASE WHEN download_url IS NULL THEN 'Failed' ELSE
     "run_summary": """
 SELECT c_mktsegment AS brand, CASE WHEN c_mktsegment LIKE 'A%' THEN 'NotImplemented' ELSE 'Completed' END AS outcome, count(*) AS discovered,
   count(*) FILTER (c_custkey % 3 = 0) AS downloaded, count(*) FILTER (c_custkey % 3 = 1) AS metadata_only, count(*) FILTER (c_custkey % 3 = 2) AS failed,
-  CASE WHEN c_mktsegment LIKE 'A%' THEN 'not implemented' ELSE '' END AS note FROM customer GROUP BY c_mktsegment
-UNION ALL SELECT 'SILENT', 'Completed', 0, 0, 0, 0, '' UNION ALL SELECT 'BROKEN', 'DiscoveryFailed', 0, 0, 0, 0, 'a message that is clearly longer than f…'""",
-    "unexpected_failures": "SELECT 'SILENT' AS brand UNION ALL SELECT 'BROKEN'",
+  CASE WHEN c_mktsegment LIKE 'A%' THEN 'not implemented' ELSE '' END AS note,
+  CASE WHEN c_mktsegment LIKE 'A%' THEN 'not implemented' ELSE '' END AS short_note FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'SILENT', 'Completed', 0, 0, 0, 0, '', '' UNION ALL SELECT 'BROKEN', 'DiscoveryFailed', 0, 0, 0, 0, 'a message that is clearly longer than forty characters', 'a message that is clearly longer than f…'""",
+    "unexpected_failures": """
+WITH n AS (SELECT n_name AS brand, n_regionkey AS region, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS discovered FROM nation)
+SELECT brand, CASE region WHEN 0 THEN 'DiscoveryFailed' ELSE 'Completed' END AS outcome, discovered FROM n WHERE region = 0 OR (region > 1 AND discovered = 0)""",
     "upsert_cards": """
 WITH ex AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
-inc AS (SELECT * FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 3 > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+inc AS (SELECT * FROM orders WHERE o_orderkey % 2 = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
 u AS (SELECT * FROM inc UNION ALL SELECT * FROM ex WHERE o_custkey NOT IN (SELECT o_custkey FROM inc))
 SELECT o_orderkey, o_custkey AS id, o_orderstatus AS status, o_orderpriority AS note FROM u""",
     "delete_cards": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
@@ -524,16 +539,16 @@ SELECT o_orderkey, o_custkey AS id, o_orderstatus AS status, o_orderpriority AS
   arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id""",
     "card_store": f"""
 WITH c AS ({_CARDS_SQL}) SELECT id, brand, model_name, CASE WHEN brand <> 'Brand#3' THEN 'Failed' ELSE status END AS status, 2001 AS build_year_from,
-  brand AS siblings FROM c WHERE brand <> 'Brand#3' OR status = 'Downloaded'""",
+  brand AS siblings FROM c""",
     "manifests": f"""
 WITH c AS ({_CARDS_SQL}) SELECT id, model_name, 'metadataOnly' AS status, 2001 AS year, '2026-01-01T10:11:12.000000Z' AS discovered, 'vw' AS brand FROM c""",
     "card_sidecars": """
 SELECT 's' || s_suppkey AS id, CASE WHEN bad THEN NULL WHEN s_suppkey % 7 = 0 THEN 'VW' ELSE 'Skoda' END AS brand, CASE WHEN NOT bad THEN s_name END AS model_name,
   CASE WHEN NOT bad THEN 'MetadataOnly' END AS status, bad AS corrupt FROM (SELECT *, s_suppkey % 10 = 0 OR s_suppkey % 7 = 1 AS bad FROM supplier)""",
     "stock_store": f"""
-WITH o AS (SELECT *, CAST(trunc(o_totalprice) AS BIGINT) AS c FROM orders WHERE year(o_orderdate) = 1996)
-SELECT 1996 AS year, o_orderpriority AS segment, count(*) AS n, CAST(sum(c) AS BIGINT) AS total, (SELECT count(*) FROM o) AS row_count,
-  (SELECT count(*) FROM o WHERE c % 10 = 0) AS warning_count, '{fv.STOCK_LICENSE}' AS license, '1996-01-01' AS reference_date FROM o GROUP BY o_orderpriority""",
+WITH o AS (SELECT *, CAST(trunc(o_totalprice) AS BIGINT) AS c FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders))
+SELECT CAST(max(year(o_orderdate)) AS INTEGER) AS year, o_orderpriority AS segment, count(*) AS n, CAST(sum(c) AS BIGINT) AS total, (SELECT count(*) FROM o) AS row_count,
+  (SELECT count(*) FROM o WHERE c % 10 = 0) AS warning_count, '{fv.STOCK_LICENSE}' AS license, CAST(max(year(o_orderdate)) AS VARCHAR) || '-01-01' AS reference_date FROM o GROUP BY o_orderpriority""",
     "report_csv": f"""{_REPORT_LINES}
 {_HEADER_LINE} UNION ALL SELECT brand || ',' || CASE WHEN model_name = 'red gear' THEN '"red, ""gear""' || '"' ELSE coalesce(model_name, '') END || ',' || n || ',' || nd
   || ',' || coalesce(fleet::VARCHAR, '') || ',' || prio FROM rep""",

@@ -18,6 +18,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(outer: Column, inner: Column) -> Column:
+    """Two array positions as one number in the order of both; a position is below 2 ** 31, so nothing can collide."""
+    return F.shiftleft(outer.cast("long"), 32) + inner.cast("long")
+
+
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
 

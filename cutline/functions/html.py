@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,17 +18,27 @@ from cutline.functions.binding import let
 from cutline.functions.names import trim_ws
 
 _TAG_REST = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
-_RAW_TEXT = r"(?is)<!--.*?-->|<(script|style)\b[^>]*+>.*?</\1\s*+>"
+_RAW_TEXT = (
+    r"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+    rf"|<(script|style|textarea|title|template|noscript)(?=[\s/>]){_TAG_REST}(?:[^<]++|<(?!/\1[\s/>]))*+(?:</\1[^>]*+>|\z)"
+)
+# A tag or a quote that never ends takes the rest of the text, so no character is tried twice.
+_OPEN_END = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^'">]++)*+(?:>|\z)"""
+_TOKEN = rf"(?is){_RAW_TEXT}|<[a-z]{_OPEN_END}|[^<]++|<"
+_IS_PLAIN_TEXT = r"(?is)\A<(?:title|textarea)[\s/>]"
+_IS_RAW_TEXT = rf"(?is)\A(?:{_RAW_TEXT})"
 _FREQUENT = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"))
 _OTHER_REFERENCE = r"&(?!amp;)[#A-Za-z]"
-_ENTITY = r"&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]*;|&|[^&]+"
+# Without its semicolon a reference counts where no letter, digit or equals sign follows, as in attributes.
+_ENTITY = r"&#[0-9]++;?|&#[xX][0-9A-Fa-f]++;?|&[A-Za-z][A-Za-z0-9]*+(?:;|(?!=))|&|[^&]+"
 
 
 @lru_cache(maxsize=None)
 def _named_entities() -> str:
     """``name<TAB>character`` lines; one short literal keeps plans small."""
-    named = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
-    return "\n".join(f"&{name};\t{char}" for name, char in sorted(named.items()))
+    # A line feed and a tab are the map's own separators.
+    named = {name: text for name, text in html5.items() if text not in "\n\t"}
+    return "\n".join(f"&{name}\t{text}" for name, text in sorted(named.items()))
 
 
 @lru_cache(maxsize=None)
@@ -49,12 +59,14 @@ def decode_entities(c: Column) -> Column:
         return F.when(valid, F.translate(char, *_windows_controls())).otherwise("\ufffd")
 
     def decode(piece: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"\A&#([0-9]{1,7});", 1)
-        hexed = F.regexp_extract(piece, r"\A&#[xX]([0-9A-Fa-f]{1,6});", 1)
+        decimal = F.regexp_extract(piece, r"\A&#0*+([0-9]++)", 1)
+        hexed = F.regexp_extract(piece, r"\A&#[xX]0*+([0-9A-Fa-f]++)", 1)
         return (
             F.when(~piece.startswith("&"), piece)
+            .when(piece.rlike(r"\A&(?i:newline|tab);\z"), F.when(piece.rlike("(?i)tab"), "\t").otherwise("\n"))
+            .when(piece.rlike(r"\A&#[xX]?0++;?\z"), "\ufffd")
             .when(decimal != "", char_of(decimal.try_cast("long")))
-            .when(hexed != "", char_of(F.conv(hexed, 16, 10).try_cast("long")))
+            .when(hexed != "", char_of(F.when(F.length(hexed) <= 8, F.conv(hexed, 16, 10).try_cast("long"))))
             .otherwise(F.coalesce(F.try_element_at(named, piece), piece))
         )
 
@@ -74,8 +86,19 @@ def decode_entities(c: Column) -> Column:
 
 
 def visible_markup(html: Column) -> Column:
-    """Markup without comments, scripts and styles: links inside those are no links."""
-    return F.regexp_replace(html, _RAW_TEXT, "")
+    """Markup in which every ``<`` before a letter opens a tag.
+
+    Comments, scripts, styles and templates are left out, closed or not; a ``<`` inside a quoted attribute value or a
+    title becomes a reference.  One pass over the text.
+    """
+
+    def plain(token: Column) -> Column:
+        inside = F.concat(F.lit("<"), F.replace(F.substr(token, F.lit(2)), F.lit("<"), F.lit("&lt;")))
+        text_only = F.regexp_replace(token, r"(?is)(?!\A)<(?!/(?:title|textarea)\b)", "&lt;")
+        return F.when(token.rlike(_IS_PLAIN_TEXT), text_only).when(token.rlike(_IS_RAW_TEXT), "").when(F.instr(F.substr(token, F.lit(2)), "<") > 0, inside).otherwise(token)
+
+    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    return F.array_join(F.transform(tokens, plain), "")
 
 
 def attribute(tag: Column, name: str) -> Column:

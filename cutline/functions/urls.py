@@ -55,11 +55,17 @@ def _remove_dot_segments(path: Column) -> Column:
     return let(path, remove)
 
 
+def _default_port(base: Column) -> Column:
+    """Pattern of the port that a scheme has without saying so."""
+    scheme = F.lower(F.regexp_extract(base, _BASE, 1))
+    return F.when(scheme == "https", r":(?:443)?\z").when(scheme == "http", r":(?:80)?\z").otherwise(r":\z")
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute URL of ``href`` on page ``base``; anything starting with ``http`` is kept verbatim."""
     parts = F.struct(
         F.regexp_extract(base, _BASE, 1).alias("scheme"),
-        F.lower(F.regexp_extract(base, _BASE, 2)).alias("host"),
+        F.regexp_replace(F.lower(F.regexp_extract(base, _BASE, 2)), _default_port(base), "").alias("host"),
         F.regexp_extract(base, _BASE, 3).alias("path"),
         F.regexp_extract(href, r"\A[^?#]*", 0).alias("target"),
         F.regexp_extract(href, r"[?#].*\z", 0).alias("suffix"),

@@ -34,7 +34,7 @@ def attach_fetch(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
     Entries without a URL match nothing. They get spread keys, or a shuffle would send all of
     them to one task.
     """
-    spread = F.concat(F.lit("no-url-"), F.pmod(F.xxhash64("raw_label", "entry_pos"), F.lit(1024)))
+    spread = F.concat(F.lit("no-url-"), F.xxhash64("raw_label", "entry_pos"))
     keyed = entries.withColumn("_key", F.coalesce("download_url", spread))
     return keyed.join(outcomes.withColumnRenamed("url", "_key"), "_key", "left").drop("_key")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
 from cutline.functions import html as H
-from cutline.functions.binding import bind
+from cutline.functions.binding import bind, packed
 from cutline.functions.names import not_blank, trim_ws
 from cutline.functions.urls import resolve_url
 
@@ -59,7 +59,9 @@ def with_json(df: DataFrame, raw: Column, ddl: str, out: str) -> DataFrame:
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
     read = bind(df, **{out: F.from_json(lower_json_keys(raw), f"{ddl}, {_CORRUPT} string", options)})
-    return read.where(F.col(out).isNotNull() & F.col(f"{out}.{_CORRUPT}").isNull())
+    # The reader takes a text whose first value is sound; as the only member of an array nothing may follow that.
+    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & F.rtrim(raw).endswith("}")
+    return read.where(F.col(out).isNotNull() & F.col(f"{out}.{_CORRUPT}").isNull() & alone)
 
 
 def extract_data_props(pages: DataFrame, module: str, ddl: str) -> DataFrame:
@@ -75,7 +77,7 @@ def extract_template_links(pages: DataFrame, prefix: str = fv.COMBINED_PREFIX) -
     """``(page columns except html, pos, href, text)`` of the link lists in a page's first
     template script whose text starts with ``prefix`` in any case."""
     keep = [c for c in pages.columns if c != "html"]
-    template = F.regexp_extract(F.regexp_replace(F.col("html"), r"(?s)<!--.*?-->", ""), _TEMPLATE, 1)
+    template = F.regexp_extract(F.regexp_replace(F.col("html"), r"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)", ""), _TEMPLATE, 1)
     lists = H.opening_tags(template, "link-list")
     items = "items array<struct<link:struct<href:string,text:string>>>"
     tags = pages.select(*keep, F.posexplode(lists).alias("list_pos", "tag"))
@@ -91,7 +93,7 @@ def extract_template_links(pages: DataFrame, prefix: str = fv.COMBINED_PREFIX) -
         & F.lower("text").startswith(prefix.lower())
     ).select(
         *keep,
-        (F.col("list_pos") * 1_000_000 + F.col("item_pos")).alias("pos"),
+        packed(F.col("list_pos"), F.col("item_pos")).alias("pos"),
         F.col("item.link.href").alias("href"),
         "text",
     )

@@ -25,7 +25,7 @@ def match_key(name: Column) -> Column:
 def _join_key(df: DataFrame) -> Column:
     """Match key for the card side of a join. Rows without one get keys no series can have,
     spread by their content, or a shuffle would send all of them to one task."""
-    nowhere = F.concat(F.lit("-"), F.pmod(F.xxhash64(*df.columns), F.lit(1024)))
+    nowhere = F.concat(F.lit("-"), F.xxhash64(*df.columns))
     return F.coalesce(match_key(F.col("model_name")), nowhere)
 
 

@@ -30,6 +30,12 @@ def latest_by(df: DataFrame, keys: Sequence[str], position: Column) -> DataFrame
     return _pick(df, keys, position, F.max_by)
 
 
+def first_and_latest_by(df: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
+    """One row per key with the rows of its lowest and highest position as structs ``first`` and ``latest``: one aggregate."""
+    row, at = F.struct(*[c for c in df.columns if c not in keys]), F.struct(position)
+    return df.groupBy(*keys).agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("latest"))
+
+
 def fill_down(
     df: DataFrame, keys: Sequence[str], position: str, value: str, block_rows: int = 65_536
 ) -> DataFrame:

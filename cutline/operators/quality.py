@@ -6,7 +6,7 @@ aggregate per id finds duplicates, one per brand feeds both brand rules.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
@@ -53,17 +53,18 @@ def duplicate_issues(cards: DataFrame, position: Column | None = None) -> DataFr
 def brand_issues(cards: DataFrame, baselines: DataFrame) -> DataFrame:
     """Brands entirely without priority, and brands with more unknown cards than their baseline.
 
-    Neither fires before any card at all has a priority, which an uncorrelated scalar
-    subquery over the per-brand counts decides.
+    Neither fires before any card at all has a priority, which a sum over the per-brand
+    counts decides.
     """
     per_brand = cards.groupBy("brand").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("bundle_priority") == "Unknown").alias("unknown"),
     )
-    prioritized = per_brand.agg(F.sum(F.col("n") - F.col("unknown")).alias("prioritized"))
+    # One row for each brand: few enough for a window over all of them.
+    prioritized = F.sum(F.col("n") - F.col("unknown")).over(Window.partitionBy())
     entirely = F.col("unknown") == F.col("n")
     above = F.col("unknown") > F.col("baseline")
-    rated = per_brand.where(F.coalesce(prioritized.scalar(), F.lit(0)) > 0).join(baselines, "brand", "left")
+    rated = per_brand.withColumn("prioritized", prioritized).where("prioritized > 0").join(baselines, "brand", "left")
     return rated.where(entirely | above).select(
         F.col("brand").alias("card_id"),
         "brand",

@@ -48,12 +48,12 @@ def priority_report(cards: DataFrame) -> DataFrame:
         F.struct(F.col("_fleet_low").alias("f"), F.col("_rank_low").alias("r")),
         F.struct(F.col("_fleet_high").alias("f"), F.col("_rank_high").alias("r")),
     ).cast("int")
-    # The check must run whenever the report is read, so its (NULL) result is part of a column.
+    # A filter is evaluated for every row whatever is read of it; the check is NULL or an error.
     return ordered_report(
-        grouped.select(
+        grouped.where(conflict.isNull()).select(
             *keys,
             *_COUNTS,
-            F.coalesce(conflict, F.nullif(F.col("_fleet_low"), F.lit(-1))).alias("estimated_fleet_size"),
+            F.nullif(F.col("_fleet_low"), F.lit(-1)).alias("estimated_fleet_size"),
             _priority_name(F.col("_rank_low")).alias("bundle_priority"),
         )
     )
@@ -109,7 +109,7 @@ def priority_distribution(cards: DataFrame, priorities: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame, brand_runs: DataFrame, brands: DataFrame) -> DataFrame:
-    """Per brand run: counts by status, outcome and a short note, in brand order.
+    """Per brand run: counts by status, outcome and a note, in whole and shortened, in brand order.
 
     ``results`` has one row per discovered entry (brand, status); ``brand_runs`` one row per brand.
     """
@@ -128,7 +128,7 @@ def run_summary(results: DataFrame, brand_runs: DataFrame, brands: DataFrame) ->
     return (
         zero_fill(brand_runs.join(brands, "brand"), counts, "brand", columns)
         .orderBy("ordinal")
-        .select("brand", "outcome", *columns, short_note(note).alias("note"))
+        .select("brand", "outcome", *columns, note.alias("note"), short_note(note).alias("short_note"))
     )
 
 

@@ -19,7 +19,7 @@ from cutline import fixed_values as fv
 from cutline import schemas
 from cutline.functions import html as H
 from cutline.functions import text as X
-from cutline.functions.binding import bind
+from cutline.functions.binding import bind, packed
 from cutline.functions.filenames import audi_tokens, tokens, with_parsed_name
 from cutline.functions.names import not_blank, trim_ws
 from cutline.functions.urls import resolve_url, url_file_name, url_file_stem
@@ -49,7 +49,7 @@ def _entries(
         source.alias("source_page_url"),
         "download_url",
         label.alias("raw_label"),
-        F.struct(page.cast("int").alias("page"), link.cast("int").alias("link")).alias("entry_pos"),
+        F.struct(page.cast("long").alias("page"), link.cast("long").alias("link")).alias("entry_pos"),
         (F.col("parsed") if parsed is None else parsed).alias("parsed"),
     )
 
@@ -217,7 +217,7 @@ def skoda_model_links(overview: DataFrame) -> DataFrame:
     return links.where(not_blank(F.col("text"))).select(
         resolve_url(F.col("url"), F.col("href")).alias("page_url"),
         F.col("text").alias("model_name"),
-        (F.col("module_pos") * 10_000 + F.col("pos")).alias("page"),
+        packed(F.col("module_pos"), F.col("pos")).alias("page"),
     )
 
 
@@ -238,7 +238,7 @@ def discover_skoda(overview: DataFrame, pages: DataFrame) -> DataFrame:
         found,
         title=trim_ws(F.col("file.title")),
         download_url=resolve_url(F.col("page_url"), F.col("file.link")),
-        pos=F.col("module_pos") * 10_000 + F.col("file_pos"),
+        pos=packed(F.col("module_pos"), F.col("file_pos")),
     )
     title = F.col("title")
     files = bind(

@@ -56,7 +56,7 @@ ENTRIES = (
     .add("source_page_url", T.StringType())
     .add("download_url", T.StringType())
     .add("raw_label", T.StringType())
-    .add("entry_pos", struct_of("page int, link int"))
+    .add("entry_pos", struct_of("page bigint, link bigint"))
     .add("parsed", PARSED)
 )
 

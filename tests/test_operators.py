@@ -144,8 +144,8 @@ def test_run_summary_and_gate(spark):
     )
     summary = R.run_summary(results, runs, schemas.brand_dim(spark))
     assert [tuple(r) for r in summary.collect()] == [
-        ("VW", "Completed", 4, 2, 1, 1, ""), ("Audi", "DiscoveryFailed", 0, 0, 0, 0, "x" * 39 + "…"),
-        ("Seat", "Completed", 0, 0, 0, 0, ""), ("Porsche", "NotImplemented", 0, 0, 0, 0, "not implemented"),
+        ("VW", "Completed", 4, 2, 1, 1, "", ""), ("Audi", "DiscoveryFailed", 0, 0, 0, 0, "x" * 50, "x" * 39 + "…"),
+        ("Seat", "Completed", 0, 0, 0, 0, "", ""), ("Porsche", "NotImplemented", 0, 0, 0, 0, *["not implemented"] * 2),
     ]
     assert {r["brand"] for r in R.unexpected_failures(summary).collect()} == {"Audi", "Seat"}
 
