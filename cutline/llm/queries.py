@@ -88,4 +88,33 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_pii, op2_cross_polytope, op3_lm_log_bilinear, op4_html_blocks, op5_run_length_dedup, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
 }
-ORACLE: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"regexp_extract_all(translate({{}}, '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# The others are models, spans of disguised text, or copies of the corpus's own bytes: tests/llm has brute-force versions.
+ORACLE = {
+    "op7_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+ip AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS p FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM ip),
+dp AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw)),
+h AS (SELECT r, p, n, item FROM (SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS k FROM dp) JOIN iw USING (n, k)),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""",
+    # The checksum of each text by a table made from its polynomial, byte by byte.
+    "op8_interleave": """
+WITH RECURSIVE t AS (SELECT i, i AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8),
+hx AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS stratum, len(h) // 2 + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i+1] AS BIGINT))), lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+  md5('mixture:' || coalesce(doc_id::VARCHAR, '')) AS shuffle FROM hx, tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY shuffle, doc_id NULLS FIRST, text_crc32, size) AS rank, count(*) OVER (PARTITION BY stratum) AS n,
+  CAST('0x' || substr(md5('mixture/' || stratum), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS phase FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank - phase) / n, stratum, rank) - 1 AS position, count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (position * 8 // total)::INTEGER AS shard, position - ((position * 8 // total) * total + 7) // 8 AS slot, NULL::INTEGER AS grown_shard FROM p""",
+}
