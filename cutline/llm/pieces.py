@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations that the registered query reports.
 N_BEST = 4
 #: Units in the cache of a Python worker, and the longest unit that is worked on together with others.
-CACHED, TOGETHER = 1_000_000, 48
+CACHED, TOGETHER = 500_000, 48
 _SPACE = "▁"
 #: Pieces below this score are only for merging; a lattice could do without them, but they stay possible.
 _LOWEST = -1_000_000
