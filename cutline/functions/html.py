@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cutline.functions.binding import let
 from cutline.functions.names import trim_ws
 
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 _TAG_REST = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+>"""
 _RAW_TEXT = (
     r"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
@@ -103,8 +104,7 @@ def visible_markup(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Decoded value of an attribute of an opening tag, NULL when it is absent."""
-    wanted = re.escape(name)
-    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+    wanted, value = re.escape(name), _VALUE
     pattern = (
         rf"(?is)\A<[a-z][^\s/>]*+(?:[\s/]++(?!{wanted}[\s=/>])[^\s=>/]++(?:\s*+=\s*+{value})?+)*+"
         rf"[\s/]++{wanted}\s*+=\s*+({value})"
@@ -137,32 +137,44 @@ def pieces_from(markup: Column, start: str) -> Column:
     return F.filter(cut, lambda piece: piece.rlike(rf"(?is)\A{start}"))
 
 
-def element_pieces(markup: Column, element: str, css_class: str) -> Column:
-    """Outer markup of every ``element`` with a class, cut off at its closing tag."""
-    start = (
-        rf"""<{element}\s[^>]*?\bclass\s*=\s*["'](?:[^"']*\s)?{re.escape(css_class)}(?:\s[^"']*)?["']"""
+def _tag_with_class(css_class: str) -> str:
+    """Pattern of the start of an opening tag that carries a class, quoted or not, after any other attributes."""
+    name = re.escape(css_class)
+    quoted = "|".join(rf"{q}(?:[^{q}]*\s)?{name}(?:\s[^{q}]*)?{q}" for q in "\"'")
+    return (
+        rf"<[a-z][^\s/>]*+(?:[\s/]++(?!class[\s=/>])[^\s=>/]++(?:\s*+=\s*+{_VALUE})?+)*+"
+        rf"[\s/]++class\s*+=\s*+(?:{quoted}|{name}(?=[\s>]))"
     )
-    return F.transform(pieces_from(markup, start), lambda piece: _first_element(piece, element))
-
-
-def _first_element(piece: Column, element: str) -> Column:
-    """The leading element of a piece of markup without its closing tag, found by counting nested tags."""
-    steps = pieces_from(piece, rf"</?{element}\b")
-    depth_step = F.transform(steps, lambda s: F.when(s.startswith("</"), -1).otherwise(1))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
-
-    def count(acc: Column, step: Column) -> Column:
-        depth = acc["depth"] + step
-        return F.when(acc["closed"], acc).otherwise(
-            F.struct(
-                depth.alias("depth"),
-                (acc["kept"] + F.when(depth > 0, 1).otherwise(0)).alias("kept"),
-                (depth <= 0).alias("closed"),
+
+
+def element_pieces(markup: Column, css_class: str) -> Column:
+    """Markup of every element with a class, whatever its name, from its opening tag to before its closing one."""
+    return F.transform(pieces_from(markup, _tag_with_class(css_class)), _first_element)
+
+
+def _first_element(piece: Column) -> Column:
+    """The leading element of a piece of markup without its closing tag, found by counting nested tags of its name."""
+
+    def upto_close(name: Column) -> Column:
+        same = F.concat(F.lit(r"(?is)(?=</?\Q"), name, F.lit(r"\E[\s/>])"))
+        steps = F.filter(F.split(piece, same), lambda step: step.startswith("<"))
+        depth_step = F.transform(steps, lambda s: F.when(s.startswith("</"), -1).otherwise(1))
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
+
+        def count(acc: Column, step: Column) -> Column:
+            depth = acc["depth"] + step
+            return F.when(acc["closed"], acc).otherwise(
+                F.struct(
+                    depth.alias("depth"),
+                    (acc["kept"] + F.when(depth > 0, 1).otherwise(0)).alias("kept"),
+                    (depth <= 0).alias("closed"),
+                )
             )
-        )
 
-    kept = F.aggregate(depth_step, start, count, lambda acc: acc["kept"])
-    return F.array_join(F.slice(steps, F.lit(1), F.greatest(kept, F.lit(1))), "")
+        kept = F.aggregate(depth_step, start, count, lambda acc: acc["kept"])
+        return F.array_join(F.slice(steps, F.lit(1), F.greatest(kept, F.lit(1))), "")
+
+    return let(F.regexp_extract(piece, r"(?is)\A<([a-z][^\s/>]*+)", 1), upto_close)
 
 
 ANCHOR = r"<a(?=[\s/>])"
@@ -196,12 +208,6 @@ def anchor_text(inner: Column) -> Column:
 
 def labelled_text(markup: Column, css_class: str) -> Column:
     """Trimmed text of the first element carrying a class, NULL when there is none."""
-    pattern = (
-        rf"""(?is)<([a-z][a-z0-9\-]*+)\s[^>]*?\bclass\s*=\s*["'](?:[^"']*\s)?{re.escape(css_class)}"""
-        rf"""(?:\s[^"']*)?["'][^>]*+(>.*?)</\1\s*+>"""
-    )
-    # The captured text starts with the end of the tag, so an empty capture means no element.
-    return let(
-        F.regexp_extract(markup, pattern, 2),
-        lambda found: F.when(found != "", trim_ws(text_content(F.substr(found, F.lit(2))))),
-    )
+    first = F.try_element_at(pieces_from(markup, _tag_with_class(css_class)), F.lit(1))
+    inner = F.regexp_replace(_first_element(first), rf"(?is)\A<[a-z]{_TAG_REST}", "")
+    return F.when(first.isNotNull(), trim_ws(text_content(inner)))

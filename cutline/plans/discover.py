@@ -132,7 +132,7 @@ def discover_bentley(pages: DataFrame) -> DataFrame:
     """
     items = pages.select(
         "url",
-        F.posexplode(H.element_pieces(H.visible_markup(F.col("html")), "div", fv.BENTLEY_ITEM_CLASS)).alias("pos", "item"),
+        F.posexplode(H.element_pieces(H.visible_markup(F.col("html")), fv.BENTLEY_ITEM_CLASS)).alias("pos", "item"),
     )
 
     def labelled(anchor: Column) -> Column:

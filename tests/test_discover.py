@@ -38,11 +38,11 @@ def test_cupra(spark):
 
 
 def test_lamborghini(spark):
-    html = """<a href="/d/EMERGENCY%20GUIDE_V1_EN.pdf">g</a><a href="/d/REVUELTO_RESCUE_DATA_SHEET_V1_EN.pdf">r</a>
-    <a href="/d/URUS%20SE%20RESCUE%20DATA%20SHEET_V2.pdf">u</a>"""
+    html = """<nav><a href=/models>all</a></nav><a href="notes/Owner_Handbook.pdf">no sheet</a>
+    <A title="a > b" HREF='sheets/Toro%20Nero%20RESCUE%20DATA%20SHEET.pdf'>one</A><a href=/x/Vento_RESCUE_DATA_SHEET_7.pdf>two"""
     got = entries(D.discover_lamborghini(pages_of(spark, (fv.PAGE_URLS["Lamborghini"], html))))
-    assert [(r["model_name"], r["language_code"], r["parse_confidence"]) for r in got] == [("REVUELTO", "EN", "High"), ("URUS SE", "EN", "High")]
-    assert got[1]["download_url"] == "https://www.lamborghini.com/d/URUS SE RESCUE DATA SHEET_V2.pdf"
+    assert [(r["model_name"], r["language_code"], r["parse_confidence"]) for r in got] == [("Toro Nero", "EN", "High"), ("Vento", "EN", "High")]
+    assert got[1]["download_url"] == "https://www.lamborghini.com/x/Vento_RESCUE_DATA_SHEET_7.pdf"
 
 
 def feed(**overrides):

@@ -142,9 +142,9 @@ def test_parentheses_and_powertrain(apply):
 
 
 def test_name_before_sheet(apply):
-    values = ["URUS SE RESCUE DATA SHEET_V8", "HURACAN_EVO__rescue_data_sheet", "RESCUE DATA SHEET", "GUIDE"]
+    values = ["Toro Nero RESCUE DATA SHEET 3", "HURACAN_EVO__rescue_data_sheet", "RESCUE DATA SHEET", "GUIDE"]
     assert apply(text.has_rescue_sheet_name, values) == [True, True, False, False]
-    assert apply(text.name_before_sheet, values)[:2] == ["URUS SE", "HURACAN EVO"]
+    assert apply(text.name_before_sheet, values)[:2] == ["Toro Nero", "HURACAN EVO"]
 
 
 def test_brand_and_series(spark):
@@ -205,8 +205,8 @@ def test_resolve_url(apply):
 
 
 def test_resolved_urls_are_readable(apply):
-    got = apply(lambda c: urls.resolve_url(F.lit("https://h.example/"), c), ["/URUS%20SE%25_%C3%BC_%FF.pdf", "/a%"])
-    assert got == ["https://h.example/URUS SE%25_ü_%FF.pdf", "https://h.example/a%"]
+    got = apply(lambda c: urls.resolve_url(F.lit("https://h.example/"), c), ["/One%20two%25_%C3%BC_%FF.pdf", "/a%"])
+    assert got == ["https://h.example/One two%25_ü_%FF.pdf", "https://h.example/a%"]
 
 
 def test_url_file_names(apply):

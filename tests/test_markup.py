@@ -82,3 +82,25 @@ def test_first_and_latest_are_one_aggregate(spark):
     assert rows == {"a": ("x", None), "b": ("y", "y"), None: ("z", "z")}
     assert plan.count("Exchange hashpartitioning") == 1
     assert schemas.ENTRIES["entry_pos"].dataType["page"].dataType.typeName() == "long"
+
+
+@pytest.mark.parametrize(
+    "item",
+    [
+        '<div class=c-item><h3 class="t x">Head <b>2020</b></h3>rest</div>', "<li title='a > b' class='x c-item'><span class=t>Head <span>2020</span></span></li>",
+        '<section data-c="class=c-item" class="c-item"><div class="t">Head <div>2020</div></div></section>',
+    ],
+)
+def test_elements_by_class(spark, item):
+    df = spark.createDataFrame([(f"<ul><li class='c-items'>no</li>{item}<p>after</p>",)], "html string")
+    pieces = df.select(F.explode(H.element_pieces(H.visible_markup(F.col("html")), "c-item")).alias("e"))
+    rows = pieces.select("e", H.labelled_text(F.col("e"), "t").alias("t"), H.labelled_text(F.col("e"), "none").alias("n")).collect()
+    assert [(r["t"], r["n"]) for r in rows] == [("Head 2020", None)]
+    assert "after" not in rows[0]["e"]
+
+
+def test_unclosed_labelled_elements_take_linear_time(spark):
+    df = spark.createDataFrame([("<div class=t><span>x" * 15_000,)], "html string")
+    start = time.perf_counter()
+    df.select(H.labelled_text(F.col("html"), "t").alias("t")).collect()
+    assert time.perf_counter() - start < 8
