@@ -206,8 +206,19 @@ def anchor_text(inner: Column) -> Column:
     return trim_ws(text_content(inner))
 
 
+# Content of a leading element without another of its name inside, and the start of its closing tag.
+_SIMPLE_CONTENT = rf"(?is)\A<([a-z][^\s/>]*+){_TAG_REST}((?:[^<]++|<(?!/?\1[\s/>]))*+</)\1[\s/>]"
+
+
 def labelled_text(markup: Column, css_class: str) -> Column:
     """Trimmed text of the first element carrying a class, NULL when there is none."""
+
+    def content(piece: Column) -> Column:
+        nested = F.regexp_replace(_first_element(piece), rf"(?is)\A<[a-z]{_TAG_REST}", "")
+        return let(
+            F.regexp_extract(piece, _SIMPLE_CONTENT, 2),
+            lambda simple: F.when(simple != "", F.substr(simple, F.lit(1), F.length(simple) - 2)).otherwise(nested),
+        )
+
     first = F.try_element_at(pieces_from(markup, _tag_with_class(css_class)), F.lit(1))
-    inner = F.regexp_replace(_first_element(first), rf"(?is)\A<[a-z]{_TAG_REST}", "")
-    return F.when(first.isNotNull(), trim_ws(text_content(inner)))
+    return let(first, lambda piece: F.when(piece.isNotNull(), trim_ws(text_content(content(piece)))))
