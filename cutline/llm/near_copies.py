@@ -47,7 +47,7 @@ _ODD = (np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
