@@ -29,6 +29,7 @@ from cutline.operators.links import (
     extract_links,
     extract_template_links,
     follow,
+    missing_pages,
     with_absolute_url,
     with_json,
 )
@@ -300,6 +301,18 @@ EXTRACTORS: dict[str, Extractor] = {
 }
 
 
+def missing_model_pages(landed: Landed, brands: Sequence[str] = fv.BRANDS) -> DataFrame:
+    """``(brand, page_url)``: model pages that an overview links to and that were never landed."""
+    hops = {"Seat": seat_model_pages, "Skoda": skoda_model_links}
+    found = [
+        missing_pages(links(landed.page(brand)), landed.pages).select(F.lit(brand).alias("brand"), "page_url").distinct()
+        for brand, links in hops.items()
+        if brand in brands
+    ]
+    empty = schemas.empty_frame(landed.pages.sparkSession, schemas.struct_of("brand string, page_url string"))
+    return reduce(DataFrame.unionByName, found, empty)
+
+
 def discover_all(landed: Landed, brands: Sequence[str] = fv.BRANDS) -> DataFrame:
     """Lazy union of the entries of several brands, without failure isolation."""
     return reduce(DataFrame.unionByName, [EXTRACTORS[b](landed) for b in brands])

@@ -25,7 +25,7 @@ from cutline.operators.sheet import (
     stock_warnings,
 )
 from cutline.operators.split import combined_cards, replace_combined, split_cards, split_counts, split_groups, split_summary
-from cutline.plans.discover import Landed, run_discovery
+from cutline.plans.discover import Landed, missing_model_pages, run_discovery
 from cutline.session import checkpointed
 from cutline.sources.cards import read_cards, write_cards, write_manifests
 from cutline.sources.config import read_aliases, read_siblings
@@ -35,11 +35,12 @@ from cutline.sources.stock import read_stock, write_stock
 
 @dataclass(frozen=True)
 class JobResult:
-    """What a job leaves behind: its exit code and a small result table."""
+    """What a job leaves behind: its exit code, a small result table, and what it could not read, where it reports that."""
 
     exit_code: int
     result: DataFrame | None
     message: str = ""
+    details: DataFrame | None = None
 
 
 def discover(
@@ -53,18 +54,18 @@ def discover(
     """Extract entries of the chosen brands, upsert their cards, summarise the run.
 
     Without a fetch log it is a dry run: cards are stored, manifests are not. Exit code 1
-    means a brand failed or found nothing.
+    means a brand failed or found nothing.  The details are the linked model pages that were never landed.
     """
     entries, brand_runs = run_discovery(spark, landed, brands)
     outcomes = None if fetch_log is None else classify_fetch(fetch_log)
     cards = build_cards(entries, read_siblings(spark, siblings_path), outcomes)
     stored = write_cards(upsert_cards(read_cards(spark, cards_root), cards, F.col("entry_pos")), cards_root)
     if fetch_log is not None:
-        write_manifests(stored, cards_root)
+        write_manifests(stored, cards_root, brands)
     # The summary counts every discovered entry, also those overwritten by a later one of the same id.
-    summary = run_summary(cards.select("brand", "status"), brand_runs, schemas.brand_dim(spark))
+    summary = checkpointed(run_summary(cards.select("brand", "status"), brand_runs, schemas.brand_dim(spark)))
     failed = not unexpected_failures(summary).isEmpty()
-    return JobResult(1 if failed else 0, summary)
+    return JobResult(1 if failed else 0, summary, details=missing_model_pages(landed, brands))
 
 
 def load_stock(spark: SparkSession, cells: DataFrame, pages: DataFrame, stock_root: str, year: int) -> JobResult:
@@ -117,17 +118,21 @@ def prioritize(
 
 
 def split(spark: SparkSession, cards_root: str, pdf_pages: DataFrame, siblings_path: str | None = None) -> JobResult:
-    """Replace combined cards by the cards found in their pages. Exit code 1: no combined card."""
+    """Replace combined cards by the cards found in their pages. Exit code 1: no combined card.
+
+    The details are the cards found in each combined document, zeros included.
+    """
     cards = read_cards(spark, cards_root)
     combined = combined_cards(cards)
     if combined.isEmpty():
         return JobResult(1, None, "no downloaded combined cards found")
     made = attach_siblings(split_cards(combined, split_groups(pdf_pages)), read_siblings(spark, siblings_path))
     made = checkpointed(made.select(*schemas.CARDS.names, "combined_id"))
-    summary = checkpointed(split_summary(split_counts(combined, made)))
+    counts = checkpointed(split_counts(combined, made))
+    summary = split_summary(counts)
     stored = write_cards(replace_combined(cards, made), cards_root)
     write_manifests(stored, cards_root)
-    return JobResult(0, summary)
+    return JobResult(0, summary, details=counts)
 
 
 def quality(spark: SparkSession, cards_root: str) -> JobResult:

@@ -7,6 +7,7 @@ the version log, so a crash at any point leaves the previous version readable.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,7 +50,7 @@ def to_camel(df: DataFrame, enums=tuple(_ENUMS)) -> DataFrame:
 
 def _current_path(spark: SparkSession, root: str) -> tuple[int, str] | None:
     try:
-        log = spark.read.schema(_VERSIONS).json(f"{root}/versions")
+        log = spark.read.schema(_VERSIONS).option("recursiveFileLookup", True).json(f"{root}/versions")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -74,7 +75,8 @@ def _stored_schema() -> T.StructType:
 def write_cards(cards: DataFrame, root: str) -> DataFrame:
     """Write the whole card table as the new current version and return it as stored.
 
-    Files are laid out by brand; rebalancing keeps them even when one brand dominates.
+    Files are laid out by brand; rebalancing keeps them even when one brand dominates.  Each version has a log
+    entry of its own, which must not exist yet: of two writers that started from one version, the second fails.
     """
     spark = cards.sparkSession
     current = _current_path(spark, root)
@@ -86,19 +88,22 @@ def write_cards(cards: DataFrame, root: str) -> DataFrame:
         .parquet(f"{root}/{path}")
     )
     entry = schemas.literal_frame(spark, [(version, path)], _VERSIONS)
-    entry.coalesce(1).write.mode("append").json(f"{root}/versions")
+    entry.coalesce(1).write.mode("errorifexists").json(f"{root}/versions/{version}")
     return read_cards(spark, root)
 
 
-def write_manifests(cards: DataFrame, root: str) -> None:
-    """JSON lines of all cards, one folder per brand, in the sidecar spelling.
+def write_manifests(cards: DataFrame, root: str, brands: Sequence[str] | None = None) -> None:
+    """JSON lines of all cards, or those of some brands, one folder per brand, in the sidecar spelling.
 
-    A brand's cards are never gathered into one document: any number of files may hold them.
+    A brand's cards are never gathered into one document: any number of files may hold them.  Only the
+    folders of brands with cards here are replaced.
     """
+    chosen = cards if brands is None else cards.where(F.col("brand").isin(*brands))
     (
-        to_camel(cards.select(*schemas.CARDS.names))
+        to_camel(chosen.select(*schemas.CARDS.names))
         .hint("rebalance", F.col("brand"))
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("brand")
         .option("ignoreNullFields", False)
         .option("timestampFormat", _TIMESTAMPS)

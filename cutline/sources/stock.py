@@ -1,58 +1,72 @@
-"""Stock table, partitioned by year, with its warnings and provenance."""
+"""Stock table, one folder for each load of a year, with its warnings and provenance."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutline import fixed_values as fv
 from cutline import schemas
+from cutline.operators.ordered import latest_by
 from cutline.operators.sheet import reference_date
 
 
+_LOG = T.StructType([*schemas.STOCK_META.fields, *schemas.struct_of("version bigint, path string").fields])
+
+
 def write_stock(
     rows: DataFrame, warnings: DataFrame, root: str, year: int, source_url: str, now: Column | None = None
 ) -> DataFrame:
     """Replace one year of the stock table and return its provenance row.
 
-    Provenance is written last and counts what was stored, so a year only becomes visible
-    to readers once its rows are complete.
+    Rows and warnings go to a folder of their own.  The provenance row is appended to a log last, counts what was
+    stored and names the folder, so readers see the year as it was until all of it is complete.
     """
     spark = rows.sparkSession
     now = F.current_timestamp() if now is None else now
+    path = f"stock-{uuid.uuid4().hex}"
     for df, schema, name in ((rows, schemas.STOCK, "rows"), (warnings, schemas.STOCK_WARNINGS, "warnings")):
-        columns = [c for c in schema.names if c != "year"]
-        df.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/year={year}")
-    stored = spark.read.schema(schemas.STOCK).parquet(f"{root}/rows").where(F.col("year") == year)
-    rejected = spark.read.schema(schemas.STOCK_WARNINGS).parquet(f"{root}/warnings").where(F.col("year") == year)
-    meta = (
-        stored.select(F.lit(1).alias("row"), F.lit(0).alias("warning"))
-        .unionByName(rejected.select(F.lit(0).alias("row"), F.lit(1).alias("warning")))
+        df.select(*[c for c in schema.names if c != "year"]).write.parquet(f"{root}/{path}/{name}")
+    earlier = _log(spark, root).agg(F.max("version").alias("version")).first()["version"] or 0
+    counts = (
+        spark.read.parquet(f"{root}/{path}/rows").select(F.lit(1).alias("row"), F.lit(0).alias("warning"))
+        .unionByName(spark.read.parquet(f"{root}/{path}/warnings").select(F.lit(0).alias("row"), F.lit(1).alias("warning")))
         .agg(
             F.coalesce(F.sum("row"), F.lit(0)).alias("row_count"),
             F.coalesce(F.sum("warning"), F.lit(0)).alias("warning_count"),
         )
-        .select(
-            reference_date(F.lit(year)).alias("reference_date"),
-            F.lit(source_url).alias("source_url"),
-            F.lit(fv.STOCK_LICENSE).alias("license"),
-            now.alias("fetched_at_utc"),
-            "row_count",
-            "warning_count",
-        )
-    )
-    meta.write.mode("overwrite").parquet(f"{root}/meta/year={year}")
+    )
+    counts.select(
+        F.lit(year).cast("int").alias("year"),
+        reference_date(F.lit(year)).alias("reference_date"),
+        F.lit(source_url).alias("source_url"),
+        F.lit(fv.STOCK_LICENSE).alias("license"),
+        now.alias("fetched_at_utc"),
+        "row_count",
+        "warning_count",
+        F.lit(earlier + 1).cast("long").alias("version"),
+        F.lit(path).alias("path"),
+    ).write.mode("append").parquet(f"{root}/log")
     return read_stock_meta(spark, root).where(F.col("year") == year)
 
 
-def read_stock_meta(spark: SparkSession, root: str) -> DataFrame:
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    """The newest provenance row of every year, with its version and folder."""
     try:
-        return spark.read.schema(schemas.STOCK_META).parquet(f"{root}/meta")
+        log = spark.read.schema(_LOG).parquet(f"{root}/log")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return schemas.empty_frame(spark, schemas.STOCK_META)
+        return schemas.empty_frame(spark, _LOG)
+    return latest_by(log, ["year"], F.col("version"))
+
+
+def read_stock_meta(spark: SparkSession, root: str) -> DataFrame:
+    return _log(spark, root).select(*schemas.STOCK_META.names)
 
 
 def latest_year(meta: DataFrame) -> DataFrame:
@@ -63,13 +77,14 @@ def latest_year(meta: DataFrame) -> DataFrame:
 def read_stock(spark: SparkSession, root: str, year: int | None = None) -> tuple[int, DataFrame] | None:
     """``(year, rows)`` of the given or latest year; None when that year is not stored.
 
-    An older year never stands in for a missing one. The year filter prunes partitions.
+    An older year never stands in for a missing one.
     """
-    meta = read_stock_meta(spark, root)
+    log = _log(spark, root)
     if year is not None:
-        meta = meta.where(F.col("year") == year)
-    chosen = latest_year(meta).first()["year"]
-    if chosen is None:
+        log = log.where(F.col("year") == year)
+    newest = log.agg(F.max_by(F.struct("year", "path"), "year").alias("newest")).first()["newest"]
+    if newest is None:
         return None
-    rows = spark.read.schema(schemas.STOCK).parquet(f"{root}/rows").where(F.col("year") == chosen)
-    return chosen, rows
+    stored = T.StructType([f for f in schemas.STOCK.fields if f.name != "year"])
+    rows = spark.read.schema(stored).parquet(f"{root}/{newest['path']}/rows").withColumn("year", F.lit(newest["year"]).cast("int"))
+    return newest["year"], rows.select(*schemas.STOCK.names)

@@ -186,3 +186,52 @@ def test_landed_readers(spark, tmp_path):
     assert landed.read_pages(spark, str(tmp_path / "pages")).collect() == pages.collect()
     (tmp_path / "cells.csv").write_text("book,year,sheet,sheet_pos,row_no,col_no,cell_type,value\nb,2026,FZ 12.1,1,1,1,text,x\n")
     assert landed.read_sheet_cells(spark, str(tmp_path / "cells.csv"), "csv", header="true").first()["year"] == 2026
+
+
+def test_a_failed_reload_leaves_the_year_as_it_was(spark, tmp_path):
+    from cutline.sources import stock as SS
+
+    rows = spark.createDataFrame([(2025, 6, "Kleinwagen", "OPEL", "CORSA", 10)], schemas.STOCK)
+    none = schemas.empty_frame(spark, schemas.STOCK_WARNINGS)
+    root = str(tmp_path / "stock")
+    SS.write_stock(rows, none, root, 2025, "u")
+    broken = rows.withColumn("segment", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        SS.write_stock(broken, none, root, 2025, "v")
+    year, kept = SS.read_stock(spark, root)
+    assert year == 2025 and [tuple(r) for r in kept.collect()] == [tuple(r) for r in rows.collect()]
+    SS.write_stock(rows.union(rows.withColumn("row_no", F.lit(7))), none, root, 2025, "w")
+    assert SS.read_stock(spark, root, 2025)[1].count() == 2
+    assert [(r["source_url"], r["row_count"]) for r in SS.read_stock_meta(spark, root).collect()] == [("w", 2)]
+
+
+def test_a_second_writer_of_a_version_fails(spark, tmp_path, monkeypatch):
+    from cutline.sources import cards as CS
+
+    root = str(tmp_path / "cards")
+    CS.write_cards(schemas.empty_frame(spark, schemas.CARDS), root)
+    monkeypatch.setattr(CS, "_current_path", lambda *_: None)
+    with pytest.raises(Exception, match="already exists"):
+        CS.write_cards(schemas.empty_frame(spark, schemas.CARDS), root)
+
+
+def test_manifests_of_other_brands_stay(spark, tmp_path):
+    from cutline.sources import cards as CS
+
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in schemas.CARDS.fields}
+    cards = spark.createDataFrame([("a", "VW"), ("b", "Seat")], "id string, brand string")
+    cards = cards.select(*[F.col(n) if n in cards.columns else c.alias(n) for n, c in columns.items()])
+    CS.write_manifests(cards, str(tmp_path))
+    CS.write_manifests(cards.withColumn("id", F.lit("c")), str(tmp_path), ["VW"])
+    found = spark.read.schema("id string, brand string").json(f"{tmp_path}/manifest")
+    assert sorted(r["id"] for r in found.collect()) == ["b", "c"]
+
+
+def test_missing_model_pages(spark):
+    from cutline import fixed_values as fv
+    from cutline.plans.discover import Landed, missing_model_pages
+
+    overview = f'<a class="{fv.SEAT_MODEL_CLASS}" href="{fv.SEAT_MODEL_HREF}x">x</a>'
+    pages = spark.createDataFrame([(fv.PAGE_URLS["Seat"], overview)], schemas.PAGES)
+    found = missing_model_pages(Landed(pages, None)).collect()
+    assert len(found) == 1 and found[0]["brand"] == "Seat"
