@@ -12,8 +12,14 @@ labels finds it.
 
 Copies are one text from the start.  A bucket is never gathered: its texts are cut into salted runs of bounded length,
 each text is verified against the smallest of its run and its neighbours in a hashed order, and the
-runs' smallest against each other's.  Texts in one class already need no further comparison, so further rounds
-only look at candidates in different classes, further along the runs.  Classes are connected components of the links.
+runs' smallest against each other's.  Texts in one class already need no further comparison, so a further round
+only looks at candidates in different classes, further along the runs.  Classes are connected components of the links.
+
+Buckets that still hold several classes are finished exactly: their texts are dealt into cells, and each pair of cells
+with texts of different classes is one group, where all such pairs meet.  A text is there as the parities of its
+labels in a bit field.  Two fields differ in no more bits than the texts in labels, so whatever differs in too many
+cannot be linked, and only the other pairs are aligned.  First the closest pair of two classes in each group is, and then
+what is left between classes; no pair of texts that shares a sketch is passed over.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ SKETCHES, MINIMA = 16, 3
 RUN = 10_000
 #: How far along a run a text is compared, round by round.
 REACH = (2, 5)
+#: Texts of a bucket in one cell, and the most bits of a text's field (texts beyond a quarter as many words share bits).
+CELL, MOST_BITS = 512, 1 << 15
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -123,6 +131,54 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     return matched / (total - matched)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A bit field, about four bits a label: each bit says whether an odd number of labels falls on it."""
+    bits = min(max(64, 1 << (4 * len(found) - 1).bit_length()), MOST_BITS)
+    at = (_mixed(found) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(fields: np.ndarray, words_: int) -> np.ndarray:
+    """The parities in fewer bits."""
+    while fields.shape[1] > words_:
+        half = fields.shape[1] // 2
+        fields = fields[:, :half] ^ fields[:, half:]
+    return fields
+
+
+def close(left: list[tuple], right: list[tuple] | None) -> Iterator[tuple[int, int, float]]:
+    """Places in ``left`` and ``right`` (none: pairs inside ``left``) of all texts that may be linked, and how much of what may differ does.
+
+    The texts are (class, labels, bit field); two of one class are left out.
+    """
+    inside = right is None
+    names: dict = {}
+    sides = []
+    for texts in (left,) if inside else (left, right):
+        numbers = np.array([names.setdefault(t[0], len(names)) for t in texts])
+        counts = np.array([t[1] for t in texts])
+        widths = np.array([len(t[2]) // 8 for t in texts])
+        fields = {w: np.frombuffer(b"".join(t[2] for t in texts if len(t[2]) // 8 == w), np.uint64).reshape(-1, w) for w in set(widths.tolist())}
+        sides.append((numbers, counts, {w: (np.flatnonzero(widths == w), f) for w, f in fields.items()}))
+    (numbers, counts, fields), (numbers_b, counts_b, fields_b) = sides[0], sides[-1]
+    for w, (places, own) in fields.items():
+        for w_b, (places_b, others) in fields_b.items():
+            width = min(w, w_b)
+            narrow, against = _folded(own, width), _folded(others, width)
+            for at, field in zip(places.tolist(), narrow):
+                total = counts[at] + counts_b[places_b]
+                fits = np.minimum(counts[at], counts_b[places_b]) >= LEAST * total / (1 + LEAST) - 1e-6
+                fits &= numbers_b[places_b] != numbers[at]
+                if inside:
+                    fits &= places_b > at
+                fits = np.flatnonzero(fits)
+                if len(fits):
+                    differ = np.bitwise_count(against[fits] ^ field).sum(1, dtype=np.int64)
+                    share = differ / (total[fits] * (1 - LEAST) / (1 + LEAST) + 1e-6)
+                    for b, part in zip(places_b[fits[share <= 1]].tolist(), share[share <= 1].tolist()):
+                        yield at, b, part
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text_key``, 128 bits that stand for the whole text (null: empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -184,6 +240,89 @@ def _candidates(runs: DataFrame, classes: DataFrame | None, first: int, last: in
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _fields(texts: DataFrame) -> DataFrame:
+    """``text_key, n, bits`` of every text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [labels(text) for text in batch.column("text").to_pylist()]
+            columns = [pa.array([len(f) for f in found], pa.int64()), pa.array([parities(f) for f in found], pa.binary())]
+            yield pa.record_batch([batch.column("text_key"), *columns], ["text_key", "n", "bits"])
+
+    return texts.select("text_key", "text").mapInArrow(scan, "text_key binary, n bigint, bits binary")
+
+
+def _open(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``bucket, text_key, label`` of the buckets that hold several classes."""
+    labelled = runs.select("bucket", "text_key").join(classes.withColumnRenamed("node", "text_key"), "text_key", "left")
+    labelled = labelled.withColumn("label", F.coalesce("label", "text_key"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return labelled.join(mixed.select("bucket"), "bucket")
+
+
+def _between(open_: DataFrame, fields: DataFrame, once: bool) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket, are in different classes and may be linked.
+
+    With ``once``, only the closest pair of two classes in each group.  A class of more texts than a cell holds has cells
+    of its own, which do not meet each other.
+    """
+    sizes = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    large = sizes.where(F.col("size") > CELL)
+    few = sizes.where(F.col("size") <= CELL).groupBy("bucket").agg(F.sum("size").alias("few"))
+    members = open_.join(large, ["bucket", "label"], "left").join(few, "bucket", "left")
+    number = F.pmod(F.xxhash64("text_key"), F.ceil(F.coalesce("size", "few") / CELL))
+    members = members.withColumn("own", F.when(F.col("size").isNotNull(), F.hex("label")).otherwise(""))
+    members = members.select("bucket", "text_key", "label", "own", F.concat_ws(":", "own", number).alias("cell"))
+    cells = stored(members.select("bucket", "own", "cell").distinct(), "cells")
+    meets = F.col("x.cell") < F.col("y.cell")
+    met = cells.alias("x").join(cells.alias("y"), "bucket").where((meets & ~((F.col("x.own") == F.col("y.own")) & (F.col("x.own") != ""))) | ((F.col("x.cell") == F.col("y.cell")) & (F.col("x.own") == "")))
+    met = met.select("bucket", F.col("x.cell").alias("i"), F.col("y.cell").alias("j"))
+    sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    dealt = met.select("bucket", "i", "j", F.explode(sides).alias("cell"))
+    rows = members.drop("own").join(dealt, ["bucket", "cell"]).join(fields, "text_key")
+    group = ["bucket", "i", "j"]
+    rows = rows.select(*group, (F.col("cell") != F.col("i")).alias("right"), "text_key", "label", "n", "bits")
+
+    def pairs(texts: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        left, right = [t for t in texts if not t[0]], [t for t in texts if t[0]]
+        found = close([t[2:] for t in left], [t[2:] for t in right] if right else None)
+        best: dict = {}
+        for at, b, part in found:
+            one, other = left[at], (right or left)[b]
+            a_b = min(one[1], other[1]), max(one[1], other[1])
+            if not once:
+                yield a_b
+                continue
+            key = min(one[2], other[2]), max(one[2], other[2])
+            if key not in best or (part, a_b) < best[key]:
+                best[key] = part, a_b
+        yield from (a_b for _, a_b in best.values())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(texts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            chunk: list = []
+            for pair in pairs(texts):
+                chunk.append(pair)
+                if len(chunk) == 10_000:
+                    yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*chunk)], ["a", "b"])
+                    chunk = []
+            if chunk:
+                yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*chunk)], ["a", "b"])
+
+        last, texts = None, []
+        for batch in slices(batches, "bits"):
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                if row[:3] != last:
+                    if len(texts) > 1:
+                        yield from flush(texts)
+                    last, texts = row[:3], []
+                texts.append(row[3:])
+        if len(texts) > 1:
+            yield from flush(texts)
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(meet, "a binary, b binary").distinct()
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
 
@@ -218,6 +357,14 @@ def _members(docs: DataFrame) -> DataFrame:
             continue
         links = new if links is None else links.unionByName(new)
         found = components(links)
+    open_ = stored(_open(runs, found), "open")
+    fields = stored(_fields(texts.join(open_.select("text_key").distinct(), "text_key", "left_semi")), "fields")
+    for once in (True, False):
+        new = stored(_linked(stored(_between(open_, fields, once), "candidates"), texts), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = components(links)
+            open_ = stored(_open(runs, found), "open")
     found = found.withColumnRenamed("node", "text_key")
     return (
         rows.select("doc_id", "text_key")

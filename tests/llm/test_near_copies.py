@@ -81,3 +81,48 @@ def test_components(spark):
     assert {found[i] for i in range(1, 41)} == {found[1]} and found[50] == found[51] != found[1]
     assert found[70] == found[71] == found[72] and set(found) == {*range(1, 41), 50, 51, 70, 71, 72}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def loose_family(n, pairs, length=200):
+    """Texts that share a template, too different to be linked, and for some of them a near copy of 0.8 to 0.9."""
+    rng = np.random.default_rng(3)
+    template, out = sentence(77, length).split(), []
+    for i in range(n):
+        own = list(template)
+        for at in rng.choice(length, 9, replace=False):
+            own[at] = f"own{i}at{at}"
+        out.append((i, " ".join(own)))
+        if i < pairs:
+            for at in rng.choice(length, 3, replace=False):
+                own[at] = f"again{i}at{at}"
+            out.append((n + i, " ".join(own)))
+    return out
+
+
+def test_no_link_of_a_large_loose_family_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(nc, "CELL", 256)
+    rows = loose_family(2_000, 300)
+    found = {r[0]: r[1] for r in nc.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    texts = [nc.labels(t.encode()) for _, t in rows]
+    columns = {label: at for at, label in enumerate({x for t in texts for x in t.tolist()})}
+    at = np.full((len(texts), len(columns)), False)
+    for row, t in enumerate(texts):
+        at[row, [columns[x] for x in t.tolist()]] = True
+    at = at[:, at.sum(0) > 1].astype(np.float32)
+    shared = at @ at.T
+    sizes = np.array([len(t) for t in texts])
+    a, b = np.nonzero(np.triu(shared >= nc.LEAST * (sizes[:, None] + sizes) / (1 + nc.LEAST) - 1e-6, 1))
+    links = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if nc.similarity(texts[x], texts[y]) >= nc.LEAST]
+    assert len(links) >= 250
+    assert all(found[rows[x][0]] == found[rows[y][0]] for x, y in links)
+    assert len(set(found.values())) > 1_000
+
+
+def test_bit_fields_never_rule_out_a_link():
+    texts = [nc.labels(t.encode()) for _, t in loose_family(60, 40)] + [nc.labels(sentence(8, n).encode()) for n in (1, 2, 6, 40, 44, 300, 330, 361)]
+    rows = [(i, len(t), nc.parities(t)) for i, t in enumerate(texts)]
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if nc.similarity(texts[i], texts[j]) >= nc.LEAST}
+    assert linked and linked <= {(i, j) for i, j, _ in nc.close(rows, None)}
+    half = len(rows) // 2
+    assert {(i, j) for i, j in linked if i < half <= j} <= {(i, j + half) for i, j, _ in nc.close(rows[:half], rows[half:])}
+    assert not list(nc.close([(0, *r[1:]) for r in rows], None))
