@@ -29,8 +29,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of which less than a twentieth of the words are benchmark passages."""
-    return decontaminate.kept(docs, table(spark, sf_dir, "benchmark"))
+    """The documents of which less than a twentieth of the words are benchmark passages, without these passages."""
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

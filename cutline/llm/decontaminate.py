@@ -190,12 +190,17 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _ADDED = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _streamed(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """``rows`` (row, text) with ``n_words, spans, items``; ``row`` is whatever is to be kept of a document."""
+def _streamed(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, automata: list | None = None) -> DataFrame:
+    """``rows`` (row, text) with ``n_words, spans, items``; ``row`` is whatever is to be kept of a document.
+
+    The broadcast automata are added to ``automata``.
+    """
     schema = f"row {rows.schema['row'].dataType.simpleString()}, text binary, {_ADDED}"
     found = rows
     for ids, automaton in blocks(benchmark, window, block_words):
         shared = rows.sparkSession.sparkContext.broadcast((ids, automaton))
+        if automata is not None:
+            automata.append(shared)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, automaton = shared.value
@@ -237,6 +242,47 @@ def kept(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
     return found.where("NOT contaminated").select("row.*")
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without these words (disjoint, ascending) and what stands between them; all other bytes stay."""
+    known = np.frombuffer(text.translate(_WORD_BYTES), np.uint8) != 0x20
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    out, at = [], 0
+    for first, last in spans:
+        out.append(text[at : starts[first]])
+        at = int(ends[last - 1])
+    return b"".join([*out, text[at:]])
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, hit words cut out of the others; clean rows as they are.
+
+    What a cut joins is searched again until nothing is hit.  ``n_chars``, if there, counts the new text of cut rows.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    automata: list = []
+    found = judged(_streamed(rows, benchmark, window, block_words, automata), share).where("NOT contaminated")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searched = [shared.value[1] for shared in automata]
+        for batch in slices(batches, "text"):
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                hit = [(s["start"], s["end"]) for s in spans]
+                new = text if hit else None
+                while hit:
+                    new = without(new, hit)
+                    sequence = words(new)
+                    hit = merged(span for automaton in searched for span in automaton.hits(sequence)[0])
+                texts.append(new)
+            yield pa.record_batch([batch.column("row"), pa.array(texts, pa.binary())], ["row", "new"])
+
+    done = found.select("row", "text", "spans").mapInArrow(cut, f"row {rows.schema['row'].dataType.simpleString()}, new binary")
+    new = F.col("new").cast("string")
+    changed = {"text": new, "n_chars": F.length(new).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*[F.when(F.col("new").isNotNull(), changed[c]).otherwise(F.col("row")[c]).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
     """``find``'s rows with ``n_hit`` and ``contaminated``: at least one word in ``share`` is hit."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

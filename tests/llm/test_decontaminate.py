@@ -85,3 +85,22 @@ def test_the_automaton_accepts_what_is_in_an_item():
             for w in word:
                 state = automaton.step[state].get(automaton.vocabulary[w], -1) if state >= 0 else -1
             assert (state >= 0) == (word in known)
+
+
+def test_hit_words_are_cut_out_of_documents_under_the_limit(spark):
+    item, other = sentence(1, 20), sentence(2, 13)
+    words = item.split()
+    long = sentence(7, 400)
+    inside = " ".join(words[:10]) + " " + other + " " + " ".join(words[10:])
+    texts = [long + ",\n" + item.upper() + "! Ünd\t" + long, long + " é " + inside + " " + long * 3, long + "\n", None, item + " " + sentence(8, 30)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, new string")
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    for block_words in (50_000, 20):
+        out = dc.cleaned(docs, items, block_words=block_words)
+        assert out.columns == docs.columns
+        found = {r["doc_id"]: r for r in out.collect()}
+        assert set(found) == {0, 1, 2, 3}
+        assert found[0]["text"] == long + ",\n! Ünd\t" + long and found[0]["n_chars"] == len(found[0]["text"])
+        assert found[1]["text"].split() == (long + " é " + long * 3).split()
+        assert (found[2]["text"], found[3]["text"], found[2]["new"]) == (texts[2], None, "x")
+        assert all(r["n_hit"] == 0 for r in dc.judged(dc.find(out, items)).collect())
