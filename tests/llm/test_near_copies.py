@@ -101,7 +101,7 @@ def loose_family(n, pairs, length=200):
 
 def test_no_link_of_a_large_loose_family_is_lost(spark, monkeypatch):
     monkeypatch.setattr(nc, "CELL", 256)
-    rows = loose_family(2_000, 300)
+    rows = loose_family(800, 150)
     found = {r[0]: r[1] for r in nc.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     texts = [nc.labels(t.encode()) for _, t in rows]
     columns = {label: at for at, label in enumerate({x for t in texts for x in t.tolist()})}
@@ -113,9 +113,9 @@ def test_no_link_of_a_large_loose_family_is_lost(spark, monkeypatch):
     sizes = np.array([len(t) for t in texts])
     a, b = np.nonzero(np.triu(shared >= nc.LEAST * (sizes[:, None] + sizes) / (1 + nc.LEAST) - 1e-6, 1))
     links = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if nc.similarity(texts[x], texts[y]) >= nc.LEAST]
-    assert len(links) >= 250
+    assert len(links) >= 120
     assert all(found[rows[x][0]] == found[rows[y][0]] for x, y in links)
-    assert len(set(found.values())) > 1_000
+    assert len(set(found.values())) > 400
 
 
 def test_bit_fields_never_rule_out_a_link():
