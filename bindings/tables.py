@@ -94,7 +94,7 @@ def filled_events(spark, sf):
     events = table(spark, sf, "events").selectExpr(
         "event_id", "'all' AS grp", "CASE WHEN event_type = 'signup' THEN concat('u', user_id) END AS label"
     )
-    return O.fill_down(events, ["grp"], "event_id", "label", block_rows=1000).select("event_id", "label")
+    return O.fill_down(events, ["grp"], "event_id", "label").select("event_id", "label")
 
 
 # --- combined documents: conversations are documents, turns are pages -----------------

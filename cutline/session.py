@@ -1,4 +1,4 @@
-"""Session helpers: shared folder, checkpoints and size-checked broadcasts."""
+"""Session helpers: shared folder, stored tables, checkpoints and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -29,6 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, read by column, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Computed now, kept in the shared folder: lost executors never recompute it."""
     context = df.sparkSession.sparkContext

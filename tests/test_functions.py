@@ -251,7 +251,7 @@ def test_element_pieces_stop_at_their_end(apply):
         "<div class='list'><div class='item a'><div>in</div>1</div> between "
         "<div class='x item'>2</div></div><div class='item-title'>no</div>after"
     )
-    got = apply(lambda c: H.element_pieces(c, "div", "item"), [markup])[0]
+    got = apply(lambda c: H.element_pieces(c, "item"), [markup])[0]
     assert [g.startswith("<div") for g in got] == [True, True]
     assert "between" not in got[0].split("</div>")[0] and "after" not in got[1]
 

@@ -13,6 +13,7 @@ from cutline.operators import quality as Q
 from cutline.operators import report as R
 from cutline.operators import sheet as S
 from cutline.operators import split as P
+from cutline.session import stored
 
 
 def card_rows(spark, rows, columns):
@@ -205,6 +206,42 @@ def test_fill_down_against_loop(spark):
     assert got == expected
 
 
+def test_fill_down_of_blocks_of_blocks(spark):
+    rows = [("hot" if p % 7 else None, p * 3, f"v{p}" if p % 41 == 3 else None) for p in range(400)]
+    rows += [(f"k{p}", 0, None) for p in range(60)] + [("z", None, "first"), ("z", 5, None)]
+    last, expected = {}, {}
+    for key, position, value in sorted(rows, key=lambda r: (r[0] or "", r[1] or 0)):
+        last[key] = value or last.get(key)
+        expected[key, position] = last[key]
+    df = spark.createDataFrame(rows, "k string, p int, v string").repartition(5)
+    filled = O.fill_down(df, ["k"], "p", "v", block_rows=4)
+    assert {(r["k"], r["p"]): r["v"] for r in filled.collect()} == expected and filled.count() == len(rows)
+    assert O.fill_down(df.where("p < 0"), ["k"], "p", "v").isEmpty()
+
+
+def test_fill_down_of_sparse_positions(spark, monkeypatch):
+    """One key, 100,000 positions over the whole range of 64 bits: every window stays within the default block."""
+    step = (1 << 63) // 50_000 - 1
+    df = spark.range(100_000).selectExpr("'all' AS k", f"(id - 50000) * {step}L AS p", "if(id % 30000 = 7, id, NULL) AS v")
+    seen = []
+    monkeypatch.setattr(O, "stored", lambda df, name: seen.append((name, kept := stored(df, name))) or kept)
+    filled = O.fill_down(df, ["k"], "p", "v").selectExpr("p", "v").orderBy("p").collect()
+    assert [r["v"] for r in filled] == [None if i < 7 else (i - 7) // 30_000 * 30_000 + 7 for i in range(100_000)]
+    numbered = next(df for name, df in seen if name == "numbered")
+    most = numbered.groupBy(F.floor(F.col("_at") / 65_536)).count().agg(F.max("count")).first()[0]
+    assert 1 < most <= 65_536
+
+
+def test_global_rank(spark):
+    rows = [(i * 37 % 101, f"x{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(6)
+    got = O.global_rank(df, [F.col("a").desc(), "b"]).collect()
+    ordered = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["rank"])] == ordered
+    assert sorted(r["rank"] for r in got) == list(range(1, 501))
+    assert O.global_rank(df.where("a < 0"), ["a"]).isEmpty()
+
+
 def test_first_and_latest(spark):
     df = spark.createDataFrame([("k", 3, None), ("k", 1, "x"), ("k", 2, "y"), ("m", None, "z")], "k string, p int, v string")
     assert {tuple(r) for r in O.first_by(df, ["k"], F.col("p")).collect()} == {("k", 1, "x"), ("m", None, "z")}
