@@ -46,3 +46,25 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         for start, end in zip(edges, edges[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
+
+
+#: A key is hot from this many rows, and from a thousandth of all rows, so there are at most a thousand hot ones.
+HOT_ROWS, HOT_KEYS = 10_000, 1_000
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` (stored) left joined with ``lookup``, which has each of its ``keys`` once.
+
+    A join by shuffle sends all rows of a key to one task.  Keys of more than ``hot_rows`` rows and more than a
+    thousandth of all rows are therefore looked up in a broadcast of their entries, a thousand at most.
+    """
+    counts = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.where(F.col("_rows") > max(hot_rows, rows.count() // HOT_KEYS)).select(*keys)
+    if hot.isEmpty():
+        return rows.join(lookup, keys, "left")
+    hot = F.broadcast(stored(hot, "hot-keys"))
+    few = F.broadcast(stored(lookup.join(hot, keys, "left_semi"), "hot-entries"))
+    return (
+        rows.join(hot, keys, "left_semi").join(few, keys, "left")
+        .unionByName(rows.join(hot, keys, "left_anti").join(lookup, keys, "left"))
+    )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, html_blocks, language_model, near_copies, neighbours, pieces, pii, quality, repeats, shards
-from cutline.llm.common import remainder, table
+from cutline.llm import (
+    decontaminate, html_blocks, language_model, near_copies, neighbours, phrases, pieces, pii, quality, repeats, resampling, shards, warc,
+)
+from cutline.llm.common import remainder, stored, table
+from cutline.session import scratch_path
 
 
 def _joined(finds: Column | str) -> Column:
@@ -85,9 +88,35 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are written, read and assembled; every column comes from the captures, page ids from their metadata."""
+    archive = scratch_path(spark, "archive")
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    captures = stored(warc.assemble(stored(warc.read(spark, archive), "records")), "captures")
+    return warc.resolved(captures).select(
+        warc.field("metadata", "page-id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("response.record_type").alias("record_type"),
+        warc.field("original.metadata", "page-id").cast("long").alias("refers_to"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op2_cross_polytope, op3_lm_log_bilinear, op4_html_blocks, op5_run_length_dedup, op6_order_minhash, op7_decontaminate, op8_interleave, op9_nbest_pieces, op10_quality_gam)
-}
+    f.__name__: f
+    for f in (
+        op1_pii, op2_cross_polytope, op3_lm_log_bilinear, op4_html_blocks, op5_run_length_dedup, op6_order_minhash, op7_decontaminate,
+        op8_interleave, op9_nbest_pieces, op10_quality_gam, op11_warc, op12_importance_resampling, op13_phrase_stripes,
+    )
+}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = f"regexp_extract_all(translate({{}}, '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -117,4 +146,41 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY shuffle, doc_id
   CAST('0x' || substr(md5('mixture/' || stratum), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS phase FROM d),
 p AS (SELECT *, row_number() OVER (ORDER BY (rank - phase) / n, stratum, rank) - 1 AS position, count(*) OVER () AS total FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (position * 8 // total)::INTEGER AS shard, position - ((position * 8 // total) * total + 7) // 8 AS slot, NULL::INTEGER AS grown_shard FROM p""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS head FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < head THEN head END AS refers_to FROM r""",
+    "op12_importance_resampling": f"""
+WITH RECURSIVE t AS (SELECT i, i AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_WORDS.format('text')}) AS word FROM benchmark WHERE text IS NOT NULL),
+hx AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+wb AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i+1] AS BIGINT))),
+  lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b FROM hx, tab),
+s AS (SELECT b, count(*) AS s FROM dw JOIN wb USING (word) GROUP BY b), q AS (SELECT b, count(*) AS t FROM bw JOIN wb USING (word) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1) * (SELECT sum(s) + 10000 FROM s))::DOUBLE / ((s + 1) * (SELECT coalesce(sum(t), 0) + 10000 FROM q))::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN q USING (b)),
+m AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM dw JOIN wb USING (word) JOIN g USING (b) GROUP BY r),
+u AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (r)),
+v AS (SELECT r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM u),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank FROM v WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM k) THEN rank END AS rank FROM v LEFT JOIN k USING (r)""",
+    "op13_phrase_stripes": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+i AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 4) x(m)),
+f AS (SELECT lang, m, w[i:i + m - 1] AS p, count(*) AS a FROM i GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+b AS (SELECT lang, p, max(a) AS longer FROM (SELECT lang, a, unnest([p[1:2], p[2:3]]) AS p FROM c WHERE m = 3) GROUP BY ALL),
+k AS (SELECT lang, p, a, m, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.p, k.a, k.k, l.a AS l, r.a AS r, (1000000::HUGEINT * k.a * k.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.p = k.p[1:k.k] JOIN f r ON r.lang = k.lang AND r.p = k.p[k.k + 1:k.m]),
+z AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+y AS (SELECT lang, array_to_string(z.p, ' ') AS phrase, a, l, r, score FROM z LEFT JOIN b USING (lang, p) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM y JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
