@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -85,36 +86,36 @@ def one_response_each(rows: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES, captured_at: str = CAPTURED_AT) -> None:
-    """Archives ``pages`` (page_id, url, html) below ``path``, in files of about ``file_bytes``.
+    """Archives ``pages`` (page_id, url, html) below ``path``, in compressed files of about ``file_bytes`` before compression.
 
     A null html is an empty payload, a null url gives no target; control characters and blanks of a url are written as
     percent escapes, as no header may hold them.  A null page_id is left out of the metadata.  Repeated rows are
     captures of their own.  An empty table gives an archive without records.  Other columns are ignored.
     """
-    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = stored(
-        pages.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col("page_id").cast("long").alias("page_id"),
-            "url",
-            payload.alias("payload"),
-            F.octet_length(payload).cast("long").alias("payload_bytes"),
-            F.sha1(payload).alias("payload_digest"),
-        ),
-        "captures",
-    )
-    narrow = rows.select("row", "page_id", "payload_bytes", "payload_digest")
-    revisits = stored(one_response_each(narrow, least), "revisits")
-    size = narrow.agg(F.sum(F.col("payload_bytes") + 1500).alias("bytes")).first()["bytes"] or 0
-    # Salted by the row number: whatever the payloads, files get rows at random, each whole page in one file.
-    files = rows.repartition(max(1, -(-size // file_bytes)), "row")
-    paired = files.join(revisits, "row", "left")
+    digest = F.sha1(payload).alias("payload_digest")
+    row = F.monotonically_increasing_id().alias("row")
+    size = F.octet_length(payload).cast("long").alias("payload_bytes")
+    rows = stored(pages.select(row, F.col("page_id").cast("long").alias("page_id"), "url", digest, size), "captures")
+    revisits = one_response_each(rows, least)
+    plan = stored(rows.join(revisits, "row", "left"), "archive-plan")
+    # Only texts meet by their digest, once each: copies are one before the shuffle, and row numbers stay with the stored rows.
+    payloads = pages.select(digest, payload.alias("payload")).groupBy("payload_digest").agg(F.first("payload").alias("payload"))
+    is_large = F.col("payload_bytes") >= least
+    small = payloads.where(F.octet_length("payload") < least)
+    paired = (
+        plan.where("head_row IS NOT NULL").withColumn("payload", F.lit(None).cast("binary"))
+        .unionByName(plan.where(is_large & F.col("head_row").isNull()).join(payloads, "payload_digest"))
+        .unionByName(looked_up(plan.where(~is_large), small, ["payload_digest"]))
+    )
+    sums = rows.agg(F.sum("payload_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    each = (sums["bytes"] or 0) / max(sums["rows"], 1) + 1500
+    per_file = max(3, int(3 * file_bytes / each))
     encode = lambda c: reduce(lambda u, code: F.replace(u, F.lit(chr(code)), F.lit(f"%{code:02X}")), (*range(33), 127), c)
     paired = paired.withColumn("uri", encode(F.col("url")))
     is_revisit = F.col("head_row").isNotNull()
     id_ = lambda kind, row="row": _urn(F.lit(kind), F.col(row).cast("string"))
-    digest = F.concat(F.lit("sha1:"), F.col("payload_digest"))
+    named = F.concat(F.lit("sha1:"), F.col("payload_digest"))
     common = (("WARC-Date", F.lit(captured_at)), ("WARC-Target-URI", F.col("uri")))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
@@ -127,7 +128,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file_bytes: i
         F.concat(http, F.when(is_revisit, F.lit("")).otherwise(F.col("payload").cast("string"))),
         F.lit(HTTP + "response"),
         *common,
-        ("WARC-Payload-Digest", digest),
+        ("WARC-Payload-Digest", named),
         ("WARC-Profile", F.when(is_revisit, F.lit(REVISIT_PROFILE))),
         ("WARC-Refers-To", F.when(is_revisit, id_("capture", "head_row"))),
     )
@@ -140,7 +141,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT, file_bytes: i
     facts = _lines(("page-id", F.col("page_id")))
     metadata = _record(F.lit("metadata"), id_("metadata"), facts, F.lit("application/warc-fields"), *common, with_capture)
     records = paired.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", END + END).text(path)
+    records.write.options(lineSep=END + END, maxRecordsPerFile=per_file, compression="gzip").text(path)
 
 
 def _digest(named: str | None) -> str | None:
@@ -166,6 +167,21 @@ def _pairs(block: bytes) -> list[tuple[str, str]]:
     return found
 
 
+def _plain(content: bytes) -> bytes:
+    """The content of a file, of all its members where it is compressed; up to the damage where one is damaged."""
+    plain = [] if content.startswith(b"\x1f\x8b") else [content]
+    while content.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        try:
+            plain.append(member.decompress(content))
+        except zlib.error:
+            pass
+        if not member.eof:
+            plain.append(b"damaged")
+        content = member.unused_data
+    return b"".join(plain)
+
+
 def parse(content: bytes) -> Iterator[dict]:
     """The records of one archive file, in order.
 
@@ -224,7 +240,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 file, chunk = batch.column("path")[i].as_py(), []
-                for record in parse(batch.column("content")[i].as_py()):
+                for record in parse(_plain(batch.column("content")[i].as_py())):
                     chunk.append(dict.fromkeys(_RECORD.names) | {"file": file} | record)
                     if len(chunk) == 5_000:
                         yield pa.RecordBatch.from_pylist(chunk, _RECORD)
@@ -238,19 +254,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _of_captures(records: DataFrame) -> DataFrame:
     """``record_id, capture_id`` of every record that a chain of concurrent-to identifiers ties to a response or revisit."""
-    named = records.where("record_id IS NOT NULL")
-    links = named.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    heads = records.where(F.col("record_type").isin(*_HEADS)).select("record_id", F.col("record_id").alias("capture_id")).distinct()
+    others = records.where(~F.coalesce(F.col("record_type"), F.lit("")).isin(*_HEADS))
+    # Nearly always a record names the response itself.
+    named = others.select("record_id", F.explode("concurrent_to").alias("b"))
+    direct = named.join(heads.withColumnRenamed("record_id", "b"), "b").groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
+    known = stored(heads.unionByName(direct), "captured")
+    rest = others.select("record_id").join(known, "record_id", "left_anti")
+    if rest.isEmpty():
+        return known
+    # The others go along the links of both directions, a step in a round.
+    links = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
     links = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "concurrent")
-    heads = named.where(F.col("record_type").isin(*_HEADS)).select("record_id", F.col("record_id").alias("capture_id")).distinct()
-    known = heads
-    while True:
+    new = known
+    while not new.isEmpty():
         # A record next to several captures belongs to the one with the smallest identifier.
-        reached = known.withColumnRenamed("record_id", "b").join(links, "b").groupBy(F.col("a").alias("record_id")).agg(F.min("capture_id").alias("capture_id"))
-        new = stored(reached.join(known, "record_id", "left_anti"), "reached")
+        beside = new.withColumnRenamed("record_id", "b").join(links, "b").groupBy(F.col("a").alias("record_id")).agg(F.min("capture_id").alias("capture_id"))
+        new = stored(beside.join(known, "record_id", "left_anti"), "captured")
         known = known.unionByName(new)
-        open_ = links.join(known, links["a"] == known["record_id"], "left_anti")
-        if new.isEmpty() or open_.isEmpty():
-            return known
+    return known
 
 
 def assemble(records: DataFrame) -> DataFrame:

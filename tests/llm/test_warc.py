@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -103,12 +104,14 @@ def test_records_of_others(spark, tmp_path):
     good += record("metadata", "<n2>", b"", "WARC-Concurrent-To: <n>") + record("metadata", "<m>")
     good += record("request", "<lost>", b"") + record("metadata", "<lost2>", b"", "WARC-Concurrent-To: <lost>")
     good += record("response", "<bad>", b"body", "WARC-Payload-Digest: sha1:" + "0" * 40)
-    (tmp_path / "a.warc").write_bytes(good)
+    members = [good[:300], good[300:]]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in members))
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(b"x" * 99)[:-20])
     (tmp_path / "b.warc").write_bytes(record("metadata", "<x>") + b"WARC/1.1\r\nWARC-Record-ID: <y>\r\ncontent-length: 99\r\n\r\nshort")
     (tmp_path / "c.warc").write_bytes(b"<html>")
     (tmp_path / "d.warc").write_bytes(b"")
     records = stored(warc.read(spark, str(tmp_path)), "records")
-    assert sorted(r["error"][:9] for r in records.where("error IS NOT NULL").collect()) == ["no record", "record at"]
+    assert sorted(r["error"][:9] for r in records.where("error IS NOT NULL").collect()) == ["no record", "no record", "record at"]
     captures = {r["capture_id"]: r for r in warc.assemble(records).collect()}
     assert set(captures) == {"<i>", "<r>", "<lost>", "<bad>", "<x>"}
     whole = captures["<r>"]
