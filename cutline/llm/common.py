@@ -20,13 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, safe from lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, safe from lost executors.
+
+    ``batch_bytes`` bounds the Arrow batches that Python tasks get meanwhile; a batch is held twice, by the JVM and by Python.
+    """
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_BATCH_BYTES)
+    if batch_bytes is not None:
+        conf.set(_BATCH_BYTES, str(batch_bytes))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a Python worker from one task to the next; workers are used again by whatever runs after.
+CACHES: list[dict] = []
+
+
+def vacate() -> None:
+    """Empties the caches that earlier operators left in this Python worker."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the text as UTF-8 bytes (null: empty); every other column is left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))

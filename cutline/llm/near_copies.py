@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.llm.common import slices, stored
+from cutline.llm.common import slices, vacate
+from cutline.llm.common import stored as _stored
 from cutline.llm.components import components
 from cutline.llm.decontaminate import words
 
@@ -48,11 +49,18 @@ REACH = (2, 5)
 #: Texts of a bucket in one cell, and the most bits of a text's field (texts beyond a quarter as many words share bits).
 CELL, MOST_BITS = 512, 1 << 15
 
+#: Bytes of an Arrow batch: rows of pairs carry two whole texts each.
+BATCH_BYTES = 4 << 20
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _ODD = (np.random.default_rng(11).integers(1, 2**63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return _stored(df, name, BATCH_BYTES)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 150_000:
@@ -187,6 +195,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _sketched(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in slices(batches, "text"):
             found = [sketches(text) for text in batch.column("text").to_pylist()]
             yield pa.record_batch(

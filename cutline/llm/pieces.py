@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import slices, text_bytes
+from cutline.llm.common import CACHES, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations that the registered query reports.
@@ -338,6 +338,7 @@ def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 
 
 _ENCODERS: dict[str, Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def _encoder(key: str, pieces: Pieces) -> Encoder:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import remainder, slices, text_bytes
+from cutline.llm.common import remainder, slices, text_bytes, vacate
 
 #: Rows with these remainders of crc32(doc_id) modulo FOLDS teach; the held-out remainder never does.
 FOLDS, HELD_OUT = 3, 1
@@ -253,6 +253,7 @@ def kept(docs: DataFrame, model: AdditiveModel, least: float = 0.5) -> DataFrame
     column = docs.schema.names.index("text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in slices(batches, "text"):
             values = np.array([features((t or "").encode()) for t in batch.column(column).to_pylist()], float)
             yield batch.filter(pa.array(model.scores(values) >= least))

@@ -46,7 +46,10 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.removed(table(spark, sf_dir, "documents")).drop("spans")
+    """``spans`` lists what was cut out, as start:end in bytes."""
+    cut = repeats.removed(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return cut.withColumn("spans", spans)
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
