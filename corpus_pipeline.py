@@ -16,6 +16,8 @@ from cutline.llm import decontaminate, near_copies, pieces, pii, quality
 from cutline.llm.common import stored, table
 
 ORACLE_SQL = None
+#: Bytes of the Arrow batches that Python tasks get.
+BATCH_BYTES = 8 << 20
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +58,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", BATCH_BYTES)
     return docs
