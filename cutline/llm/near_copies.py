@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.llm.common import slices, vacate
+from cutline.llm.common import CACHES, slices, vacate
 from cutline.llm.common import stored as _stored
 from cutline.llm.components import components
 from cutline.llm.decontaminate import words
@@ -70,6 +70,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+CACHES.append(_HASHES)
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -195,7 +196,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _sketched(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
+        vacate(_HASHES)
         for batch in slices(batches, "text"):
             found = [sketches(text) for text in batch.column("text").to_pylist()]
             yield pa.record_batch(

@@ -30,13 +30,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cutline.llm.common import CACHES, slices, text_bytes
+from cutline.llm.common import CACHES, slices, text_bytes, vacate
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations that the registered query reports.
 N_BEST = 4
 #: Units in the cache of a Python worker, and the longest unit that is worked on together with others.
-CACHED, TOGETHER = 500_000, 48
+CACHED, TOGETHER = 150_000, 48
 _SPACE = "▁"
 #: Pieces below this score are only for merging; a lattice could do without them, but they stay possible.
 _LOWEST = -1_000_000
@@ -343,6 +343,7 @@ CACHES.append(_ENCODERS)
 
 def _encoder(key: str, pieces: Pieces) -> Encoder:
     """The worker's encoder of this model; its cache outlives a task."""
+    vacate(_ENCODERS)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(pieces)

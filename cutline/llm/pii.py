@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cutline.llm.common import slices, text_bytes
+from cutline.llm.common import slices, text_bytes, vacate
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -293,6 +293,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     column = docs.schema.names.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in slices(batches, "text"):
             texts = [None if t is None else redact(t) for t in batch.column(column).to_pylist()]
             yield batch.set_column(column, batch.schema.field(column), pa.array(texts, batch.schema.field(column).type))
