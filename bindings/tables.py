@@ -19,9 +19,10 @@ from cutline.sources import cards as CS
 from cutline.sources import reports as RS
 from cutline.sources import stock as SS
 
-# --- stock sheets: three workbooks rendered from part, one cell per row --------------
+# --- stock sheets: three workbooks rendered from part, one cell per row; two of them have one name --------------
 
-_BOOK = "concat('book', p_partkey % 3)"
+_BOOK = "concat('book', CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END)"
+_BOOK_YEAR = "CASE WHEN p_partkey % 3 = 2 THEN 2025 ELSE 2026 END"
 _ROW = "CAST(floor(p_partkey / 3) + 8 AS INT)"
 _SEGMENT = "CASE WHEN p_partkey % 40 < 3 THEN concat(' SEG ', p_type, ' ') ELSE '' END"
 _SERIES = "CASE WHEN p_partkey % 21 < 3 THEN '' WHEN p_partkey % 33 < 3 THEN 'SONSTIGE' ELSE concat('MAKER ', p_name) END"
@@ -54,14 +55,14 @@ def sheet_cells(spark, sf):
     data two rows below, end marker behind the last part and junk after it."""
     part = table(spark, sf, "part")
     data = part.selectExpr(
-        f"{_BOOK} AS book", "2026 AS year", "'fz 12.1' AS sheet", "2 AS sheet_pos", f"{_ROW} AS row_no",
+        f"{_BOOK} AS book", f"{_BOOK_YEAR} AS year", "'fz 12.1' AS sheet", "2 AS sheet_pos", f"{_ROW} AS row_no",
         f"inline(array(struct(2 AS col_no, 'text' AS cell_type, {_SEGMENT} AS value), "
         f"struct(3 AS col_no, 'text' AS cell_type, {_SERIES} AS value), struct(4 AS col_no, {_KIND} AS cell_type, {_COUNT} AS value)))",
     )
     # Header, end marker and cover hang on the part rows too: the smallest keys and the last row of each book.
-    books = part.groupBy(F.expr(_BOOK).alias("book")).agg(F.max(F.expr(_ROW)).alias("last"))
+    books = part.groupBy(F.expr(_BOOK).alias("book"), F.expr(_BOOK_YEAR).alias("year")).agg(F.max(F.expr(_ROW)).alias("last"))
     frame = books.selectExpr(
-        "book", "2026 AS year", "last",
+        "book", "year", "last",
         f"inline(array({', '.join(_FRAME_CELLS)}))",
     ).drop("last")
     return data.unionByName(frame)
@@ -80,7 +81,7 @@ def sheet_warnings(spark, sf):
 def broken_sheets(spark, sf):
     """Workbooks without stock sheet or header: two of three are broken on purpose."""
     cells = sheet_cells(spark, sf).where(
-        "NOT (book = 'book0' AND sheet <> 'Cover') AND NOT (book = 'book2' AND row_no = 6 AND col_no = 3)"
+        "NOT (book = 'book0' AND sheet <> 'Cover') AND NOT (year = 2025 AND row_no = 6 AND col_no = 3)"
     )
     return S.sheet_errors(cells, S.book_layout(S.sheet_rows(cells)))
 
@@ -430,8 +431,8 @@ QUERIES = {
 
 # Sheet rows counted from the first used row (3), so the header is row 4 and data starts at row 6.
 _SHEET = f"""
-r AS (SELECT {_BOOK} AS book, {_ROW} - 2 AS row_no, trim({_SEGMENT}) AS seg, {_SERIES} AS series, {_COUNT} AS cnt, p_partkey, p_size FROM part),
-f AS (SELECT *, coalesce(last_value(nullif(seg, '') IGNORE NULLS) OVER (PARTITION BY book ORDER BY row_no), '') AS segment FROM r),
+r AS (SELECT {_BOOK} AS book, {_BOOK_YEAR} AS year, {_ROW} - 2 AS row_no, trim({_SEGMENT}) AS seg, {_SERIES} AS series, {_COUNT} AS cnt, p_partkey, p_size FROM part),
+f AS (SELECT *, coalesce(last_value(nullif(seg, '') IGNORE NULLS) OVER (PARTITION BY book, year ORDER BY row_no), '') AS segment FROM r),
 d AS (SELECT * FROM f WHERE series <> '')"""
 _DOC = "'ENUS-01-' || (conv_id % 1000) || '-' || (turn % 3)"
 _GROUPS = f"""
@@ -482,19 +483,19 @@ _HEADER_LINE = f"SELECT chr(65279) || '{fv.REPORT_CSV_HEADER}' AS value"
 
 ORACLE = {
     "stock_rows": f"""WITH {_SHEET}
-SELECT book, 2026 AS year, row_no, segment, split_part(series, ' ', 1) AS brand_label,
+SELECT book, year, row_no, segment, split_part(series, ' ', 1) AS brand_label,
   CASE WHEN series = 'SONSTIGE' THEN '' ELSE substr(series, 7) END AS model_series, CAST(p_size * 100 AS INTEGER) AS count FROM d WHERE cnt <> '.'""",
     "stock_warnings": f"""WITH {_SHEET}
-SELECT book, 2026 AS year, row_no, 'Row ' || row_no || ': count for ''' || series || ''' is not a number (''.'') - skipped.' AS warning FROM d WHERE cnt = '.'
-UNION ALL SELECT DISTINCT book, 2026, 4, 'The count column header (''Anzahl 2025'') does not contain the expected year 2026.' FROM r WHERE book = 'book1'""",
-    "sheet_errors": """
-SELECT DISTINCT 'book' || (p_partkey % 3) AS book, 2026 AS year, CASE p_partkey % 3 WHEN 0 THEN 'No ''FZ 12.1'' worksheet found in the FZ12 2026 file - the layout has likely changed.'
-  ELSE 'Header row (''Segment''/''Modellreihe'') not found in FZ12 2026 - the layout has likely changed.' END AS error
+SELECT book, year, row_no, 'Row ' || row_no || ': count for ''' || series || ''' is not a number (''.'') - skipped.' AS warning FROM d WHERE cnt = '.'
+UNION ALL SELECT DISTINCT book, 2026, 4, 'The count column header (''Anzahl 2025'') does not contain the expected year 2026.' FROM r WHERE book = 'book1' AND year = 2026""",
+    "sheet_errors": f"""
+SELECT DISTINCT {_BOOK} AS book, {_BOOK_YEAR} AS year, CASE p_partkey % 3 WHEN 0 THEN 'No ''FZ 12.1'' worksheet found in the FZ12 2026 file - the layout has likely changed.'
+  ELSE 'Header row (''Segment''/''Modellreihe'') not found in FZ12 2025 - the layout has likely changed.' END AS error
 FROM part WHERE p_partkey % 3 <> 1""",
-    "preview_sheet": f"""WITH {_SHEET}, books AS (SELECT DISTINCT book FROM r)
-SELECT book, 'Cover' AS sheet, 1 AS row_no, 'x' AS line FROM books
-UNION ALL SELECT book, 'fz 12.1', CAST(n AS INTEGER), CASE n WHEN 1 THEN 'title | ' WHEN 4 THEN ' segment | Modellreihe ' ELSE ' | ' END FROM books, range(1, 6) t(n)
-UNION ALL SELECT {_BOOK}, 'fz 12.1', 6, {_SEGMENT} || ' | ' || {_SERIES} FROM part WHERE p_partkey < 3""",
+    "preview_sheet": f"""WITH {_SHEET}, books AS (SELECT DISTINCT book, year FROM r)
+SELECT book, year, 'Cover' AS sheet, 1 AS row_no, 'x' AS line FROM books
+UNION ALL SELECT book, year, 'fz 12.1', CAST(n AS INTEGER), CASE n WHEN 1 THEN 'title | ' WHEN 4 THEN ' segment | Modellreihe ' ELSE ' | ' END FROM books, range(1, 6) t(n)
+UNION ALL SELECT {_BOOK}, {_BOOK_YEAR}, 'fz 12.1', 6, {_SEGMENT} || ' | ' || {_SERIES} FROM part WHERE p_partkey < 3""",
     "fill_down": """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN 'u' || user_id END IGNORE NULLS) OVER (ORDER BY event_id) AS label FROM events""",
     "group_pages": f"""WITH {_GROUPS}
 SELECT source_doc, doc_id, first_page, page_count, md5(header) AS header_hash, {_MODEL_OF_GROUP} AS model_name,

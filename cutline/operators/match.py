@@ -36,11 +36,15 @@ def brands_of_stock(stock: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stock_index(stock: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(brand, series_key, count)``: the first stock row in file order per brand and series."""
+    """``(brand, series_key, count)``: the first stock row in file order per brand and series.
+
+    Several workbooks follow each other by name, rows without one first; of rows at one place the smallest count wins.
+    """
+    place = F.struct(*[c for c in ("book", "row_no", "count") if c in stock.columns])
     return (
         brands_of_stock(stock, labels)
         .groupBy("brand", norm_name(F.col("model_series")).alias("series_key"))
-        .agg(F.min_by("count", "row_no").alias("count"))
+        .agg(F.min_by("count", place).alias("count"))
     )
 
 

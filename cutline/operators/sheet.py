@@ -1,10 +1,10 @@
 """Stock sheet: cells of landed workbooks to stock rows, warnings and a preview.
 
 Cells arrive as one row each, ``(book, year, sheet, sheet_pos, row_no, col_no,
-cell_type, value)``.  Any number of workbooks is read at once; ``book`` keys every
-step.  What has to be known about a workbook before its rows can be read takes two
-combining aggregates of one row per book: which sheet with which used corner, and
-where its header and end are.
+cell_type, value)``.  Any number of workbooks is read at once; ``(book, year)`` keys every
+step, so one book name may come in several years.  The cells are read once, into one
+stored row per sheet row; everything else is worked out of those rows and of one small
+row per workbook that says where its header and end are.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from cutline import fixed_values as fv
 from cutline.functions.names import trim_ws
 from cutline.functions.text import brand_and_series
 from cutline.operators.ordered import fill_down
+from cutline.session import stored
 
 
 def _same(c: Column, text: str) -> Column:
@@ -34,24 +35,30 @@ def sheet_corners(cells: DataFrame) -> DataFrame:
     )
 
 
+def _is_exact() -> Column:
+    return _same(F.col("sheet"), fv.SHEET_NAME)
+
+
+def _is_stock_sheet() -> Column:
+    return _is_exact() | F.upper("sheet").startswith(fv.SHEET_PREFIX.upper())
+
+
+def _first_choice(sheets: DataFrame, *columns: str) -> DataFrame:
+    """``(book, year, columns)`` of each workbook's stock sheet: the exactly named one, else the first with the prefix."""
+    pick = F.min_by(F.struct(*columns), F.struct(~_is_exact(), "sheet_pos", "sheet"))
+    return sheets.groupBy("book", "year").agg(pick.alias("pick")).select("book", "year", "pick.*")
+
+
 def choose_sheet(cells: DataFrame) -> DataFrame:
-    """``(book, sheet, row0, col0)``: the exactly named sheet, else the first one with the prefix."""
-    exact = _same(F.col("sheet"), fv.SHEET_NAME)
-    prefixed = F.upper("sheet").startswith(fv.SHEET_PREFIX.upper())
-    picked = (
-        sheet_corners(cells)
-        .where(exact | prefixed)
-        .groupBy("book")
-        .agg(F.min_by(F.struct("sheet", "row0", "col0"), F.struct(~exact, "sheet_pos")).alias("pick"))
-    )
-    return picked.select("book", "pick.*")
+    """``(book, year, sheet, row0, col0)`` of the stock sheet of every workbook that has one."""
+    return _first_choice(sheet_corners(cells.where(_is_stock_sheet())), "sheet", "row0", "col0")
 
 
 def _from_corner(cells: DataFrame, corners: DataFrame) -> DataFrame:
     """Non-empty cells with positions counted from the first used row and column of their sheet."""
     return (
         cells.where(_filled())
-        .join(corners.select("book", "sheet", "row0", "col0"), ["book", "sheet"])
+        .join(corners.select("book", "year", "sheet", "row0", "col0"), ["book", "year", "sheet"])
         .withColumn("row_no", F.col("row_no") - F.col("row0") + 1)
         .withColumn("col_no", F.col("col_no") - F.col("col0") + 1)
         .drop("row0", "col0")
@@ -59,24 +66,38 @@ def _from_corner(cells: DataFrame, corners: DataFrame) -> DataFrame:
 
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
-    """``(book, year, row_no, segment_cell, series_cell, count_cell, count_type)`` of the chosen sheets."""
+    """``(book, year, row_no, segment_cell, series_cell, count_cell, count_type)`` of the chosen sheets, stored.
 
-    def cell(col_no: int, what: Column) -> Column:
-        return F.max(F.when(F.col("col_no") == col_no, what))
+    The first three used columns of a sheet are only known once all its rows are.  Three columns in a row differ by
+    their remainder of 3, and none of a row's wanted cells has another one of its remainder further left; so a row
+    keeps the leftmost cell of each remainder, a combining aggregate, and the wanted ones are picked from these.
+    """
+    cell = F.struct("col_no", "value", "cell_type")
+    leftmost = [F.min(F.when(_filled() & (F.pmod("col_no", F.lit(3)) == i), cell)).alias(f"_c{i}") for i in range(3)]
+    keys = ["book", "year", "sheet", "sheet_pos"]
+    raw = stored(cells.where(_is_stock_sheet()).groupBy(*keys, "row_no").agg(*leftmost), "sheet-rows")
+    first = F.least(*[F.col(f"_c{i}.col_no") for i in range(3)])
+    corners = raw.groupBy(*keys).agg(
+        F.min(F.when(first.isNotNull(), F.col("row_no"))).alias("row0"), F.min(first).alias("col0")
+    )
+    chosen = _first_choice(corners, "sheet", "sheet_pos", "row0", "col0").where(F.col("row0").isNotNull())
+    rows = raw.where(first.isNotNull()).join(chosen, keys)
 
-    def text(col_no: int) -> Column:
-        return F.coalesce(trim_ws(cell(col_no, F.col("value"))), F.lit(""))
+    def picked(place: int, what: str) -> Column:
+        found = F.get(F.array("_c0", "_c1", "_c2"), F.pmod(F.col("col0") + place, F.lit(3)).cast("int"))
+        return F.when(found["col_no"] == F.col("col0") + place, found[what])
 
-    return (
-        _from_corner(cells, choose_sheet(cells))
-        .where(F.col("col_no") <= 3)
-        .groupBy("book", "year", "row_no")
-        .agg(
-            text(1).alias("segment_cell"),
-            text(2).alias("series_cell"),
-            F.coalesce(cell(3, F.col("value")), F.lit("")).alias("count_cell"),
-            cell(3, F.col("cell_type")).alias("count_type"),
-        )
+    def text(place: int) -> Column:
+        return F.coalesce(trim_ws(picked(place, "value")), F.lit(""))
+
+    return rows.select(
+        "book",
+        "year",
+        (F.col("row_no") - F.col("row0") + 1).alias("row_no"),
+        text(0).alias("segment_cell"),
+        text(1).alias("series_cell"),
+        F.coalesce(picked(2, "value"), F.lit("")).alias("count_cell"),
+        picked(2, "cell_type").alias("count_type"),
     )
 
 
@@ -113,7 +134,7 @@ def data_region(rows: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """Rows from two below the header up to the end marker, segment carried down, subtotal rows dropped."""
     layout = book_layout(rows) if layout is None else layout
     inside = (
-        rows.join(layout.select("book", "header_row", "end_row"), "book")
+        rows.join(layout.select("book", "year", "header_row", "end_row"), ["book", "year"])
         .where(
             (F.col("row_no") >= F.col("header_row") + 2)
             & (F.col("end_row").isNull() | (F.col("row_no") < F.col("end_row")))
@@ -121,7 +142,7 @@ def data_region(rows: DataFrame, layout: DataFrame | None = None) -> DataFrame:
         .withColumn("segment", F.nullif(F.col("segment_cell"), F.lit("")))
         .select("book", "year", "row_no", "segment", "series_cell", "count_cell", "count_type")
     )
-    filled = fill_down(inside, ["book"], "row_no", "segment")
+    filled = fill_down(inside, ["book", "year"], "row_no", "segment")
     return filled.where(F.col("series_cell") != "").withColumn("segment", F.coalesce("segment", F.lit("")))
 
 
@@ -162,9 +183,12 @@ def stock_warnings(region: DataFrame, layout: DataFrame) -> DataFrame:
 def sheet_errors(cells: DataFrame, layout: DataFrame) -> DataFrame:
     """``(book, year, error)``: books without a stock sheet, with an empty one, or without a header row."""
     year = F.col("year").cast("string")
-    sheets = choose_sheet(cells).select("book", "sheet", F.col("row0").isNotNull().alias("used"))
-    found = layout.select("book", F.lit(True).alias("headed"))
-    books = cells.select("book", "year").distinct().join(sheets, "book", "left").join(found, "book", "left")
+    sheets = cells.groupBy("book", "year", "sheet", "sheet_pos").agg(F.max(_filled()).alias("used"))
+    # One pass: sheets of other names never win, but they keep their workbook in.
+    order = F.when(_is_stock_sheet(), F.struct(~_is_exact(), "sheet_pos", "sheet"))
+    picked = sheets.groupBy("book", "year").agg(F.min_by(F.struct("sheet", "used"), order).alias("pick"))
+    headed = layout.select("book", "year", F.lit(True).alias("headed"))
+    books = picked.select("book", "year", "pick.*").join(headed, ["book", "year"], "left")
     error = (
         F.when(F.col("sheet").isNull(), F.format_string(fv.TEXT_NO_SHEET, F.lit(fv.SHEET_NAME), year))
         .when(~F.col("used"), F.format_string(fv.TEXT_EMPTY_SHEET, F.col("sheet"), year))
@@ -178,22 +202,22 @@ def reference_date(year: Column) -> Column:
 
 
 def preview_sheet(cells: DataFrame, rows: int = fv.PREVIEW_ROWS, columns: int = fv.PREVIEW_COLUMNS) -> DataFrame:
-    """``(book, sheet, row_no, line)``: the first rows of each sheet, first columns joined by `` | ``.
+    """``(book, year, sheet, row_no, line)``: the first rows of each sheet, first columns joined by `` | ``.
 
     One row of a preview holds at most ``columns`` cells, so its line is built by one
     conditional maximum per column.
     """
     corners = sheet_corners(cells).where(F.col("row0").isNotNull())
     picked = _from_corner(cells, corners).where((F.col("row_no") <= rows) & (F.col("col_no") <= columns))
-    wide = picked.groupBy("book", "sheet", "row_no").agg(
+    wide = picked.groupBy("book", "year", "sheet", "row_no").agg(
         *[F.max(F.when(F.col("col_no") == i, F.col("value"))).alias(f"_c{i}") for i in range(1, columns + 1)]
     )
     # Rows without any cell still take a line.
     height = F.least(F.col("row1") - F.col("row0") + 1, F.lit(rows))
     width = F.least(F.col("col1") - F.col("col0") + 1, F.lit(columns)).cast("int")
     lines = corners.select(
-        "book", "sheet", width.alias("_width"), F.explode(F.sequence(F.lit(1), height)).alias("row_no")
-    ).join(wide, ["book", "sheet", "row_no"], "left")
+        "book", "year", "sheet", width.alias("_width"), F.explode(F.sequence(F.lit(1), height)).alias("row_no")
+    ).join(wide, ["book", "year", "sheet", "row_no"], "left")
     cells_of_row = F.array(*[F.coalesce(f"_c{i}", F.lit("")) for i in range(1, columns + 1)])
     line = F.array_join(F.slice(cells_of_row, F.lit(1), F.col("_width")), " | ")
-    return lines.select("book", "sheet", "row_no", line.alias("line"))
+    return lines.select("book", "year", "sheet", "row_no", line.alias("line"))

@@ -145,4 +145,4 @@ def quality(spark: SparkSession, cards_root: str) -> JobResult:
 
 def preview(cells: DataFrame, rows: int = fv.PREVIEW_ROWS) -> JobResult:
     """First rows of every sheet."""
-    return JobResult(0, preview_sheet(cells, rows).orderBy("book", "sheet", "row_no"))
+    return JobResult(0, preview_sheet(cells, rows).orderBy("book", "year", "sheet", "row_no"))

@@ -69,6 +69,8 @@ CARDS = struct_of(
 )
 
 STOCK = struct_of("year int, row_no int, segment string, brand_label string, model_series string, count int")
+#: As stored: ``book`` tells the workbooks of one year apart (NULL where a load does not name them).
+STOCK_OF_BOOKS = struct_of("year int, row_no int, segment string, brand_label string, model_series string, count int, book string")
 STOCK_WARNINGS = struct_of("year int, row_no int, warning string")
 STOCK_META = struct_of(
     "year int, reference_date date, source_url string, license string, fetched_at_utc timestamp, "

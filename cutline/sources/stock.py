@@ -29,7 +29,9 @@ def write_stock(
     spark = rows.sparkSession
     now = F.current_timestamp() if now is None else now
     path = f"stock-{uuid.uuid4().hex}"
-    for df, schema, name in ((rows, schemas.STOCK, "rows"), (warnings, schemas.STOCK_WARNINGS, "warnings")):
+    if "book" not in rows.columns:
+        rows = rows.withColumn("book", F.lit(None).cast("string"))
+    for df, schema, name in ((rows, schemas.STOCK_OF_BOOKS, "rows"), (warnings, schemas.STOCK_WARNINGS, "warnings")):
         df.select(*[c for c in schema.names if c != "year"]).write.parquet(f"{root}/{path}/{name}")
     earlier = _log(spark, root).agg(F.max("version").alias("version")).first()["version"] or 0
     counts = (
@@ -85,6 +87,6 @@ def read_stock(spark: SparkSession, root: str, year: int | None = None) -> tuple
     newest = log.agg(F.max_by(F.struct("year", "path"), "year").alias("newest")).first()["newest"]
     if newest is None:
         return None
-    stored = T.StructType([f for f in schemas.STOCK.fields if f.name != "year"])
+    stored = T.StructType([f for f in schemas.STOCK_OF_BOOKS.fields if f.name != "year"])
     rows = spark.read.schema(stored).parquet(f"{root}/{newest['path']}/rows").withColumn("year", F.lit(newest["year"]).cast("int"))
-    return newest["year"], rows.select(*schemas.STOCK.names)
+    return newest["year"], rows.select(*schemas.STOCK_OF_BOOKS.names)

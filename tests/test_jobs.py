@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cutline import fixed_values as fv
 from cutline import schemas
+from cutline.operators import match
 from cutline.plans import jobs
 from cutline.plans.discover import Landed
 from cutline.sources import cards as CS
@@ -188,6 +189,17 @@ def test_landed_readers(spark, tmp_path):
     assert landed.read_sheet_cells(spark, str(tmp_path / "cells.csv"), "csv", header="true").first()["year"] == 2026
 
 
+def test_books_of_one_year_stay_apart(spark, tmp_path):
+    from cutline.sources import stock as SS
+
+    rows = [(2025, 6, "Kleinwagen", "OPEL", "CORSA", n, book) for n, book in ((30, "b"), (20, "a"))]
+    none, root = schemas.empty_frame(spark, schemas.STOCK_WARNINGS), str(tmp_path / "stock")
+    SS.write_stock(spark.createDataFrame(rows, schemas.STOCK_OF_BOOKS), none, root, 2025, "u")
+    stored = SS.read_stock(spark, root)[1]
+    assert {tuple(r) for r in stored.collect()} == set(rows)
+    assert {r["count"] for r in match.stock_index(stored, schemas.brand_labels(spark)).collect()} <= {20}
+
+
 def test_a_failed_reload_leaves_the_year_as_it_was(spark, tmp_path):
     from cutline.sources import stock as SS
 
@@ -199,7 +211,7 @@ def test_a_failed_reload_leaves_the_year_as_it_was(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         SS.write_stock(broken, none, root, 2025, "v")
     year, kept = SS.read_stock(spark, root)
-    assert year == 2025 and [tuple(r) for r in kept.collect()] == [tuple(r) for r in rows.collect()]
+    assert year == 2025 and [tuple(r) for r in kept.select(*rows.columns).collect()] == [tuple(r) for r in rows.collect()]
     SS.write_stock(rows.union(rows.withColumn("row_no", F.lit(7))), none, root, 2025, "w")
     assert SS.read_stock(spark, root, 2025)[1].count() == 2
     assert [(r["source_url"], r["row_count"]) for r in SS.read_stock_meta(spark, root).collect()] == [("w", 2)]

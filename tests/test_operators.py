@@ -259,13 +259,13 @@ def test_unambiguous_links(spark):
     assert [tuple(r) for r in got.collect()] == [(1, "de.pdf", 1)]
 
 
-def sheet(spark, grid, name="FZ 12.1", book="b", pos=2, top=3, left=2):
+def sheet(spark, grid, name="FZ 12.1", book="b", pos=2, top=3, left=2, year=2026):
     rows = []
     for r, line in enumerate(grid):
         for c, value in enumerate(line):
             if value is not None:
                 kind = "number" if isinstance(value, (int, float)) else "text"
-                rows.append((book, 2026, name, pos, top + r, left + c, kind, str(value)))
+                rows.append((book, year, name, pos, top + r, left + c, kind, str(value)))
     return schemas.literal_frame(spark, rows, schemas.SHEET_CELLS)
 
 
@@ -299,6 +299,41 @@ def test_stock_sheet(spark):
     assert S.sheet_errors(cells, layout).isEmpty()
 
 
+def test_one_book_name_in_two_years(spark):
+    """Each workbook has its own sheet, corner, header, segments and end."""
+    later = [["Segment", "Modellreihe", "Anzahl 2025", "wide"], [None, None, None], ["VANS", "OPEL COMBO", 5], [None, "OPEL ZAFIRA", "-"]]
+    cells = sheet(spark, GRID).unionByName(sheet(spark, later, name="FZ 12", top=9, left=7, year=2025))
+    cells = cells.unionByName(sheet(spark, [["x"]], name="Other", year=2024))
+    rows = S.sheet_rows(cells)
+    layout = S.book_layout(rows)
+    region = S.data_region(rows, layout)
+    got = sorted(tuple(r)[1:] for r in S.stock_rows(region).collect())
+    assert got == [
+        (2025, 3, "VANS", "OPEL", "COMBO", 5),
+        (2026, 5, "MINIS", "VW", "UP", 1234), (2026, 7, "MINIS", "SONSTIGE", "", 7), (2026, 9, "SUVS", "SKODA", "KAROQ", 500),
+    ]
+    warnings = sorted((r["year"], r["row_no"]) for r in S.stock_warnings(region, layout).collect())
+    assert warnings == [(2025, 4), (2026, 6)]
+    assert [r["year"] for r in S.sheet_errors(cells, layout).collect()] == [2024]
+    assert S.preview_sheet(cells, 1, 3).count() == 3
+
+
+def test_sheet_cells_are_read_once(spark, tmp_path):
+    """The plan of the rows reads what was stored of the sheet, twice at most, and never the cells again."""
+    sheet(spark, GRID).write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    region = S.data_region(S.sheet_rows(cells))
+    plan = S.stock_rows(region)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and "/cells" not in plan
+
+
+def test_equal_rows_of_two_books_have_a_stated_winner(spark):
+    rows = [(2026, 9, "S", "VW", "POLO", n, book) for n, book in ((5, "b"), (7, "a"), (3, "c"), (9, "a"))]
+    stock = spark.createDataFrame(rows, schemas.STOCK_OF_BOOKS)
+    labels = schemas.brand_labels(spark)
+    assert {r["count"] for r in M.stock_index(stock, labels).collect()} == {7}
+
+
 def test_stock_sheet_of_another_year_and_fallback_sheet(spark):
     grid = [[a, b, "Anzahl 2025" if c == "Anzahl 2026" else c] for a, b, c in GRID]
     cells = sheet(spark, grid, name="fz 12 neu", pos=5).unionByName(sheet(spark, [["x"]], name="FZ 12 z", pos=9))
