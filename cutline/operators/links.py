@@ -99,13 +99,30 @@ def extract_template_links(pages: DataFrame, prefix: str = fv.COMBINED_PREFIX) -
     )
 
 
-def follow(links: DataFrame, pages: DataFrame, link_url: str = "page_url") -> DataFrame:
+def follow(links: DataFrame, pages: DataFrame, link_url: str = "page_url", url: str = "url") -> DataFrame:
     """Second hop: links joined with the landed page they point to.
 
     A page many links point to is a skewed key of a plain equi-join, which adaptive
     execution splits at run time.
     """
-    return links.join(pages.withColumnRenamed("url", link_url), link_url, "inner")
+    return links.join(pages.withColumnRenamed(url, link_url), link_url, "inner")
+
+
+def linked_only(pages: DataFrame, links: DataFrame, link_url: str = "page_url", bits: int = 1 << 20) -> DataFrame:
+    """Pages whose URL may be among those of ``links``, told inside the scan of the pages.
+
+    The links' hashed URLs become a bit field of fixed size, a scalar subquery that runs with the query.  It lets every
+    linked page pass and, by chance, few others; a join of what is extracted from the pages settles these.
+    """
+    at = F.pmod(F.xxhash64(link_url), F.lit(bits)).alias("at")
+    used = links.select(at).groupBy(F.shiftright("at", 6).alias("word"))
+    words = used.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
+    every = links.sparkSession.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    field = every.agg(in_order["bits"].alias("field")).scalar()
+    place = F.pmod(F.xxhash64("url"), F.lit(bits))
+    word = F.get(field, F.shiftright(place, 6).cast("int"))
+    return pages.where(F.getbit(word, place.bitwiseAND(63).cast("int")) == 1)
 
 
 def missing_pages(links: DataFrame, pages: DataFrame, link_url: str = "page_url") -> DataFrame:

@@ -29,11 +29,12 @@ from cutline.operators.links import (
     extract_links,
     extract_template_links,
     follow,
+    linked_only,
     missing_pages,
     with_absolute_url,
     with_json,
 )
-from cutline.session import broadcast_if_small, checkpointed
+from cutline.session import checkpointed
 
 
 def _entries(
@@ -198,9 +199,10 @@ def discover_seat(overview: DataFrame, pages: DataFrame) -> DataFrame:
     guide_entries = _entries(
         guide, "Seat", F.col("url"), F.lit(fv.SEAT_GUIDE_LABEL), F.lit(0), F.lit(0), guide_parsed
     )
-    model_pages = follow(broadcast_if_small(seat_model_pages(overview)), pages)
-    links = with_absolute_url(extract_links(model_pages, with_text=False), base="page_url")
-    german = only_language(with_parsed_name(links, "download_url"), fv.GERMAN)
+    model_pages = seat_model_pages(overview)
+    landed = linked_only(pages, model_pages).withColumnRenamed("url", "page_url")
+    links = with_absolute_url(extract_links(landed, with_text=False), base="page_url")
+    german = follow(model_pages, only_language(with_parsed_name(links, "download_url"), fv.GERMAN), url="page_url")
     model_entries = _entries(
         german, "Seat", F.col("page_url"), url_file_name(F.col("download_url")), F.col("page"), F.col("pos")
     )
@@ -227,8 +229,8 @@ def discover_skoda(overview: DataFrame, pages: DataFrame) -> DataFrame:
 
     Each landed page is read once, however many links point to it; links then join its files.
     """
-    links = broadcast_if_small(skoda_model_links(overview))
-    linked = pages.join(links.select(F.col("page_url").alias("url")), "url", "left_semi")
+    links = skoda_model_links(overview)
+    linked = linked_only(pages, links)
     modules = extract_data_props(
         linked, fv.SKODA_MODEL_MODULE, "viewmodel struct<files:array<struct<title:string,link:string>>>"
     )

@@ -219,3 +219,35 @@ def test_larger_sides_are_not_broadcast(spark):
             assert joined.count() == 50
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("brand", ["Seat", "Skoda"])
+def test_second_hop_shuffles_no_markup_and_runs_nothing_while_it_is_built(spark, tmp_path, brand):
+    rows = [(f"https://x.example/{i}", "<a href='/m'>m</a>") for i in range(20)]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    overview = pages.where("url = 'https://x.example/1'")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    group = f"building-{brand}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        entries = getattr(D, f"discover_{brand.lower()}")(overview, pages)
+        assert not tracker.getJobIdsForGroup(group)
+        plan = entries._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines[:-1]) if "Exchange" in line]
+    assert below and not any("html" in line for line in below)
+
+
+def test_linked_only_keeps_every_linked_page(spark):
+    pages = spark.range(3_000).selectExpr("concat('u', id) AS url", "'x' AS html")
+    links = spark.range(0, 3_000, 3).selectExpr("concat('u', id) AS page_url")
+    kept = {r["url"] for r in L.linked_only(pages, links).collect()}
+    assert {f"u{i}" for i in range(0, 3_000, 3)} <= kept and len(kept) < 1_020
+    assert L.linked_only(pages, links.where("page_url = 'no'")).isEmpty()
+    assert len({r["url"] for r in L.linked_only(pages, links, bits=64).collect()}) >= 1_000
