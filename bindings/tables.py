@@ -16,6 +16,8 @@ from cutline.operators import sheet as S
 from cutline.operators import split as P
 from cutline.session import scratch_path
 from cutline.sources import cards as CS
+from cutline.sources import config as CF
+from cutline.sources import landed as LD
 from cutline.sources import reports as RS
 from cutline.sources import stock as SS
 
@@ -400,7 +402,57 @@ def written_reports(spark, sf):
     return lines.unionByName(spark.read.text(f"{root}/json").select(F.lit("json").alias("kind"), "value"))
 
 
+# --- configuration documents and landed files, written from the given tables and read by their readers ---
+
+_NATION_BRAND = "CASE n_regionkey WHEN 0 THEN 'vw' WHEN 1 THEN 'AUDI' WHEN 2 THEN 'Skoda' WHEN 3 THEN 'seat' ELSE 'Tesla' END"
+_KNOWN_BRAND = "CASE n_regionkey WHEN 0 THEN 'VW' WHEN 1 THEN 'Audi' WHEN 2 THEN 'Skoda' WHEN 3 THEN 'Seat' END"
+
+
+def _document(spark, name, rows, body):
+    """One JSON document over all ``rows`` as a file of its own."""
+    path = scratch_path(spark, name)
+    rows.agg(F.expr(f"to_json({body}, map('ignoreNullFields', 'false'))").alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def alias_document(spark, sf):
+    nation = table(spark, sf, "nation")
+    path = _document(
+        spark, "aliases", nation,
+        "named_struct('Aliases', array_sort(collect_list(named_struct('order', n_nationkey, "
+        f"'Brand', {_NATION_BRAND}, 'modelName', n_name, 'KBAmodelSeries', upper(n_name)))))",
+    )
+    return CF.read_aliases(spark, path).unionByName(CF.read_aliases(spark, f"{path}/missing.json"))
+
+
+def sibling_document(spark, sf):
+    members = table(spark, sf, "nation").groupBy("n_regionkey").agg(
+        F.expr(f"array_sort(collect_list(named_struct('order', n_nationkey, 'brand', {_NATION_BRAND}, 'ModelName', n_name)))").alias("members")
+    )
+    regions = table(spark, sf, "region").join(members, F.col("r_regionkey") == F.col("n_regionkey"))
+    path = _document(
+        spark, "siblings", regions,
+        "named_struct('groups', array_sort(collect_list(named_struct('order', r_regionkey, "
+        "'groupId', concat('g', r_regionkey), 'platformName', r_name, 'members', members))))",
+    )
+    return CF.read_siblings(spark, path).unionByName(CF.read_siblings(spark, f"{path}/missing.json"))
+
+
+def landed_pages(spark, sf):
+    """Pages landed as JSON lines and as parquet, with a column more than declared."""
+    pages = table(spark, sf, "pages")
+    read = []
+    for fmt in ("json", "parquet"):
+        path = scratch_path(spark, "landed")
+        pages.write.format(fmt).save(path)
+        read.append(LD.read_pages(spark, path, fmt).select(F.lit(fmt).alias("fmt"), "url", F.md5("html").alias("html_md5")))
+    return read[0].unionByName(read[1])
+
+
 QUERIES = {
+    "config_aliases": alias_document,
+    "config_siblings": sibling_document,
+    "landed_pages": landed_pages,
     "stock_rows": stock_from_sheets,
     "stock_warnings": sheet_warnings,
     "sheet_errors": broken_sheets,
@@ -482,6 +534,12 @@ _READ_HEADER_LINE = f"SELECT '{fv.REPORT_CSV_HEADER}' AS value"
 _HEADER_LINE = f"SELECT chr(65279) || '{fv.REPORT_CSV_HEADER}' AS value"
 
 ORACLE = {
+    "config_aliases": f"""
+SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, {_KNOWN_BRAND} AS brand, n_name AS model_name, upper(n_name) AS model_series FROM nation""",
+    "config_siblings": f"""
+SELECT CAST(dense_rank() OVER (ORDER BY r_regionkey) - 1 AS INTEGER) AS group_pos, 'g' || r_regionkey AS group_id, r_name AS platform_name, {_KNOWN_BRAND} AS brand,
+  n_name AS model_name FROM region JOIN nation ON n_regionkey = r_regionkey""",
+    "landed_pages": "SELECT fmt, url, md5(html) AS html_md5 FROM pages, (VALUES ('json'), ('parquet')) t(fmt)",
     "stock_rows": f"""WITH {_SHEET}
 SELECT book, year, row_no, segment, split_part(series, ' ', 1) AS brand_label,
   CASE WHEN series = 'SONSTIGE' THEN '' ELSE substr(series, 7) END AS model_series, CAST(p_size * 100 AS INTEGER) AS count FROM d WHERE cnt <> '.'""",

@@ -60,7 +60,7 @@ def with_json(df: DataFrame, raw: Column, ddl: str, out: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
     read = bind(df, **{out: F.from_json(lower_json_keys(raw), f"{ddl}, {_CORRUPT} string", options)})
     # The reader takes a text whose first value is sound; as the only member of an array nothing may follow that.
-    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & F.rtrim(raw).endswith("}")
+    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & F.rtrim(raw, F.lit(" \t\r\n")).endswith("}")
     return read.where(F.col(out).isNotNull() & F.col(f"{out}.{_CORRUPT}").isNull() & alone)
 
 
