@@ -199,6 +199,14 @@ def all_entries(spark, sf):
     )
 
 
+def isolated_runs(spark, sf):
+    """A run over five brands: three are found, one fails while its rows are made, one has no extractor."""
+    registry = {brand: lambda landed, extract=_ALL[brand]: extract(spark, sf) for brand in ("Audi", "VW", "Lamborghini")}
+    registry["Cupra"] = lambda landed: _ALL["Cupra"](spark, sf).withColumn("raw_label", F.raise_error(F.lit("lost")).cast("string"))
+    entries, runs = D.run_discovery(spark, D.Landed(None, None), (*registry, "Porsche"), registry)
+    return flat_entries(entries).unionByName(runs.select("brand", "outcome"), allowMissingColumns=True)
+
+
 def publications(spark, sf):
     pages = _pages(
         spark, sf,
@@ -223,6 +231,7 @@ QUERIES = {
     "pick_publication": publications,
     **{f"discover_{brand.lower()}": _flat(extract) for brand, extract in _ALL.items()},
     "discover_all": all_entries,
+    "run_discovery": isolated_runs,
 }
 
 # The given pages carry no anchor with several attributes, and four named entities.
@@ -339,4 +348,7 @@ SELECT {_URL} AS url, CASE WHEN p_partkey % 2 = 0 THEN 'https://stats.example/d/
     **{f"discover_{brand.lower()}": sql for brand, sql in _ENTRY_SQL.items()},
     "discover_all": "SELECT brand, language_code, count(*) AS entries, min(download_url) AS first_url, max(raw_label) AS last_label FROM ("
     + " UNION ALL ".join(_ENTRY_SQL.values()) + ") GROUP BY 1, 2",
+    "run_discovery": "SELECT * FROM (" + " UNION ALL ".join(_ENTRY_SQL[f] for f in ("Audi", "VW", "Lamborghini")) + """)
+UNION ALL BY NAME SELECT * FROM (VALUES ('Audi', 'Completed'), ('VW', 'Completed'), ('Lamborghini', 'Completed'), ('Cupra', 'DiscoveryFailed'),
+  ('Porsche', 'NotImplemented')) t(brand, outcome)""",
 }
