@@ -122,16 +122,16 @@ SEAT = fv.PAGE_URLS["Seat"]
 
 
 def test_seat(spark):
-    overview = f"""<a href="/rc/emergency-response-guide-de.pdf">g</a><a href="/rc/x/emergency-response-guide-de.pdf">g</a>
+    overview = f"""<a href="/files/2024/emergency-response-guide-de.pdf">g</a><a href="/rc/x/emergency-response-guide-de.pdf">g</a>
     <a class="link-arrow" href="/kontakt/rettungsblaetter/ateca">A</a><a class="b link-arrow" href="https://www.seat.de/kontakt/rettungsblaetter/ateca">A again</a>
     <a class="link-arrow" href="/kontakt/rettungsblaetter/lost">L</a><a class="link" href="/rettungsblaetter/no">n</a>"""
-    model = '<a href="/rc/Seat_Ateca__SUV_2018_5d_GD_DE.pdf">d</a><a href="/rc/Seat_Ateca__SUV_2018_5d_GD_FR.pdf">f</a>'
+    model = '<a href="/rc/Seat_Arona__SUV_2019_4d_GD_DE.pdf">d</a><a href="/rc/Seat_Arona__SUV_2019_4d_GD_FR.pdf">f</a>'
     pages = pages_of(spark, (SEAT, overview), ("https://www.seat.de/kontakt/rettungsblaetter/ateca", model), ("https://www.seat.de/rettungsblaetter/no", model))
     landed = D.Landed(pages, None)
     got = entries(D.discover_seat(landed.page("Seat"), pages))
     assert [(r["model_name"], r["raw_label"], r["source_page_url"]) for r in got] == [
         ("General Guide", "seat-emergency-response-guide-de.pdf", SEAT),
-        ("Ateca", "Seat_Ateca__SUV_2018_5d_GD_DE.pdf", "https://www.seat.de/kontakt/rettungsblaetter/ateca"),
+        ("Arona", "Seat_Arona__SUV_2019_4d_GD_DE.pdf", "https://www.seat.de/kontakt/rettungsblaetter/ateca"),
     ]
     lost = L.missing_pages(D.seat_model_pages(landed.page("Seat")), pages).collect()
     assert [r["page_url"] for r in lost] == ["https://www.seat.de/kontakt/rettungsblaetter/lost"]
@@ -150,19 +150,19 @@ def test_skoda(spark):
     model = props(
         "download-file",
         {"ViewModel": {"Files": [
-            {"title": "Fabia IV (ab 2021) Combi 5d", "link": "/media/a.pdf"}, {"title": None, "link": "b.pdf"}, {"title": "x", "link": " "},
+            {"title": "Rapid III (ab 2020) Combi 4d", "link": "/media/a.pdf"}, {"title": None, "link": "b.pdf"}, {"title": "x", "link": " "},
         ]}},
     )
     pages = pages_of(spark, (SKODA, overview), ("https://www.skoda-auto.de/service/rettungsdatenblatt-fabia", model), ("https://z.example", model))
     got = entries(D.discover_skoda(pages.where(f"url = '{SKODA}'"), pages))
     assert [(r["model_name"], r["raw_label"], r["download_url"], r["parse_confidence"]) for r in got] == [
-        ("Fabia", "Fabia IV (ab 2021) Combi 5d", "https://www.skoda-auto.de/media/a.pdf", "Heuristic"),
+        ("Fabia", "Rapid III (ab 2020) Combi 4d", "https://www.skoda-auto.de/media/a.pdf", "Heuristic"),
         ("Fabia", "Fabia", "https://www.skoda-auto.de/service/b.pdf", "Unparsed"),
-        ("Fabia Combi", "Fabia IV (ab 2021) Combi 5d", "https://www.skoda-auto.de/media/a.pdf", "Heuristic"),
+        ("Fabia Combi", "Rapid III (ab 2020) Combi 4d", "https://www.skoda-auto.de/media/a.pdf", "Heuristic"),
         ("Fabia Combi", "Fabia Combi", "https://www.skoda-auto.de/service/b.pdf", "Unparsed"),
     ]
     first = got[0]
-    assert (first["body_type"], first["doors"], first["build_year_from"], first["build_year_to"], first["fuel_type"]) == ("Combi", 5, 2021, None, None)
+    assert (first["body_type"], first["doors"], first["build_year_from"], first["build_year_to"], first["fuel_type"]) == ("Combi", 4, 2020, None, None)
 
 
 def test_publication(spark):

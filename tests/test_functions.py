@@ -100,7 +100,7 @@ def test_doors(apply):
 
 def test_fuel_type(apply):
     values = [
-        "Citigo-e iV", "Superb iV PHEV HYBRID", "Fabia IV (ab 2021)", "Kodiaq hybrid iV", "Octavia IV MHEV",
+        "Citigo-e iV", "Karoq PHEV HYBRID", "Scala IV (seit 2020)", "Kodiaq hybrid iV", "Octavia IV MHEV",
         "Enyaq", None, "diViner GD",
     ]
     assert apply(text.fuel_type, values) == ["iV", "PHEV HYBRID", None, "iV", "MHEV", None, None, "GD"]
@@ -136,8 +136,8 @@ def test_parse_header(spark):
 
 
 def test_parentheses_and_powertrain(apply):
-    values = ["GT (ICE) (2018 - 2024)", "BENTAYGA (hybrid)", "PLAIN"]
-    assert apply(text.strip_parens, values) == ["GT", "BENTAYGA", "PLAIN"]
+    values = ["Flying Spur (ICE) (2019 - 2023)", "BENTAYGA (hybrid)", "PLAIN"]
+    assert apply(text.strip_parens, values) == ["Flying Spur", "BENTAYGA", "PLAIN"]
     assert apply(text.powertrain, values) == ["ICE", "hybrid", None]
 
 
@@ -167,8 +167,8 @@ NAME_CASES = [
      ("Leon", None, "Kombi", None, None, None, "GD", "DE", "Unparsed")),
     (N.tokens, "Seat_Ibiza.pdf", ("Ibiza", None, None, None, None, None, None, None, "Unparsed")),
     (N.tokens, "guide.pdf", (None, None, None, None, None, None, None, None, "Unparsed")),
-    (N.audi_tokens, "Audi_A6_Limousine_2018_4d_Hybrid_(Electric)_DE.pdf",
-     ("A6", None, "Limousine", 2018, None, 4, "Hybrid (Electric)", "DE", "High")),
+    (N.audi_tokens, "Audi_A7_Limousine_2019_5d_Hybrid_(Electric)_DE.pdf",
+     ("A7", None, "Limousine", 2019, None, 5, "Hybrid (Electric)", "DE", "High")),
     (N.audi_tokens, "Audi_Q4_Sportback_SUV_2021-2023_5d_Electric_1_2_DE.pdf",
      ("Q4", "Sportback", "SUV", 2021, 2023, 5, "Electric", "DE", "High")),
     (N.audi_tokens, "Audi_A4__Stationwagon_2016-2024_5d_GD_EN.pdf",
