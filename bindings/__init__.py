@@ -1,5 +1,5 @@
 """Registered queries over the given tables, each with an equivalent SQL check."""
 
-from bindings import matching, parsing, tables, web
+from bindings import chain, matching, parsing, tables, web
 
-MODULES = (matching, parsing, web, tables)
+MODULES = (matching, parsing, web, tables, chain)

@@ -347,14 +347,16 @@ def manifests(spark, sf):
     return read.select("id", F.col("modelName").alias("model_name"), "status", F.col("buildYearFrom").alias("year"), F.col("discoveredAtUtc").alias("discovered"), "brand")
 
 
+SIDECAR_FILE = (
+    "concat('{\\n \"id\": \"s', s_suppkey, '\", \"brand\": \"', CASE WHEN s_suppkey % 7 = 0 THEN 'vw' WHEN s_suppkey % 7 = 1 THEN 'opel' ELSE 'skoda' END, "
+    "'\", \"modelName\": \"', s_name, '\",\\n \"siblingModelIds\": [\"a\"], \"status\": \"metadataOnly\"', CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE '\\n}' END)"
+)
+
+
 def sidecars(spark, sf):
     """One JSON file per supplier card, every tenth one broken: good and corrupt files counted."""
     root = scratch_path(spark, "sidecars")
-    body = (
-        "concat('{\\n \"id\": \"s', s_suppkey, '\", \"brand\": \"', CASE WHEN s_suppkey % 7 = 0 THEN 'vw' WHEN s_suppkey % 7 = 1 THEN 'opel' ELSE 'skoda' END, "
-        "'\", \"modelName\": \"', s_name, '\",\\n \"siblingModelIds\": [\"a\"], \"status\": \"metadataOnly\"', CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE '\\n}' END)"
-    )
-    files = table(spark, sf, "supplier").selectExpr("s_suppkey AS folder", f"{body} AS value")
+    files = table(spark, sf, "supplier").selectExpr("s_suppkey AS folder", f"{SIDECAR_FILE} AS value")
     files.write.partitionBy("folder").option("compression", "none").text(f"{root}/raw")
     # Spark names its text files .txt; the scan takes any name ending in .json or .txt here.
     cards, corrupt = CS.read_card_sidecars(spark, f"{root}/raw", "*.txt")

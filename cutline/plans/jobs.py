@@ -1,4 +1,8 @@
-"""The batch jobs: discover, load_stock, prioritize, split, quality, preview."""
+"""The batch jobs: discover, import_cards, load_stock, prioritize, split, quality, preview.
+
+A job that changes the cards starts from the current version of the store; if another job published a version in the
+meantime it ends with ``VersionTaken`` and changes nothing, and can simply be run again.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ from cutline.operators.sheet import (
 from cutline.operators.split import combined_cards, replace_combined, split_cards, split_counts, split_groups, split_summary
 from cutline.plans.discover import Landed, missing_model_pages, run_discovery
 from cutline.session import checkpointed
-from cutline.sources.cards import read_cards, write_cards, write_manifests
+from cutline.sources.cards import current_version, read_card_sidecars, read_cards, write_cards, write_manifests
 from cutline.sources.config import read_aliases, read_siblings
 from cutline.sources.reports import write_report_csv, write_report_json
 from cutline.sources.stock import read_stock, write_stock
@@ -59,7 +63,8 @@ def discover(
     entries, brand_runs = run_discovery(spark, landed, brands)
     outcomes = None if fetch_log is None else classify_fetch(fetch_log)
     cards = build_cards(entries, read_siblings(spark, siblings_path), outcomes)
-    stored = write_cards(upsert_cards(read_cards(spark, cards_root), cards, F.col("entry_pos")), cards_root)
+    base = current_version(spark, cards_root)
+    stored = write_cards(upsert_cards(read_cards(spark, cards_root), cards, F.col("entry_pos")), cards_root, base)
     if fetch_log is not None:
         write_manifests(stored, cards_root, brands)
     # The summary counts every discovered entry, also those overwritten by a later one of the same id.
@@ -68,6 +73,24 @@ def discover(
     return JobResult(1 if failed else 0, summary, details=missing_model_pages(landed, brands))
 
 
+def import_cards(spark: SparkSession, tree_root: str, cards_root: str, names: str = "*.json") -> JobResult:
+    """Upsert the cards of a tree of one-card JSON files.
+
+    Of files with one id the last by path counts.  Unreadable files and files without an id or a brand are left out
+    and are the details, ``(file, content)``. Exit code 1: there were such files. The result counts both kinds.
+    """
+    cards, corrupt = read_card_sidecars(spark, tree_root, names, position="file")
+    cards = checkpointed(cards)
+    nameless = cards.where(F.col("id").isNull() | F.col("brand").isNull())
+    left_out = checkpointed(corrupt.unionByName(nameless.select("file", F.lit(None).cast("string").alias("content"))))
+    incoming = cards.where(F.col("id").isNotNull() & F.col("brand").isNotNull())
+    base = current_version(spark, cards_root)
+    write_cards(upsert_cards(read_cards(spark, cards_root), incoming, F.col("file")), cards_root, base)
+    kinds = incoming.select(F.lit(True).alias("good")).unionByName(left_out.select(F.lit(False).alias("good")))
+    counts = kinds.agg(F.count_if("good").alias("imported"), F.count_if(~F.col("good")).alias("left_out"))
+    return JobResult(1 if not left_out.isEmpty() else 0, counts, details=left_out)
+
+
 def load_stock(spark: SparkSession, cells: DataFrame, pages: DataFrame, stock_root: str, year: int) -> JobResult:
     """Parse the landed workbook of a year into the stock table.
 
@@ -108,9 +131,10 @@ def prioritize(
         return JobResult(1, None, "no vehicle stock found")
     index = stock_index(stock[1], schemas.brand_labels(spark))
     lookup = fleet_lookup(index, read_aliases(spark, aliases_path))
+    base = current_version(spark, cards_root)
     cards = attach_fleet(read_cards(spark, cards_root), lookup).select(*schemas.CARDS.names)
     # Report and distribution read the stored result, so the match runs once.
-    stored = write_cards(cards, cards_root)
+    stored = write_cards(cards, cards_root, base)
     report = priority_report(stored)
     write_report_json(report, f"{report_root}/priority-report.json")
     write_report_csv(report, f"{report_root}/priority-report.csv")
@@ -122,6 +146,7 @@ def split(spark: SparkSession, cards_root: str, pdf_pages: DataFrame, siblings_p
 
     The details are the cards found in each combined document, zeros included.
     """
+    base = current_version(spark, cards_root)
     cards = read_cards(spark, cards_root)
     combined = combined_cards(cards)
     if combined.isEmpty():
@@ -130,8 +155,9 @@ def split(spark: SparkSession, cards_root: str, pdf_pages: DataFrame, siblings_p
     made = checkpointed(made.select(*schemas.CARDS.names, "combined_id"))
     counts = checkpointed(split_counts(combined, made))
     summary = split_summary(counts)
-    stored = write_cards(replace_combined(cards, made), cards_root)
-    write_manifests(stored, cards_root)
+    changed = [row["brand"] for row in combined.select("brand").distinct().collect()]  # at most one row a brand
+    stored = write_cards(replace_combined(cards, made), cards_root, base)
+    write_manifests(stored, cards_root, changed)
     return JobResult(0, summary, details=counts)
 
 

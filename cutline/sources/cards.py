@@ -1,7 +1,7 @@
 """Card table: versioned parquet store, JSON sidecar scan, per-brand manifests.
 
-A new version is written beside the old one and becomes current by one appended row in
-the version log, so a crash at any point leaves the previous version readable.
+A new version is written beside the old one and becomes current by one published entry, so a crash at any point
+leaves the previous version readable.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from cutline import fixed_values as fv
 from cutline import schemas
 from cutline.functions.names import slug
 from cutline.sources.config import canonical
+from cutline.sources.versions import publish, published
 
 _VERSIONS = schemas.struct_of("version bigint, path string")
 _TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -49,12 +50,7 @@ def to_camel(df: DataFrame, enums=tuple(_ENUMS)) -> DataFrame:
 
 
 def _current_path(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    try:
-        log = spark.read.schema(_VERSIONS).option("recursiveFileLookup", True).json(f"{root}/versions")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    log = published(spark, f"{root}/versions", _VERSIONS)
     newest = log.agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path")).first()
     return None if newest["path"] is None else (newest["version"], newest["path"])
 
@@ -64,32 +60,37 @@ def read_cards(spark: SparkSession, root: str) -> DataFrame:
     current = _current_path(spark, root)
     if current is None:
         return schemas.empty_frame(spark, schemas.CARDS)
-    stored = spark.read.schema(_stored_schema()).parquet(f"{root}/{current[1]}")
-    return stored.select(*schemas.CARDS.names)
+    return _stored(spark, root, current[1])
+
 
+def _stored(spark: SparkSession, root: str, path: str) -> DataFrame:
+    schema = T.StructType([*schemas.CARDS.fields, T.StructField("model_slug", T.StringType())])
+    return spark.read.schema(schema).parquet(f"{root}/{path}").select(*schemas.CARDS.names)
 
-def _stored_schema() -> T.StructType:
-    return T.StructType([*schemas.CARDS.fields, T.StructField("model_slug", T.StringType())])
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """Number of the version that ``read_cards`` reads now; 0 when nothing was written yet."""
+    current = _current_path(spark, root)
+    return current[0] if current else 0
 
 
-def write_cards(cards: DataFrame, root: str) -> DataFrame:
+def write_cards(cards: DataFrame, root: str, base: int | None = None) -> DataFrame:
     """Write the whole card table as the new current version and return it as stored.
 
-    Files are laid out by brand; rebalancing keeps them even when one brand dominates.  Each version has a log
-    entry of its own, which must not exist yet: of two writers that started from one version, the second fails.
+    Files are laid out by brand; rebalancing keeps them even when one brand dominates.  ``base`` is the version the
+    cards were made from, the current one if not given.  Of two writers that started from one version the second gets
+    ``VersionTaken``, and so does a writer whose base is no longer the current version.
     """
     spark = cards.sparkSession
-    current = _current_path(spark, root)
-    version, path = (current[0] + 1 if current else 1), f"cards-{uuid.uuid4().hex}"
+    version, path = (current_version(spark, root) if base is None else base) + 1, f"cards-{uuid.uuid4().hex}"
     (
         cards.select(*schemas.CARDS.names, slug(F.col("model_name")).alias("model_slug"))
         .hint("rebalance", F.col("brand"))
         .write.partitionBy("brand")
         .parquet(f"{root}/{path}")
     )
-    entry = schemas.literal_frame(spark, [(version, path)], _VERSIONS)
-    entry.coalesce(1).write.mode("errorifexists").json(f"{root}/versions/{version}")
-    return read_cards(spark, root)
+    publish(schemas.literal_frame(spark, [(version, path)], _VERSIONS), f"{root}/versions", str(version))
+    return _stored(spark, root, path)
 
 
 def write_manifests(cards: DataFrame, root: str, brands: Sequence[str] | None = None) -> None:
@@ -116,8 +117,10 @@ def _sidecar_schema() -> T.StructType:
     return T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
 
 
-def read_card_sidecars(spark: SparkSession, root: str, names: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """``(cards, corrupt)`` of a tree of one-card JSON files.
+def read_card_sidecars(
+    spark: SparkSession, root: str, names: str = "*.json", position: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(cards, corrupt)`` of a tree of one-card JSON files; ``position`` names a further column for a card's path.
 
     Names starting with an underscore (manifests) are skipped. An unreadable file, or one with
     an unknown enumeration value, goes to ``corrupt(file, content)``; the rest load.
@@ -136,7 +139,8 @@ def read_card_sidecars(spark: SparkSession, root: str, names: str = "*.json") ->
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         corrupt = schemas.struct_of("file string, content string")
-        return schemas.empty_frame(spark, schemas.CARDS), schemas.empty_frame(spark, corrupt)
+        none = schemas.empty_frame(spark, schemas.CARDS)
+        return none.withColumn(position, F.lit("")) if position else none, schemas.empty_frame(spark, corrupt)
     columns = [
         (canonical(F.col(camel(c)), _ENUMS[c]) if c in _ENUMS else F.col(camel(c))).alias(c)
         for c in schemas.CARDS.names
@@ -146,6 +150,6 @@ def read_card_sidecars(spark: SparkSession, root: str, names: str = "*.json") ->
         bad |= F.col(camel(name)).isNotNull() & canonical(F.col(camel(name)), values).isNull()
     rows = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.coalesce(bad, F.lit(False)).alias("_bad"))
     return (
-        rows.where(~F.col("_bad")).select(*columns),
+        rows.where(~F.col("_bad")).select(*columns, *([F.col("_file").alias(position)] if position else [])),
         rows.where(F.col("_bad")).select(F.col("_file").alias("file"), F.col(_CORRUPT).alias("content")),
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +12,7 @@ from cutline import fixed_values as fv
 from cutline import schemas
 from cutline.operators.ordered import latest_by
 from cutline.operators.sheet import reference_date
-
+from cutline.sources.versions import publish, published
 
 _LOG = T.StructType([*schemas.STOCK_META.fields, *schemas.struct_of("version bigint, path string").fields])
 
@@ -23,17 +22,18 @@ def write_stock(
 ) -> DataFrame:
     """Replace one year of the stock table and return its provenance row.
 
-    Rows and warnings go to a folder of their own.  The provenance row is appended to a log last, counts what was
-    stored and names the folder, so readers see the year as it was until all of it is complete.
+    Rows and warnings go to a folder of their own.  The provenance row is published last, counts what was stored and
+    names the folder, so readers see the year as it was until all of it is complete.  Of two loads of one year that ran
+    at the same time the second gets ``VersionTaken``; loads of different years do not meet.
     """
     spark = rows.sparkSession
     now = F.current_timestamp() if now is None else now
     path = f"stock-{uuid.uuid4().hex}"
+    earlier = _log(spark, root).where(F.col("year") == year).agg(F.max("version").alias("version")).first()["version"] or 0
     if "book" not in rows.columns:
         rows = rows.withColumn("book", F.lit(None).cast("string"))
     for df, schema, name in ((rows, schemas.STOCK_OF_BOOKS, "rows"), (warnings, schemas.STOCK_WARNINGS, "warnings")):
         df.select(*[c for c in schema.names if c != "year"]).write.parquet(f"{root}/{path}/{name}")
-    earlier = _log(spark, root).agg(F.max("version").alias("version")).first()["version"] or 0
     counts = (
         spark.read.parquet(f"{root}/{path}/rows").select(F.lit(1).alias("row"), F.lit(0).alias("warning"))
         .unionByName(spark.read.parquet(f"{root}/{path}/warnings").select(F.lit(0).alias("row"), F.lit(1).alias("warning")))
@@ -42,7 +42,7 @@ def write_stock(
             F.coalesce(F.sum("warning"), F.lit(0)).alias("warning_count"),
         )
     )
-    counts.select(
+    entry = counts.select(
         F.lit(year).cast("int").alias("year"),
         reference_date(F.lit(year)).alias("reference_date"),
         F.lit(source_url).alias("source_url"),
@@ -52,18 +52,14 @@ def write_stock(
         "warning_count",
         F.lit(earlier + 1).cast("long").alias("version"),
         F.lit(path).alias("path"),
-    ).write.mode("append").parquet(f"{root}/log")
+    )
+    publish(entry, f"{root}/loads", f"{year}-{earlier + 1}")
     return read_stock_meta(spark, root).where(F.col("year") == year)
 
 
 def _log(spark: SparkSession, root: str) -> DataFrame:
     """The newest provenance row of every year, with its version and folder."""
-    try:
-        log = spark.read.schema(_LOG).parquet(f"{root}/log")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return schemas.empty_frame(spark, _LOG)
+    log = published(spark, f"{root}/loads", _LOG)
     return latest_by(log, ["year"], F.col("version"))
 
 

@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from cutline.operators import match
 from cutline.plans import jobs
 from cutline.plans.discover import Landed
 from cutline.sources import cards as CS
-from cutline.sources import config, landed, reports, stock
+from cutline.sources import config, landed, reports, stock, versions
+from cutline.sources.versions import VersionTaken
 from tests.test_discover import AUDI, bentley_item
 from tests.test_operators import GRID, sheet
 
@@ -217,14 +219,94 @@ def test_a_failed_reload_leaves_the_year_as_it_was(spark, tmp_path):
     assert [(r["source_url"], r["row_count"]) for r in SS.read_stock_meta(spark, root).collect()] == [("w", 2)]
 
 
-def test_a_second_writer_of_a_version_fails(spark, tmp_path, monkeypatch):
-    from cutline.sources import cards as CS
+def _cards(spark, *ids):
+    known = {"brand": F.lit("VW"), "id": F.col("id")}
+    rows = spark.createDataFrame([(i,) for i in ids], "id string")
+    return rows.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CARDS.fields])
+
+
+def _ids(spark, root):
+    return sorted(r["id"] for r in CS.read_cards(spark, root).collect())
+
+
+def test_of_two_writers_of_one_version_the_second_fails(spark, tmp_path):
+    root = str(tmp_path / "cards")
+    assert CS.current_version(spark, root) == 0
+    CS.write_cards(_cards(spark, "a"), root)
+    first, second = CS.current_version(spark, root), CS.current_version(spark, root)
+    CS.write_cards(_cards(spark, "a", "b"), root, first)
+    with pytest.raises(VersionTaken, match="already exists"):
+        CS.write_cards(_cards(spark, "a", "c"), root, second)
+    assert _ids(spark, root) == ["a", "b"] and CS.current_version(spark, root) == 2
+    # a log entry is complete or absent, and nothing else is left in its folder
+    assert sorted(p.name for p in (tmp_path / "cards" / "versions").iterdir() if not p.name.startswith(".")) == ["1.json", "2.json"]
+
+
+def test_writers_at_the_same_time_leave_one_version(spark, tmp_path):
+    root = str(tmp_path / "cards")
+
+    def write(name):
+        try:
+            CS.write_cards(_cards(spark, name), root, 0)
+            return name
+        except VersionTaken:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = [name for name in pool.map(write, "abcd") if name]
+    assert len(done) == 1 and _ids(spark, root) == done
 
+
+def test_entries_take_their_name_by_renaming_too(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "_link", versions._rename)
+    entry = spark.createDataFrame([(1, "p")], "version bigint, path string")
+    versions.publish(entry, str(tmp_path), "1")
+    with pytest.raises(VersionTaken):
+        versions.publish(entry.withColumn("path", F.lit("q")), str(tmp_path), "1")
+    assert [tuple(r) for r in versions.published(spark, str(tmp_path), entry.schema).collect()] == [(1, "p")]
+
+
+def test_of_two_loads_of_a_year_the_second_fails(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(2025, 6, "Kleinwagen", "OPEL", "CORSA", 10)], schemas.STOCK)
+    none, root = schemas.empty_frame(spark, schemas.STOCK_WARNINGS), str(tmp_path / "stock")
+    before = stock._log(spark, root)
+    stock.write_stock(rows, none, root, 2025, "u")
+    with monkeypatch.context() as patch:
+        patch.setattr(stock, "_log", lambda *_: before)  # the second load looked before the first was done
+        with pytest.raises(VersionTaken):
+            stock.write_stock(rows, none, root, 2025, "v")
+        stock.write_stock(rows.withColumn("year", F.lit(2024)), none, root, 2024, "w")
+    assert sorted((r["year"], r["source_url"]) for r in stock.read_stock_meta(spark, root).collect()) == [(2024, "w"), (2025, "u")]
+
+
+def test_a_job_that_was_overtaken_changes_nothing(spark, inputs, tmp_path, monkeypatch):
     root = str(tmp_path / "cards")
-    CS.write_cards(schemas.empty_frame(spark, schemas.CARDS), root)
-    monkeypatch.setattr(CS, "_current_path", lambda *_: None)
-    with pytest.raises(Exception, match="already exists"):
-        CS.write_cards(schemas.empty_frame(spark, schemas.CARDS), root)
+    CS.write_cards(_cards(spark, "a"), root)
+    monkeypatch.setattr(jobs, "current_version", lambda *_: 0)
+    with pytest.raises(VersionTaken):
+        jobs.discover(spark, inputs[0], root, None, ("Audi",))
+    assert _ids(spark, root) == ["a"]
+
+
+def test_imported_card_files(spark, tmp_path):
+    root, tree = str(tmp_path / "cards"), tmp_path / "tree"
+    CS.write_cards(_cards(spark, "old", "kept"), root)
+    tree.mkdir()
+    bodies = {
+        "1": {"id": "old", "brand": "vw", "modelName": "first"}, "2": {"id": "old", "brand": "vw", "modelName": "second"},
+        "3": {"id": "new", "brand": "SEAT"}, "4": {"brand": "vw"}, "5": {"id": "x", "brand": "vw", "status": "exploded"},
+    }
+    for name, body in bodies.items():
+        (tree / f"{name}.json").write_text(json.dumps(body))
+    (tree / "_manifest.json").write_text("[")
+    job = jobs.import_cards(spark, str(tree), root)
+    assert (job.exit_code, tuple(job.result.first())) == (1, (3, 2))
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in job.details.collect()) == ["4.json", "5.json"]
+    assert {(r["id"], r["brand"], r["model_name"]) for r in CS.read_cards(spark, root).collect()} == {
+        ("kept", "VW", None), ("old", "VW", "second"), ("new", "Seat", None),
+    }
+    empty = jobs.import_cards(spark, str(tmp_path / "none"), root)
+    assert (empty.exit_code, tuple(empty.result.first())) == (0, (0, 0)) and CS.read_cards(spark, root).count() == 3
 
 
 def test_manifests_of_other_brands_stay(spark, tmp_path):
