@@ -196,35 +196,56 @@ _LABEL = r"[A-Za-z0-9-]{1,63}"
 _TAIL = re.compile(rf"({_LABEL})((?:(?:{_DOT}|{_BARE_DOT}|\.){_LABEL})+)", re.IGNORECASE)
 _ANY_DOT = re.compile(rf"{_DOT}|{_BARE_DOT}", re.IGNORECASE)
 _ANY_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_AT}|{_BARE_AT}|\s{{0,3}}@\s{{0,3}})(?=[A-Za-z0-9])", re.IGNORECASE)
-_LOCAL_DOT = re.compile(rf"(?:{_LABEL})(?:{_DOT}{_LABEL})+\Z", re.IGNORECASE)
 _HINT = re.compile(r"@|(?<![A-Za-z])(?:at|arroba|arobase)(?![A-Za-z])", re.IGNORECASE)
-#: Longest local part, as mail systems have it: how far a disguised one is followed back.
-_LOCAL_LIMIT = 64
+_NAME_PART = r"[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+"
+#: Names with written-out dots, whole: each starts behind what is no character of a name.
+_DOTTED_NAME = re.compile(rf"(?<![A-Za-z0-9_%+.-]){_NAME_PART}(?:{_DOT}{_NAME_PART})+", re.IGNORECASE)
+_MARK_DOT = re.compile(_DOT, re.IGNORECASE)
+#: A name that is hardly a word of prose: letters first, then a dot, an underscore, a plus or a digit inside.
+_ADDRESS_NAME = re.compile(r"(?<![A-Za-z0-9_%+.-])[A-Za-z]++[0-9A-Za-z%-]*[0-9._+][A-Za-z0-9._%+-]*\Z")
+#: Ends of domains that count after a bare word or a spaced sign; two letters are a country's.
+_SUFFIX = re.compile(r"\.(?:com|org|net|edu|gov|mil|int|info|biz|name|app|dev|[a-z]{2})\Z", re.IGNORECASE)
+_NAME_CHARACTER = re.compile(r"[A-Za-z0-9_%+.-]")
+
+
+def _name_before(text: str, end: int, least: int) -> str:
+    """The characters of a name that end at ``end``, from ``least`` on."""
+    start = end
+    while start > least and _NAME_CHARACTER.match(text, start - 1):
+        start -= 1
+    return text[start:end]
+
+
+def _counts(at: str, name: str, domain: str, dotted: bool) -> bool:
+    """Whether an at of this form between a name and a domain makes an address; ``dotted``: a dot is written out, too."""
+    sign = at.strip()
+    if dotted or sign == at == "@" or not (sign == "@" or sign.isalpha()):
+        return True
+    return _SUFFIX.search(domain) is not None and (sign == "@" or _ADDRESS_NAME.search(name) is not None)
 
 
 def disguises(tape: Tape) -> Tape:
     """Written-out at and dot of mail addresses to the characters.
 
-    A bracketed form counts wherever a domain follows; the bare words " at " and " dot " only where
-    both stand, as in "name at host dot org".
+    A bracketed form counts wherever a domain follows.  The bare word " at " counts where " dot " stands, too, as in
+    "name at host dot org", or where the name looks like one of an address and the domain ends in a common way, as in
+    "first.last at host.org"; a sign between spaces where the domain ends in a common way.
     """
     text = tape.text
     if not _HINT.search(text):
         return tape
-    edits, done = [], 0
+    edits, done, names = [], 0, None
     for at in _ANY_AT.finditer(text):
         if at.start() < done or (tail := _TAIL.match(text, at.end())) is None:
             continue
         dots = list(_ANY_DOT.finditer(text, tail.start(2), tail.end(2)))
-        bare = at[0].strip().isalpha()
-        if bare and not dots:
+        name = "" if dots else _name_before(text, at.start(), done)
+        if not _counts(at[0], name, tail[0], bool(dots)):
             continue
-        if not bare and at[0] != at[0].strip() and at[0].strip() == "@" and not dots:
-            continue
-        before = text[max(done, at.start() - _LOCAL_LIMIT) : at.start()]
-        if (local := _LOCAL_DOT.search(before)) is not None:
-            base = at.start() - len(before)
-            edits += [(base + d.start(), base + d.end(), ".") for d in re.compile(_DOT, re.I).finditer(before, local.start())]
+        if names is None:
+            names = {m.end(): m.start() for m in _DOTTED_NAME.finditer(text)}
+        start = max(names.get(at.start(), at.start()), done)
+        edits += [(*d.span(), ".") for d in _MARK_DOT.finditer(text, start, at.start())]
         edits.append((*at.span(), "@"))
         edits += [(*d.span(), ".") for d in dots]
         done = tail.end()
@@ -241,18 +262,30 @@ def digit_dots(tape: Tape) -> Tape:
     return tape.rewritten([(*m.span(), ".") for m in _DIGIT_DOT.finditer(tape.text)])
 
 
-def find(text: str) -> tuple[list[Find], list[Find]]:
-    """The base finds, and all finds: the base and those that only the normalised text shows."""
+def _order(find: Find) -> tuple[int, int]:
+    return find[1], KINDS.index(find[0])
+
+
+def _found(text: str) -> tuple[list[Find], list[Find]]:
+    """The finds of the text as it is, and those of the normalised text, mapped back."""
     base = detect(text)
     tape = digit_dots(disguises(spelled_digits(characters(Tape.of(text)))))
     if tape.text == text:
-        return base, base
+        return base, []
+    return base, [(kind, *tape.source(start, end)) for kind, start, end in detect(tape.text)]
+
+
+def find(text: str) -> tuple[list[Find], list[Find]]:
+    """The base finds, and all finds: the base and those that only the normalised text shows.
+
+    Of the latter those that overlap a base find or an earlier one are left out.
+    """
+    base, normalised = _found(text)
     finds = list(base)
-    for kind, start, end in detect(tape.text):
-        a, b = tape.source(start, end)
+    for kind, a, b in normalised:
         if not any(a < f[2] and f[1] < b for f in finds):
             finds.append((kind, a, b))
-    return base, sorted(finds, key=lambda f: (f[1], KINDS.index(f[0])))
+    return base, sorted(finds, key=_order)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -279,9 +312,13 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str) -> str:
-    """The text with every find replaced by its kind in brackets; overlapping finds become one, named by the first."""
+    """The text with all that any find covers, of the text or of its normalised form, replaced by its kind in brackets.
+
+    Overlapping finds become one, named by the first.
+    """
     out, at = [], 0
-    for kind, start, end in find(text)[1]:
+    base, normalised = _found(text)
+    for kind, start, end in sorted(base + normalised, key=_order):
         if start >= at:
             out += [text[at:start], f"[{kind}]"]
         at = max(at, end)
