@@ -28,6 +28,8 @@ from cutline.llm.common import slices
 FIT_PAGES = 400
 #: Blocks of a page that one training example holds; scoring always reads whole pages.
 FIT_BLOCKS = 120
+#: Further levels of nesting that taught pages get, below this number.
+MORE_NESTED = 15
 HASHED, VECTOR, STATE, MEASURES = 2048, 16, 16, 8
 #: Pages labelled together, and blocks times pages at most.
 TOGETHER, CELLS = 256, 60_000
@@ -143,15 +145,15 @@ def _slot(name: str) -> int:
 
 
 def inputs(page: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """For every block: hashed path parts, hashed words, measures."""
+    """For every block: hashed parts of its whole path, hashed words of its whole text, measures."""
     total = sum(len(b.text) for b in page) or 1
     paths, words, measures = [], [], []
     before = 0
     for number, block in enumerate(page):
         text, n = block.text, len(block.text)
-        paths.append([_slot(f"path/{part}") for part in block.path[-12:]] + [_slot(f"leaf/{block.path[-1]}" if block.path else "leaf/")])
-        # Long texts repeat their words; the first of a kind says it all.
-        words.append([_slot(f"word/{w}") for w in dict.fromkeys(_WORD.findall(text.lower()))] if n < 400 else [_slot("word//long")])
+        # Paths and long texts repeat their parts; the first of a kind says it all.
+        paths.append([_slot(f"path/{part}") for part in dict.fromkeys(block.path)] + [_slot(f"leaf/{block.path[-1]}" if block.path else "leaf/")])
+        words.append([_slot(f"word/{w}") for w in dict.fromkeys(_WORD.findall(text.lower()))])
         stops = sum(map(text.count, ".!?,"))
         measures.append(
             [np.log1p(n) / 8, block.linked / n, min(stops / n * 20, 2), text[-1] in ".!?", number / len(page), before / total, n / total, text[:1].isupper()]
@@ -347,6 +349,8 @@ def redressed(page: list[Block], is_text: list[int], others: list[Block], senten
                 text = " ".join(pick(_REST_WORDS[kind]) for _ in range(int(rng.integers(1, 9)))).capitalize()
             else:
                 text = pick(others).text
+            if kind in ("comment", "advert", "sidebar", "notice", "footer") and rng.random() < 0.15:
+                text = " ".join(pick(sentences) for _ in range(8))
             linked = len(text) if kind == "menu" or (kind == "sidebar" and roll > 0.4) else 0
             out.append((Block(outer + dress, text, linked), 0))
         return out
@@ -372,6 +376,16 @@ def redressed(page: list[Block], is_text: list[int], others: list[Block], senten
     return [b for b, _ in out], [label for _, label in out]
 
 
+def nested(page: list[Block], rng: np.random.Generator) -> list[Block]:
+    """The page with further plain elements inside the path of each block, as many for each block of one path."""
+    depths: dict[tuple[str, ...], tuple[int, int]] = {}
+    out = []
+    for block in page:
+        at, more = depths.setdefault(block.path, (int(rng.integers(len(block.path) + 1)), int(rng.integers(MORE_NESTED))))
+        out.append(Block(block.path[:at] + ("div",) * more + block.path[at:], block.text, block.linked))
+    return out
+
+
 def train(pages: list[str], passes: int = 10, batch: int = 16, rate: float = 0.01, seed: int = 3) -> Network:
     """Fits the network on pages whose markup tells.  Without any the network stays as it began."""
     rng = np.random.default_rng(seed)
@@ -390,6 +404,7 @@ def train(pages: list[str], passes: int = 10, batch: int = 16, rate: float = 0.0
                 page, labels = known[i]
                 if rng.random() < 0.75:
                     page, labels = redressed(page, labels, others, sentences, rng)
+                    page = nested(page, rng) if rng.random() < 0.4 else page
                 start = int(rng.integers(max(1, len(page) - FIT_BLOCKS + 1)))
                 part = slice(start, start + FIT_BLOCKS)
                 examples.append((inputs(page[part]), np.array(labels[part], float)))

@@ -49,8 +49,12 @@ def test_gradients():
             assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(slope[at], rel=1e-3, abs=1e-7), name
 
 
-def test_held_out_pages_in_other_markup():
-    network = hb.train([PAGE.format(f"w{i}") for i in range(150)], passes=6)
+@pytest.fixture(scope="module")
+def network():
+    return hb.train([PAGE.format(f"w{i}") for i in range(150)], passes=8)
+
+
+def test_held_out_pages_in_other_markup(network):
     page = (
         "<body><div class=menu><a href=/>Start</a></div><div class='post content'><h2>A title</h2><p>Some text that says a lot, in words.</p>"
         "<p>More of it, in other words.</p></div><div id=comments><p>I liked this.</p></div><div class=footer>Imprint</div>"
@@ -60,6 +64,44 @@ def test_held_out_pages_in_other_markup():
     assert labels.tolist() == [False, True, True, True, False, False]
 
 
+def test_inputs_hold_whole_paths_and_the_words_of_long_blocks():
+    deep = "<aside>" + "<div class='c1'>" * 30 + "<p>" + "long words of one block, again. " * 40
+    (paths, words, _), (shallow, short, _) = hb.inputs(blocks(deep)), hb.inputs(blocks("<aside><div class=c1><p>again block long of one words"))
+    assert set(paths[0]) == set(shallow[0]) and set(words[0]) == set(short[0])
+
+
+@pytest.mark.parametrize("depth", [0, 14])
+@pytest.mark.parametrize("length", [100, 700])
+def test_long_and_deep_rest_is_left_out(network, depth, length):
+    said = "".join(f"I think that w{i} says a lot, in words. " for i in range(length))[:length]
+    rest = "".join(f"<{e}>{'<div>' * depth}<p>{said}</p>{'</div>' * depth}</{e.split()[0]}>" for e in ("section id=comments", "aside", "div class=ad"))
+    found = blocks(f"<body><article><h1>A title</h1><p>{said}</p></article>{rest}<footer>Imprint</footer>")
+    assert (network.label([hb.inputs(found)])[0] >= 0.5).tolist() == [True, True, False, False, False, False]
+
+
+def test_labels_are_those_of_a_block_by_block_recurrence(network):
+    """Every gate of every block computed one at a time, in pages of different lengths."""
+    pages = [hb.inputs(blocks(PAGE.format(x) * n)) for x, n in (("a", 1), ("b", 3))]
+    p = network.parameters
+    for (paths, words, measures), labels in zip(pages, network.label(pages)):
+        rows = [
+            np.concatenate([*(sum(p["vectors"][i] for i in bag) / len(bag) ** 0.5 for bag in (path, word)), m])
+            for path, word, m in zip(paths, words, measures)
+        ]
+        states = {}
+        for way, order in (("right", range(len(rows))), ("left", reversed(range(len(rows))))):
+            hidden = cell = np.zeros(hb.STATE)
+            for at in order:
+                gates = rows[at] @ p[f"in_{way}"] + hidden @ p[f"state_{way}"] + p[f"bias_{way}"]
+                into, forget, out = (1 / (1 + np.exp(-gates[k * hb.STATE : (k + 1) * hb.STATE])) for k in range(3))
+                cell = forget * cell + into * np.tanh(gates[3 * hb.STATE :])
+                hidden = out * np.tanh(cell)
+                states[way, at] = hidden
+        for at, label in enumerate(labels):
+            drive = np.concatenate([states["right", at], states["left", at]]) @ p["out"] + p["bias"][0]
+            assert label == pytest.approx(1 / (1 + np.exp(-drive)), abs=1e-9)
+
+
 def test_rows(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(i, "u", PAGE.format(i), "clash", 1) for i in range(40)] + [(50, None, None, None, None), (None, "u", "", "", 1), (1, "u", PAGE.format(1), "", 1)]
