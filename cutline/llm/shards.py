@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from cutline.llm.common import stored
 
-#: Blocks of each ordering.  More blocks mean smaller sort tasks and a longer table of counts.
-BLOCKS = 4096
+#: Rows of a block of an ordering, about, and the least number of blocks.  More blocks mean smaller sort tasks and a
+#: longer table of counts; results are the same.
+ROWS_A_BLOCK, LEAST_BLOCKS = 100_000, 4096
 
 
 def _fraction(text: Column) -> Column:
@@ -47,7 +48,7 @@ def _ranked(rows: DataFrame, strata: list[str], block: str, order: list[str], ra
     )
 
 
-def interleave(docs: DataFrame, shards: int, seed: str = "mixture", blocks: int = BLOCKS) -> DataFrame:
+def interleave(docs: DataFrame, shards: int, seed: str = "mixture", blocks: int | None = None) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, source) with its shard and its slot in the shard.
 
     Returns ``doc_id, size, text_crc32, source, shard, slot``.  Row counts of the shards differ by at
@@ -68,6 +69,8 @@ def interleave(docs: DataFrame, shards: int, seed: str = "mixture", blocks: int
         ),
         "shards",
     )
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, narrow.count() // ROWS_A_BLOCK)
     block = F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * blocks / F.lit(2**32))
     ranked = _ranked(
         narrow.withColumn("block", block), ["stratum"], "block", ["shuffle", "doc_id", "text_crc32", "size"], "rank", "rows"
