@@ -5,6 +5,9 @@ signed axis that it then lies nearest to.  A table's bucket joins several such h
 about one bucket for ``ROWS_A_BUCKET`` vectors, so buckets stay small however many vectors there are.  A query probes
 in every table the buckets whose axes it lies closest to, and the candidates are ranked by their exact distance.
 
+How many buckets are probed follows from measured recall, whatever the size of the table: a fixed number of queries is
+compared with all rows, and probes grow until their true neighbours lie in probed buckets (``effort``).
+
 Dense clusters would fill single buckets.  Where a bounded sample shows a bucket with far more than its share, the
 bucket has a table of its own: its vectors are hashed by what sets them apart from their mean.  Equal vectors
 are one class with up to ``k + 1`` of its ids, found before anything is hashed.  Queries that meet fewer than ``k``
@@ -25,8 +28,10 @@ from cutline.llm.common import stored
 
 TABLES = 14
 ROWS_A_BUCKET = 4
-#: A query probes PROBES * n ** PROBES_GROW of the n buckets of a table.
+#: A query probes effort * PROBES * n ** PROBES_GROW of the n buckets of a table.
 PROBES, PROBES_GROW = 18, 0.2
+#: The effort grows by steps until this share of the true neighbours of so many queries lies in probed buckets.
+RECALL, CHECKED, STEP = 0.93, 128, 1.5
 #: Vectors, chosen by a hash of their ids, that show which buckets are crowded; every vector is indexed.
 SAMPLE = 20_000
 #: A bucket with this many vectors of the sample has a table of its own, up to so many levels down.
@@ -109,23 +114,23 @@ class Table:
         return codes
 
     @property
-    def probes(self) -> int:
-        width = 2 * self.signs.shape[2]
-        n = width ** (len(self.signs) - 1) * 2 * self.axes
-        return min(n, round(PROBES * n**PROBES_GROW))
+    def size(self) -> int:
+        """The number of buckets."""
+        return (2 * self.signs.shape[2]) ** (len(self.signs) - 1) * 2 * self.axes
 
-    def probed(self, query: np.ndarray) -> np.ndarray:
+    def probed(self, query: np.ndarray, effort: float = 1) -> np.ndarray:
         """Codes of the buckets a query looks into, its own among them: those whose axes lose least together."""
+        probes = min(self.size, round(effort * PROBES * self.size**PROBES_GROW))
         lost, chosen = np.zeros(1), np.zeros(1, np.int64)
         for value in self._values(query[None]):
             sums = (lost[:, None] + (value.max() - value)).ravel()
-            best = np.argsort(sums, kind="stable")[: self.probes]
+            best = np.argsort(sums, kind="stable")[:probes]
             lost, chosen = sums[best], chosen[best // value.shape[1]] * value.shape[1] + best % value.shape[1]
         out = [self._code(np.array([b for b in chosen.tolist() if b not in self.inner], np.int64))]
         for bucket in chosen.tolist():
             if bucket in self.inner:
                 mean, below = self.inner[bucket]
-                out.append(below.probed(query - mean))
+                out.append(below.probed(query - mean, effort))
         return np.concatenate(out)
 
 
@@ -176,24 +181,59 @@ def _compared(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame | Non
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, against = shared.value
+            # The nearest of the task so far: only they leave it.
+            kept = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column("class").to_numpy()
-                order = np.argsort(own)
-                own, matrix = own[order], _matrix(batch.column("embedding"), against.shape[1])[order]
-                for id_, query in zip(ids.tolist(), against):
-                    score = np.sqrt(((matrix - query) ** 2).sum(1))
-                    best = np.argsort(score, kind="stable")[: k + 1]
-                    yield pa.record_batch(
-                        [pa.array([id_] * len(best), pa.int64()), pa.array(own[best]), pa.array(score[best])], ["query", "class", "score"]
-                    )
+                own, matrix = batch.column("class").to_numpy(), _matrix(batch.column("embedding"), against.shape[1])
+                for at, query in enumerate(against):
+                    classes = np.concatenate([kept[at][0], own])
+                    scores = np.concatenate([kept[at][1], np.sqrt(((matrix - query) ** 2).sum(1))])
+                    best = np.lexsort((classes, scores))[: k + 1]
+                    kept[at] = classes[best], scores[best]
+            for id_, (classes, scores) in zip(ids.tolist(), kept):
+                yield pa.record_batch([pa.array([id_] * len(classes), pa.int64()), pa.array(classes), pa.array(scores)], ["query", "class", "score"])
 
         found = _nearest(vectors.select("class", "embedding").mapInArrow(compare, "query bigint, class bigint, score double"), "query", k + 1, "class").drop("rank")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def effort(tables: list[Table], queries: np.ndarray, neighbours: list[np.ndarray]) -> float:
+    """The smallest effort at which RECALL of the true ``neighbours`` of ``queries`` lies in probed buckets.
+
+    As all candidates are ranked exactly, this share is the recall.  At last every bucket is probed.
+    """
+    codes = [[table.codes(near) for table in tables] for near in neighbours]
+    wanted, factor = RECALL * sum(map(len, neighbours)), 1.0
+    while True:
+        found = 0
+        for query, own in zip(queries, codes):
+            met = np.zeros(len(own[0]), bool)
+            for table, code in zip(tables, own):
+                met |= np.isin(code, table.probed(query, factor))
+            found += int(met.sum())
+        if found >= wanted or factor * PROBES >= max(table.size for table in tables):
+            return factor
+        factor *= STEP
+
+
+def _true_neighbours(queries: DataFrame, classes: DataFrame, k: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """CHECKED queries, chosen by a hash of their ids, and the vectors of the ``k`` nearest other classes of each."""
+    checked = stored(queries.orderBy(F.xxhash64("query"), "query").limit(CHECKED), "checked")
+    best = _compared(checked, classes, k)
+    if best is None:
+        return np.zeros((0, width)), []
+    pairs = best.where("query <> class").join(classes, "class").join(checked.select("query", F.col("embedding").alias("asked")), "query")
+    by_query: dict[int, list] = {}
+    for row in pairs.select("query", "asked", "embedding").collect():  # at most CHECKED * (k + 1) rows
+        by_query.setdefault(row["query"], []).append((row["asked"], row["embedding"]))
+    found = list(by_query.values())
+    as_rows = lambda rows: _matrix(pa.array(rows, pa.list_(pa.float64())), width)
+    return (as_rows([f[0][0] for f in found]) if found else np.zeros((0, width))), [as_rows([v for _, v in f]) for f in found]
+
+
 def search(vectors: DataFrame, query_step: int = 100, k: int = 10, tables: int = TABLES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found rows of every row whose vec_id is divisible by ``query_step``.
 
@@ -224,7 +264,9 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = 10, tables: int =
     rows = classes.count()
     width = 1 << (size - 1).bit_length()
     fitted = np.zeros((0, width)) if not lengths else _matrix(pa.array([v for v in sample if len(v) == size]), width)
-    shared = spark.sparkContext.broadcast([Table.fit(fitted, rows, number + 1) for number in range(tables)])
+    fitted_tables = [Table.fit(fitted, rows, number + 1) for number in range(tables)]
+    factor = effort(fitted_tables, *_true_neighbours(queries, classes, k, width))
+    shared = spark.sparkContext.broadcast(fitted_tables)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +279,7 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = 10, tables: int =
         for batch in batches:
             if batch.num_rows:
                 for id_, vector in zip(batch.column("query").to_pylist(), _matrix(batch.column("embedding"), width)):
-                    codes = np.concatenate([table.probed(vector) for table in shared.value]).view(np.int64)
+                    codes = np.concatenate([table.probed(vector, factor) for table in shared.value]).view(np.int64)
                     yield pa.record_batch([pa.array([id_] * len(codes), pa.int64()), pa.array(codes)], ["query", "code"])
 
     entries = classes.mapInArrow(index, "class bigint, code bigint")

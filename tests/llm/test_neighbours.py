@@ -68,3 +68,40 @@ def test_recall(spark):
     hits = sum(len({i for _, i in found[q]} & {i for _, i in best[q]}) for q in best)
     assert hits >= 0.9 * sum(map(len, best.values()))
     assert all(len(v) == 10 for v in found.values())
+
+
+def test_effort_grows_until_the_neighbours_are_met():
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(4000, 32))  # no structure: the hardest case for hashing
+    tables = [Table.fit(vectors, 4_000, number) for number in (1, 2, 3)]
+    queries = vectors[:20]
+    near = [vectors[np.argsort(((vectors - q) ** 2).sum(1))[1:11]] for q in queries]
+
+    def recall(factor):
+        met = [np.any([np.isin(t.codes(n), t.probed(q, factor)) for t in tables], axis=0) for q, n in zip(queries, near)]
+        return np.concatenate(met).mean()
+
+    chosen = neighbours.effort(tables, queries, near)
+    assert chosen > 1 and recall(1) < neighbours.RECALL <= recall(chosen)
+    assert recall(chosen / neighbours.STEP) < neighbours.RECALL
+    assert neighbours.effort(tables, queries[:0], []) == 1
+
+
+def test_recall_is_held_without_structure(spark):
+    vectors = np.random.default_rng(7).normal(size=(3000, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found, best = result(spark, rows, tables=3), brute(rows, 100, 10)
+    hits = sum(len({i for _, i in found[q]} & {i for _, i in best[q]}) for q in best)
+    assert hits >= 0.9 * sum(map(len, best.values()))
+
+
+def test_all_rows_are_compared_with_few_queries(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(vectors, "class long, embedding array<float>").repartition(3)
+    asked = df.where("class < 5").withColumnRenamed("class", "query")
+    found = {}
+    for r in neighbours._compared(asked, df, 9).collect():
+        found.setdefault(r["query"], []).append((r["score"], r["class"]))
+    for q, a in vectors[:5]:
+        assert sorted(found[q]) == sorted((float(np.sqrt(((np.array(a) - b) ** 2).sum())), i) for i, b in vectors)[:10]
