@@ -1,21 +1,24 @@
-"""A log-bilinear language model, trained with noise-contrastive estimation, and its scores.
+"""A log-bilinear language model in two levels, trained with noise-contrastive estimation, and its scores.
 
-A word is predicted from the two before it.  As no bounded table holds the vocabulary of a corpus, the
-model predicts a word's class, and the corpus's counts divide the class among its words:
+A word is predicted from the two before it: first its class, then the word within its class, both by log-bilinear models:
 
-    P(word | context) = P(class | context) * (count + 1) / (count of the class + its words + 1)
+    P(word | context) = P(class | classes of the two words before) * P(word | class, the word before)
 
 The most frequent words (and the end of a text) are classes of their own; every other word, seen or not,
 belongs to one of a fixed number of classes by a hash of its last characters, which carry much of its language
-and form.  One part of every hashed class is kept for unseen words, as in the add-one base score.
+and form.  Within a hashed class every word of the head (the most frequent words, as many as every task can hold) has a
+vector and a bias of its own; the class's other words are one further outcome, divided by their exact counts:
 
-``P(class | context)`` is the log-bilinear model: each context position has a matrix, the sum of the matrices
-applied to the vectors of the context's classes is multiplied with every class's output vector, a bias is added,
-and a softmax normalises.  Its training data is the count of every class trigram over all training texts: at most
-CLASSES ** 3 numbers, however large the corpus, so nothing of the corpus is left out and the driver holds a
-bounded table.  Noise-contrastive estimation tells trigrams from ones whose last class is drawn from the unigram
-distribution.  Afterwards batched matrix products normalise the model once for every possible context, and a token's
-log-probability is one entry of that table.
+    P(rare word | class, context) = P(rest | class, context) * (count + 1) / (count of the rest + its words + 1)
+
+so one part is kept for unseen words, as in the add-one base score.
+
+The first level's training data is the count of every class trigram over all training texts, at most CLASSES ** 3 numbers; it is
+trained on the driver and normalised once for every context by batched matrix products.  The second level's is the
+count of every (word before, word), gathered by Spark: the word before is one of CONTEXTS, the most
+frequent words as themselves.  Each class is trained by a task of its own on its counts, at most CONTEXTS numbers for each of its
+words, whatever the corpus; more text fills in more of them.  In both levels noise-contrastive estimation tells seen
+outcomes from ones drawn from the unigram distribution.
 
 Word counts stay distributed.  A bounded number of the most frequent words travels to every task; the
 rest of a text's words is joined with the table of counts.
@@ -26,8 +29,10 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,6 +45,12 @@ FOLDS, HELD_OUT = 7, 2
 CLASSES, OWN = 160, 79
 #: Most frequent words whose counts every task holds, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 50_000, 32
+#: Contexts of the second level: the end, OWN_CONTEXTS most frequent words, and hashed classes of all others.
+CONTEXTS, OWN_CONTEXTS = 2_048, 1_023
+#: Seen contexts get so many further words, drawn as the class's words are in all: little is learned from few.
+PRIOR = 10.0
+#: Pairs of one step of a task that counts them.
+PAIRS = 2_000_000
 #: Context positions before a text's first word hold this class, which is also the end's.
 END = 0
 
@@ -82,18 +93,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts of the frequent words and totals of all: what every task needs to know."""
+    """Counts of the frequent words and totals of all: what every task needs to know.
+
+    A token's code is its class, or CLASSES and more for a head word of a hashed class.
+    """
 
     counts: dict[bytes, int]
-    own: dict[bytes, int]
     texts: int
     total: int
     distinct: int
-    #: log10 of the denominator within each class.
+    #: By class: occurrences and kinds of the words outside the head, an unseen one among the kinds of a hashed class.
+    rest: np.ndarray
+    #: By code: its class, its context as the word before, and the log10 denominator of rare words.
+    kinds: np.ndarray
+    contexts: np.ndarray
     log_size: np.ndarray
 
-    def class_of(self, word: bytes) -> int:
-        return self.own.get(word) or hashed_class(word)
+    def codes(self) -> dict[bytes, int]:
+        return {word: at + 1 if at < OWN else CLASSES + at - OWN for at, word in enumerate(self.counts)}
 
 
 def vocabulary(counts: DataFrame, texts: int, head_words: int = HEAD_WORDS) -> Vocabulary:
@@ -101,39 +118,53 @@ def vocabulary(counts: DataFrame, texts: int, head_words: int = HEAD_WORDS) -> V
     head = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_words).toArrow()
     words = [bytes(w) for w in head.column("word").to_pylist()]
     frequent = dict(zip(words, head.column("c").to_pylist()))
-    own = {word: at + 1 for at, word in enumerate(words[:OWN])}
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((CLASSES, 2), np.int64)
         for batch in batches:
-            classes = [own.get(w) or hashed_class(w) for w in batch.column("word").to_pylist()]
-            np.add.at(sums[:, 0], classes, batch.column("c").to_numpy())
-            np.add.at(sums[:, 1], classes, 1)
+            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                # What is in the head is summed up in class 0, which no other word belongs to.
+                sums[0 if word in shared.value else hashed_class(word)] += (c, 1)
         yield pa.record_batch([pa.array(range(CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["k", "n", "v"])
 
     sums = counts.mapInArrow(by_class, "k int, n bigint, v bigint").groupBy("k").agg(F.sum("n"), F.sum("v")).collect()
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, in_class, kinds in sums:
-        n[k], v[k] = in_class, kinds
-    v[OWN + 1 :] += 1  # an unseen word
-    n[END], v[END] = texts, 1
-    log_size = np.log10(np.maximum(n + v, 1))
+    rest = np.zeros((CLASSES, 2))
+    for k, n, v in sums:
+        rest[k] = n, v
     # Texts end, so the end is a token and a kind of its own.
-    return Vocabulary(frequent, own, texts, int(n.sum()), int(sum(s[2] for s in sums)) + (texts > 0), log_size)
+    total, distinct = int(rest[:, 0].sum()) + texts, int(rest[:, 1].sum()) + (texts > 0)
+    rest[0] = 0
+    rest[OWN + 1 :, 1] += 1
+    inner = words[OWN:]
+    kinds = np.array([*range(CLASSES), *map(hashed_class, inner)], np.uint8)
+    log_size = np.zeros(len(kinds))
+    log_size[OWN + 1 : CLASSES] = np.log10(rest[OWN + 1 :].sum(1))
+    # Words before: the end and frequent words as themselves, rare ones by class, the rest of the head by its endings.
+    hashed = CLASSES - OWN - 1
+    contexts = np.arange(len(kinds))
+    contexts[OWN + 1 : CLASSES] += OWN_CONTEXTS - OWN
+    for at, word in enumerate(inner):
+        if at + OWN < OWN_CONTEXTS:
+            contexts[CLASSES + at] = at + OWN + 1
+        else:
+            free = CONTEXTS - OWN_CONTEXTS - 1 - hashed
+            contexts[CLASSES + at] = OWN_CONTEXTS + 1 + hashed + zlib.crc32(word.rstrip(b".,;:!?")[-4:]) % free
+    return Vocabulary(frequent, texts, total, distinct, rest, kinds, contexts.astype(np.int64), log_size)
 
 
 # --- reading texts
 
 _READ = (
     "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, log_sizes double, "
-    "classes binary, rest array<struct<word:binary,n:int>>"
+    "codes binary, rest array<struct<word:binary,n:int>>"
 )
 
 
 def read(docs: DataFrame, known: Vocabulary) -> DataFrame:
-    """Every text once, under a number of its own: its class sequence, sums over its frequent words, and its other words with their numbers.
+    """Every text once, under a number of its own: its codes (16 bits each), sums over its frequent words, and its other words with their numbers.
 
-    ``log_counts`` sums log10(count + 1), ``log_sizes`` the log10 denominators within the classes.
+    ``log_counts`` sums log10(count + 1), ``log_sizes`` the log10 denominators of rare words.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
@@ -141,7 +172,7 @@ def read(docs: DataFrame, known: Vocabulary) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         log_counts = {word: np.log10(c + 1) for word, c in known.counts.items()}
-        classes = {word: known.class_of(word) for word in known.counts}
+        codes = known.codes()
         end = np.log10(known.texts + 1)
         next_row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
@@ -158,32 +189,35 @@ def read(docs: DataFrame, known: Vocabulary) -> DataFrame:
                         kinds[word] = hashed_class(word)
                         rest.append({"word": word, "n": n})
                     else:
-                        kinds[word] = classes[word]
+                        kinds[word] = codes[word]
                         log_count += n * log
                         n_known += n
-                coded = bytes([*map(kinds.__getitem__, sequence), END])
-                sizes = float(known.log_size[np.frombuffer(coded, np.uint8)].sum())
-                rows.append((len(coded), n_known, float(log_count), sizes, coded, rest))
+                coded = np.fromiter(chain(map(kinds.__getitem__, sequence), (END,)), np.uint16, len(sequence) + 1)
+                rows.append((len(coded), n_known, float(log_count), float(known.log_size[coded].sum()), coded.tobytes(), rest))
             columns = list(zip(*rows))
             numbers = pa.array(range(next_row, next_row + len(rows)), pa.int64())
             next_row += len(rows)
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
             yield pa.record_batch(
                 [numbers, batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, t) for c, t in zip(columns, types)]],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_sizes", "classes", "rest"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_sizes", "codes", "rest"],
             )
 
     tagged = text_bytes(docs).withColumn("held_out", remainder(F.col("doc_id"), FOLDS) == HELD_OUT)
     return tagged.mapInArrow(scan, _READ)
 
 
-def trigrams(texts: DataFrame) -> np.ndarray:
-    """Counts of (class two before, class before, class) over all texts, as one flat array."""
+def coded(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint16)
+
+
+def trigrams(texts: DataFrame, kinds: np.ndarray) -> np.ndarray:
+    """Counts of (class two before, class before, class) over all texts, as one flat array; ``kinds``: class of each code."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CLASSES**3, np.int64)
-        for batch in slices(batches, "classes"):
-            keys = [trigram_keys(sequence) for sequence in batch.column("classes").to_pylist()]
+        for batch in slices(batches, "codes"):
+            keys = [trigram_keys(kinds[coded(c)].tobytes()) for c in batch.column("codes").to_pylist()]
             found, n = np.unique(np.concatenate(keys), return_counts=True)
             sums[found] += n
         found = np.flatnonzero(sums)
@@ -191,7 +225,7 @@ def trigrams(texts: DataFrame) -> np.ndarray:
             part = found[at : at + 100_000]
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(sums[part])], ["k", "n"])
 
-    summed = texts.select("classes").mapInArrow(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    summed = texts.select("codes").mapInArrow(count, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES**3, np.int64)
     out[summed.column("k").to_numpy()] = summed.column("n").to_numpy()
     return out
@@ -273,6 +307,143 @@ def train(
     return model
 
 
+def pair_counts(texts: DataFrame, known: Vocabulary) -> DataFrame:
+    """``kind, context, code, n``: how often a code of a hashed class (``kind``) follows a context, over all texts."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((known.kinds, known.contexts))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, contexts = shared.value
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            columns = [kinds[keys & 0xFFFF].astype(np.int32), (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32), n]
+            return pa.record_batch([pa.array(c) for c in columns], ["kind", "context", "code", "n"])
+
+        for batch in slices(batches, "codes"):
+            for text in batch.column("codes").to_pylist():
+                codes = coded(text)
+                inner = kinds[codes] > OWN
+                keys = (before(contexts, codes)[inner] << 16 | codes[inner]).astype(np.int32)
+                held.append(keys)
+                size += len(keys)
+            if size > PAIRS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    partial = texts.select("codes").mapInArrow(count, "kind int, context int, code int, n bigint")
+    return partial.groupBy("kind", "context", "code").agg(F.sum("n").alias("n"))
+
+
+def before(contexts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The context of every token of a text: what the code before it stands for, the end before the first."""
+    return np.concatenate([np.zeros(1, np.int64), contexts[codes[:-1]]])
+
+
+@dataclass
+class Within:
+    """The second level: context vectors of each hashed class with their log sums, and a vector and bias of each code."""
+
+    vectors: np.ndarray
+    log_sums: np.ndarray
+    outputs: np.ndarray
+    biases: np.ndarray
+
+    def log10(self, kinds: np.ndarray, contexts: np.ndarray, codes: np.ndarray, block: int = 200_000) -> float:
+        """log10 of the product of P(code | its class, the code before) over a text."""
+        held, ways, total = kinds[codes], before(contexts, codes), 0.0
+        inner = np.flatnonzero(held > OWN)
+        for at in range(0, len(inner), block):
+            part = inner[at : at + block]
+            kind, way, code = held[part].astype(np.int64) - OWN - 1, ways[part], codes[part]
+            scores = (self.vectors[kind, way] * self.outputs[code]).sum(1) + self.biases[code] - self.log_sums[kind, way]
+            total += float(scores.sum(dtype=np.float64))
+        return total / np.log(10)
+
+
+def train_class(
+    contexts: np.ndarray, words: np.ndarray, n: np.ndarray, share: np.ndarray,
+    width: int = 16, noise: int = 25, passes: int = 20, batch: int = 64, rate: float = 0.2, seed: int = 11,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the distinct ``contexts`` (in order), their log sums, and vectors and biases of the class's words.
+
+    ``n`` words (numbers below ``len(share)``) were seen after each context; ``share`` is their unigram distribution.
+    Noise-contrastive estimation with the noise by its expectation, by Adagrad steps over shuffled contexts.
+    """
+    rng = np.random.default_rng(seed)
+    order = np.lexsort((words, contexts))
+    words, n = words[order], n[order]
+    seen, starts = np.unique(contexts[order], return_index=True)
+    ends = np.append(starts[1:], len(words))
+    vectors = np.zeros((len(seen), width))
+    outputs, biases = rng.normal(0, 0.3, (len(share), width)), np.log(share)
+    squares = [np.full_like(p, 1e-6) for p in (vectors, outputs, biases)]
+    log_kq = np.log(noise * share)
+    scale = len(seen) / (n.sum() + PRIOR * len(seen)) / batch
+    for turn in range(passes):
+        shuffled = rng.permutation(len(seen))
+        for at in range(0, len(shuffled), batch):
+            rows = shuffled[at : at + batch]
+            weight = np.tile(PRIOR * share, (len(rows), 1))
+            for i, row in enumerate(rows):
+                weight[i, words[starts[row] : ends[row]]] += n[starts[row] : ends[row]]
+            weight *= scale
+            true = 1 / (1 + np.exp(log_kq - vectors[rows] @ outputs.T - biases))
+            error = weight * (1 - true) - weight.sum(1, keepdims=True) * noise * share * true
+            gradients = error @ outputs, error.T @ vectors[rows], error.sum(0)
+            step = rate / (1 + turn / 10)
+            squares[0][rows] += gradients[0] ** 2
+            vectors[rows] += step * gradients[0] / np.sqrt(squares[0][rows])
+            for parameter, square, gradient in zip((outputs, biases), squares[1:], gradients[1:]):
+                square += gradient**2
+                parameter += step * gradient / np.sqrt(square)
+    log_sums = np.zeros(len(seen))
+    for at in range(0, len(seen), batch):
+        log_sums[at : at + batch] = np.log(np.exp(vectors[at : at + batch] @ outputs.T + biases).sum(1))
+    return vectors, log_sums, outputs, biases
+
+
+def train_within(pairs: DataFrame, known: Vocabulary) -> Within:
+    """The second level out of ``pair_counts``; one task for each hashed class, whose parameters come to the driver."""
+    shared = pairs.sparkSession.sparkContext.broadcast((known.kinds, np.array([0, *known.counts.values()]), known.rest))
+
+    def members(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of a class, its rest first, and their unigram distribution."""
+        kinds, counts, rest = shared.value
+        inner = np.flatnonzero(kinds[CLASSES:] == kind)
+        share = np.array([rest[kind].sum(), *(counts[1 + OWN + inner] + 1)], np.float64)
+        return np.array([kind, *(CLASSES + inner)]), share / share.sum()
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        kind = int(group["kind"].iloc[0])
+        codes, share = members(kind)
+        contexts = group["context"].to_numpy()
+        words = np.searchsorted(codes, group["code"].to_numpy())
+        parts = train_class(contexts, words, group["n"].to_numpy(np.float64), share)
+        return pd.DataFrame([[kind, np.unique(contexts).astype(np.int32).tobytes(), *(p.astype(np.float32).tobytes() for p in parts)]], columns=names)
+
+    names = ["kind", "contexts", "vectors", "log_sums", "outputs", "biases"]
+    rows = pairs.groupBy("kind").applyInPandas(fit, "kind int, " + ", ".join(f"{n} binary" for n in names[1:])).collect()
+    hashed, width = CLASSES - OWN - 1, 16
+    model = Within(
+        np.zeros((hashed, CONTEXTS, width), np.float32), np.zeros((hashed, CONTEXTS), np.float32),
+        np.zeros((len(known.kinds), width), np.float32), np.zeros(len(known.kinds), np.float32),
+    )
+    for row in rows:
+        kind = row["kind"]
+        codes = np.array([kind, *(CLASSES + np.flatnonzero(known.kinds[CLASSES:] == kind))])
+        vectors, log_sums, outputs, biases = (np.frombuffer(row[name], np.float32) for name in names[2:])
+        seen = np.frombuffer(row["contexts"], np.int32)
+        model.outputs[codes], model.biases[codes] = outputs.reshape(-1, width), biases
+        model.vectors[kind - OWN - 1, seen] = vectors.reshape(-1, width)
+        model.log_sums[kind - OWN - 1] = np.log(np.exp(biases.astype(np.float64)).sum())  # contexts not seen
+        model.log_sums[kind - OWN - 1, seen] = log_sums
+    return model
+
+
 # --- scoring
 
 
@@ -289,19 +460,23 @@ def score(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(learn), "word-counts")
     known = vocabulary(counts, learn.count())
     texts = stored(read(docs, known), "texts")
-    shared = spark.sparkContext.broadcast(train(trigrams(texts.where(~F.col("held_out")))).table())
+    taught = texts.where(~F.col("held_out"))
+    within = train_within(pair_counts(taught, known), known)
+    shared = spark.sparkContext.broadcast((train(trigrams(taught, known.kinds)).table(), within, known.kinds, known.contexts))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in slices(batches, "classes"):
-            sums = [float(table[trigram_keys(s)].sum(dtype=np.float64)) for s in batch.column("classes").to_pylist()]
-            yield pa.record_batch(
-                [*batch.drop_columns(["classes"]).columns, pa.array(sums, pa.float64())],
-                [*batch.drop_columns(["classes"]).schema.names, "log_classes"],
-            )
+        table, within, kinds, contexts = shared.value
+        for batch in slices(batches, "codes"):
+            sums = []
+            for text in batch.column("codes").to_pylist():
+                codes = coded(text)
+                by_class = float(table[trigram_keys(kinds[codes].tobytes())].sum(dtype=np.float64))
+                sums.append(by_class + within.log10(kinds, contexts, codes))
+            narrow = batch.drop_columns(["codes"])
+            yield pa.record_batch([*narrow.columns, pa.array(sums, pa.float64())], [*narrow.schema.names, "log_model"])
 
     narrow = texts.drop("rest")
-    rated = narrow.mapInArrow(rate, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "classes") + ", log_classes double")
+    rated = narrow.mapInArrow(rate, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "codes") + ", log_model double")
     # The words that no task holds a count of, by text; words unseen in training add log10(0 + 1).
     rest = (
         texts.select("row", F.explode("rest").alias("r"))
@@ -318,5 +493,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(known.total).cast("long").alias("train_tokens"),
         (log_counts - F.col("n_tokens") * F.log10(F.lit(float(known.total + known.distinct + 1)))).alias("base_score"),
-        (F.col("log_classes") + log_counts - F.col("log_sizes")).alias("score"),
+        (F.col("log_model") + F.coalesce("rest_counts", F.lit(0.0)) - F.col("log_sizes")).alias("score"),
     )
