@@ -283,8 +283,8 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = 10, tables: int =
                     yield pa.record_batch([pa.array([id_] * len(codes), pa.int64()), pa.array(codes)], ["query", "code"])
 
     entries = classes.mapInArrow(index, "class bigint, code bigint")
-    # Few bytes, much work: queries are spread by number, not by size.
-    spread = queries.select("query", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query")
+    # Few bytes, much work: queries are spread by number, not by size; by a hash of their own, as the shuffle by their id is merged.
+    spread = queries.select("query", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("query"))
     probes = spread.mapInArrow(probe, "query bigint, code bigint")
     pairs = probes.join(entries, "code").select("query", "class").distinct()
     near = stored(_nearest(_distances(pairs, classes, queries), "query", k + 1, "class").drop("rank"), "near")
