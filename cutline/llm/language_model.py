@@ -375,34 +375,35 @@ def train_class(
     """
     rng = np.random.default_rng(seed)
     order = np.lexsort((words, contexts))
-    words, n = words[order], n[order]
+    # Single precision is far finer than what is learned.
+    words, n, share = words[order], n[order].astype(np.float32), share.astype(np.float32)
     seen, starts = np.unique(contexts[order], return_index=True)
     ends = np.append(starts[1:], len(words))
-    vectors = np.zeros((len(seen), width))
-    outputs, biases = rng.normal(0, 0.3, (len(share), width)), np.log(share)
+    vectors = np.zeros((len(seen), width), np.float32)
+    outputs, biases = rng.normal(0, 0.3, (len(share), width)).astype(np.float32), np.log(share)
     squares = [np.full_like(p, 1e-6) for p in (vectors, outputs, biases)]
     log_kq = np.log(noise * share)
-    scale = len(seen) / (n.sum() + PRIOR * len(seen)) / batch
+    scale = np.float32(len(seen) / (n.sum(dtype=np.float64) + PRIOR * len(seen)) / batch)
     for turn in range(passes):
         shuffled = rng.permutation(len(seen))
         for at in range(0, len(shuffled), batch):
             rows = shuffled[at : at + batch]
-            weight = np.tile(PRIOR * share, (len(rows), 1))
+            weight = np.tile(np.float32(PRIOR) * share, (len(rows), 1))
             for i, row in enumerate(rows):
                 weight[i, words[starts[row] : ends[row]]] += n[starts[row] : ends[row]]
             weight *= scale
             true = 1 / (1 + np.exp(log_kq - vectors[rows] @ outputs.T - biases))
             error = weight * (1 - true) - weight.sum(1, keepdims=True) * noise * share * true
             gradients = error @ outputs, error.T @ vectors[rows], error.sum(0)
-            step = rate / (1 + turn / 10)
+            step = np.float32(rate / (1 + turn / 10))
             squares[0][rows] += gradients[0] ** 2
             vectors[rows] += step * gradients[0] / np.sqrt(squares[0][rows])
             for parameter, square, gradient in zip((outputs, biases), squares[1:], gradients[1:]):
                 square += gradient**2
                 parameter += step * gradient / np.sqrt(square)
-    log_sums = np.zeros(len(seen))
+    log_sums = np.zeros(len(seen), np.float32)
     for at in range(0, len(seen), batch):
-        log_sums[at : at + batch] = np.log(np.exp(vectors[at : at + batch] @ outputs.T + biases).sum(1))
+        log_sums[at : at + batch] = np.log(np.exp(vectors[at : at + batch] @ outputs.T + biases).sum(1, dtype=np.float64))
     return vectors, log_sums, outputs, biases
 
 
