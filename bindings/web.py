@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindings.common import ENGLISH_FILE, GERMAN_FILE, MODEL, VARIANT, derive, entry_sql, flat_entries, table
+from bindings.common import ENGLISH_FILE, GERMAN_FILE, MODEL, VARIANT, derive, entry_sql, flat_entries, spread, table
 from cutline import fixed_values as fv
 from cutline.functions import html as H
 from cutline.functions.urls import resolve_url
@@ -144,7 +144,7 @@ _FEED = (
 
 
 def _pages(spark, sf, html: str, url: str = _URL) -> DataFrame:
-    return derive(table(spark, sf, "part"), url=url, html=html)
+    return derive(spread(table(spark, sf, "part")), url=url, html=html)
 
 
 def audi_entries(spark, sf):
@@ -156,7 +156,7 @@ def cupra_entries(spark, sf):
 
 
 def vw_entries(spark, sf):
-    return D.discover_vw(derive(table(spark, sf, "part"), url=_URL, json=_FEED))
+    return D.discover_vw(derive(spread(table(spark, sf, "part")), url=_URL, json=_FEED))
 
 
 def lamborghini_entries(spark, sf):

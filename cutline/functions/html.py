@@ -26,6 +26,8 @@ _RAW_TEXT = (
 # A tag or a quote that never ends takes the rest of the text, so no character is tried twice.
 _OPEN_END = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^'">]++)*+(?:>|\z)"""
 _TOKEN = rf"(?is){_RAW_TEXT}|<[a-z]{_OPEN_END}|[^<]++|<"
+# What every comment and element of raw or plain text begins with.
+_MAY_BE_RAW = r"(?i)\A<[!nst]"
 _IS_PLAIN_TEXT = r"(?is)\A<(?:title|textarea)[\s/>]"
 _IS_RAW_TEXT = rf"(?is)\A(?:{_RAW_TEXT})"
 _FREQUENT = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"))
@@ -96,7 +98,9 @@ def visible_markup(html: Column) -> Column:
     def plain(token: Column) -> Column:
         inside = F.concat(F.lit("<"), F.replace(F.substr(token, F.lit(2)), F.lit("<"), F.lit("&lt;")))
         text_only = F.regexp_replace(token, r"(?is)(?!\A)<(?!/(?:title|textarea)\b)", "&lt;")
-        return F.when(token.rlike(_IS_PLAIN_TEXT), text_only).when(token.rlike(_IS_RAW_TEXT), "").when(F.instr(F.substr(token, F.lit(2)), "<") > 0, inside).otherwise(token)
+        markup = F.when(F.instr(F.substr(token, F.lit(2)), "<") > 0, inside).otherwise(token)
+        special = F.when(token.rlike(_IS_PLAIN_TEXT), text_only).when(token.rlike(_IS_RAW_TEXT), "").otherwise(markup)
+        return F.when(token.rlike(_MAY_BE_RAW), special).otherwise(markup)
 
     tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
     return F.array_join(F.transform(tokens, plain), "")
@@ -132,9 +136,11 @@ def opening_tags(html: Column, element: str) -> Column:
 
 
 def pieces_from(markup: Column, start: str) -> Column:
-    """Cut markup before every match of ``start``; what stands before the first one is dropped."""
-    cut = F.split(markup, rf"(?is)(?={start})")
-    return F.filter(cut, lambda piece: piece.rlike(rf"(?is)\A{start}"))
+    """Cut markup before every match of ``start``, which begins with ``<``; what stands before the first one is dropped.
+
+    Extracting keeps its compiled pattern, ``split`` compiles it anew for every value.
+    """
+    return F.regexp_extract_all(markup, F.lit(rf"(?is)(?={start})<(?:[^<]++|(?!{start})<)*+"), F.lit(0))
 
 
 def _tag_with_class(css_class: str) -> str:
@@ -156,8 +162,9 @@ def _first_element(piece: Column) -> Column:
     """The leading element of a piece of markup without its closing tag, found by counting nested tags of its name."""
 
     def upto_close(name: Column) -> Column:
-        same = F.concat(F.lit(r"(?is)(?=</?\Q"), name, F.lit(r"\E[\s/>])"))
-        steps = F.filter(F.split(piece, same), lambda step: step.startswith("<"))
+        tag = F.concat(F.lit(r"</?\Q"), name, F.lit(r"\E[\s/>]"))
+        step = F.concat(F.lit("(?is)(?="), tag, F.lit(")<(?:[^<]++|(?!"), tag, F.lit(")<)*+"))
+        steps = F.regexp_extract_all(piece, step, F.lit(0))
         depth_step = F.transform(steps, lambda s: F.when(s.startswith("</"), -1).otherwise(1))
         start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("closed"))
 

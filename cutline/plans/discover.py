@@ -202,7 +202,8 @@ def discover_seat(overview: DataFrame, pages: DataFrame) -> DataFrame:
     model_pages = seat_model_pages(overview)
     landed = linked_only(pages, model_pages).withColumnRenamed("url", "page_url")
     links = with_absolute_url(extract_links(landed, with_text=False), base="page_url")
-    german = follow(model_pages, only_language(with_parsed_name(links, "download_url"), fv.GERMAN), url="page_url")
+    documents = only_language(with_parsed_name(links, "download_url"), fv.GERMAN)
+    german = follow(model_pages, documents.hint("merge"), url="page_url")
     model_entries = _entries(
         german, "Seat", F.col("page_url"), url_file_name(F.col("download_url")), F.col("page"), F.col("pos")
     )
@@ -227,7 +228,8 @@ def skoda_model_links(overview: DataFrame) -> DataFrame:
 def discover_skoda(overview: DataFrame, pages: DataFrame) -> DataFrame:
     """Files of every linked model page; the name comes from the link, the rest from the file title.
 
-    Each landed page is read once, however many links point to it; links then join its files.
+    Each landed page is read once, however many links point to it; links then join its files by shuffle, as Spark
+    takes rows extracted from pages for as few as the pages' bytes suggest.
     """
     links = skoda_model_links(overview)
     linked = linked_only(pages, links)
@@ -264,7 +266,7 @@ def discover_skoda(overview: DataFrame, pages: DataFrame) -> DataFrame:
         parse_confidence=F.when(no_year, "Unparsed").otherwise("Heuristic"),
     )
     return _entries(
-        files.join(links, "page_url"),
+        files.hint("merge").join(links, "page_url"),
         "Skoda",
         F.col("page_url"),
         F.coalesce("title", "model_name"),

@@ -5,6 +5,7 @@ import pytest
 
 from cutline import fixed_values as fv
 from cutline import schemas
+from cutline.functions import html as H
 from cutline.operators import links as L
 from cutline.plans import discover as D
 
@@ -251,3 +252,28 @@ def test_linked_only_keeps_every_linked_page(spark):
     assert {f"u{i}" for i in range(0, 3_000, 3)} <= kept and len(kept) < 1_020
     assert L.linked_only(pages, links.where("page_url = 'no'")).isEmpty()
     assert len({r["url"] for r in L.linked_only(pages, links, bits=64).collect()}) >= 1_000
+
+
+def test_pages_of_one_small_file_are_made_in_several_tasks(spark, tmp_path):
+    from bindings import common, web
+
+    parts = spark.range(9_000).selectExpr("id AS p_partkey", "concat('red gear ', id) AS p_name", "'BOX' AS p_type", "CAST(id % 50 AS INT) AS p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pages = web._pages(spark, str(tmp_path), web._FLAT_PAGE)
+    sizes = pages.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 3 and sum(sizes) == 9_000 and max(sizes) <= 1.5 * common.SPREAD_ROWS
+    assert sorted(r["url"] for r in pages.collect()) == sorted(f"https://site.example/p/{i}/list.html" for i in range(9_000))
+    assert common.spread(spark.range(0)).count() == 0
+
+
+@pytest.mark.parametrize("brand", ["Seat", "Skoda"])
+def test_second_hop_never_broadcasts_what_it_extracts(spark, brand):
+    pages = pages_of(spark, *[(f"https://x.example/{i}", "<a href='/m'>m</a>") for i in range(20)])
+    entries = getattr(D, f"discover_{brand.lower()}")(pages.where("url = 'https://x.example/1'"), pages)
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [page_url" in plan and "BroadcastHashJoin [page_url" not in plan
+
+
+def test_pieces_end_before_the_next_start(apply):
+    markup = "x<a href=1>1<b>2</b><A\nhref=2>é<ab><a/>\n<a"
+    assert apply(lambda c: H.pieces_from(c, H.ANCHOR), [markup, "", None, "<p>"]) == [["<a href=1>1<b>2</b>", "<A\nhref=2>é<ab>", "<a/>\n<a"], [], None, []]
