@@ -23,12 +23,12 @@ def derive(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
 
 
-def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
-    """``df`` dealt out so that a task gets about ``rows`` of its rows, however few files or row groups hold them.
+def spread(df: DataFrame, rows: int = SPREAD_ROWS, *keys: str) -> DataFrame:
+    """``df`` dealt out, by ``keys`` if there are any, so that a task gets about ``rows`` of its rows.
 
     For tables whose narrow rows become whole documents: by bytes, Spark would read millions of them in one task.
     """
-    return df.repartition(-(-df.count() // rows) or 1)
+    return df.repartition(-(-df.count() // rows) or 1, *keys)
 
 
 def sql_columns(columns: dict[str, str]) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.common import derive, sql_columns, table
+from bindings.common import derive, spread, sql_columns, table
 from bindings.matching import CARD, HIGH, MEDIUM, MIN_STOCK, _CARDS_SQL, _MATCH_CTE, cards as plain_cards, flagship
 from cutline import fixed_values as fv
 from cutline import schemas
@@ -353,11 +353,17 @@ SIDECAR_FILE = (
 )
 
 
+#: Sidecar files that one task writes.
+SIDECAR_ROWS = 500
+
+
 def sidecars(spark, sf):
     """One JSON file per supplier card, every tenth one broken: good and corrupt files counted."""
     root = scratch_path(spark, "sidecars")
     files = table(spark, sf, "supplier").selectExpr("s_suppkey AS folder", f"{SIDECAR_FILE} AS value")
-    files.write.partitionBy("folder").option("compression", "none").text(f"{root}/raw")
+    # Each task moves its own files in place; the default has the driver move all of them, one after the other.
+    writer = spread(files, SIDECAR_ROWS, "folder").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("folder").option("compression", "none").text(f"{root}/raw")
     # Spark names its text files .txt; the scan takes any name ending in .json or .txt here.
     cards, corrupt = CS.read_card_sidecars(spark, f"{root}/raw", "*.txt")
     return cards.select("id", "brand", "model_name", "status", F.lit(False).alias("corrupt")).unionByName(

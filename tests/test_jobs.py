@@ -1,6 +1,8 @@
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,3 +331,19 @@ def test_missing_model_pages(spark):
     pages = spark.createDataFrame([(fv.PAGE_URLS["Seat"], overview)], schemas.PAGES)
     found = missing_model_pages(Landed(pages, None)).collect()
     assert len(found) == 1 and found[0]["brand"] == "Seat"
+
+
+def test_sidecar_files_are_written_by_several_tasks(spark, tmp_path):
+    from bindings import tables
+
+    suppliers = spark.range(1_200).selectExpr("id AS s_suppkey", "concat('n', id) AS s_name")
+    twice = suppliers.where("s_suppkey = 2")  # two rows of a key share a file, which then is their first card
+    suppliers.unionByName(twice).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*shared.glob("sidecars-*")}
+    got = tables.sidecars(spark, str(tmp_path)).collect()
+    (made,) = {*shared.glob("sidecars-*")} - before
+    files = list(made.glob("raw/folder=*/part-*.txt"))
+    assert len(files) == 1_200 and len({f.name.split("-")[1] for f in files}) == 3
+    assert sorted(r["id"] for r in got) == sorted(f"s{i}" for i in range(1_200))
+    assert sum(r["corrupt"] for r in got) == sum(i % 10 == 0 or i % 7 == 1 for i in range(1_200))
