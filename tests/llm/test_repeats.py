@@ -86,3 +86,18 @@ def test_shared_passages_with_and_without_crowds(spark, monkeypatch, crowd):
     rows = corpus(1)
     found = removed(spark.createDataFrame(rows, "doc_id long, text string"))
     assert digests(found) == brute([(i, t.encode()) for i, t in rows])
+
+
+def test_an_index_takes_little_memory():
+    import tracemalloc
+
+    copies = [random_bytes(i, 584) for i in range(5)] * 40
+    segments = copies + [random_bytes(100 + i, 584) for i in range(300)]
+    tracemalloc.start()
+    try:
+        marks = repeats.marked(segments)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(m.all() for m in marks[:200]) and not any(m.any() for m in marks[200:])
+    assert peak < 70 * sum(map(len, segments))
