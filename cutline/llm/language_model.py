@@ -318,8 +318,9 @@ def pair_counts(texts: DataFrame, known: Vocabulary) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            columns = [kinds[keys & 0xFFFF].astype(np.int32), (keys >> 16).astype(np.int32), (keys & 0xFFFF).astype(np.int32), n]
-            return pa.record_batch([pa.array(c) for c in columns], ["kind", "context", "code", "n"])
+            # Class, context and code travel as one number.
+            packed = kinds[keys & 0xFFFF].astype(np.int64) << 32 | keys
+            return pa.record_batch([pa.array(packed), pa.array(n.astype(np.int64))], ["pair", "n"])
 
         for batch in slices(batches, "codes"):
             for text in batch.column("codes").to_pylist():
@@ -334,8 +335,14 @@ def pair_counts(texts: DataFrame, known: Vocabulary) -> DataFrame:
         if size:
             yield flush()
 
-    partial = texts.select("codes").mapInArrow(count, "kind int, context int, code int, n bigint")
-    return partial.groupBy("kind", "context", "code").agg(F.sum("n").alias("n"))
+    summed = texts.select("codes").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    low = F.col("pair").bitwiseAND(0xFFFFFFFF)
+    return summed.select(
+        F.shiftright("pair", 32).cast("int").alias("kind"),
+        F.shiftright(low, 16).cast("int").alias("context"),
+        low.bitwiseAND(0xFFFF).cast("int").alias("code"),
+        "n",
+    )
 
 
 def before(contexts: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -421,13 +428,14 @@ def train_within(pairs: DataFrame, known: Vocabulary) -> Within:
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         kind = int(group["kind"].iloc[0])
         codes, share = members(kind)
-        contexts = group["context"].to_numpy()
-        words = np.searchsorted(codes, group["code"].to_numpy())
+        contexts = group["pair"].to_numpy() >> 16
+        words = np.searchsorted(codes, group["pair"].to_numpy() & 0xFFFF)
         parts = train_class(contexts, words, group["n"].to_numpy(np.float64), share)
         return pd.DataFrame([[kind, np.unique(contexts).astype(np.int32).tobytes(), *(p.astype(np.float32).tobytes() for p in parts)]], columns=names)
 
     names = ["kind", "contexts", "vectors", "log_sums", "outputs", "biases"]
-    rows = pairs.groupBy("kind").applyInPandas(fit, "kind int, " + ", ".join(f"{n} binary" for n in names[1:])).collect()
+    packed = pairs.select("kind", F.shiftleft("context", 16).bitwiseOR(F.col("code")).alias("pair"), "n")
+    rows = packed.groupBy("kind").applyInPandas(fit, "kind int, " + ", ".join(f"{n} binary" for n in names[1:])).collect()
     hashed, width = CLASSES - OWN - 1, 16
     model = Within(
         np.zeros((hashed, CONTEXTS, width), np.float32), np.zeros((hashed, CONTEXTS), np.float32),
@@ -460,7 +468,7 @@ def score(docs: DataFrame) -> DataFrame:
     learn = docs.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
     counts = stored(word_counts(learn), "word-counts")
     known = vocabulary(counts, learn.count())
-    texts = stored(read(docs, known), "texts")
+    texts = stored(read(docs, known), "texts", codec="zstd")
     taught = texts.where(~F.col("held_out"))
     within = train_within(pair_counts(taught, known), known)
     shared = spark.sparkContext.broadcast((train(trigrams(taught, known.kinds)).table(), within, known.kinds, known.contexts))

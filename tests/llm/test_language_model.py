@@ -143,3 +143,15 @@ def test_no_rows(no_docs, spark):
     scored = lm.score(one.selectExpr(f"{held}L AS doc_id", "text", "classes")).collect()
     assert scored[0]["held_out"] and scored[0]["n_known"] == 0 and scored[0]["train_tokens"] == 0
     assert math.isfinite(scored[0]["score"])
+
+
+def test_pairs_travel_as_one_number_and_texts_are_packed(docs):
+    from pathlib import Path
+
+    from cutline.llm.common import stored
+
+    known = lm.vocabulary(stored(lm.word_counts(docs), "word-counts"), 2)
+    plan = lm.pair_counts(lm.read(docs, known), known)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pair" in plan
+    (path,) = {Path(f).parent for f in stored(docs, "packed", codec="zstd").inputFiles()}
+    assert [*Path(str(path).removeprefix("file:")).glob("*.zstd.parquet")]
