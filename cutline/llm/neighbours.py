@@ -38,6 +38,10 @@ SAMPLE = 20_000
 CROWD, LEVELS = 100, 4
 #: Queries compared with all rows at a time, where the tables find too few candidates.
 QUERY_BLOCK = 1_000
+#: Rows that a task which measures distances holds before it drops those that cannot be among the nearest.
+HELD_ROWS = 250_000
+#: Queries whose vectors hold more numbers than this together (some 32 MB) meet their candidates by shuffle.
+SHARED_NUMBERS = 8_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,19 +152,45 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite & nonzero)
 
 
-def _distances(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, class, score`` of the pairs (query, class)."""
+def _best(queries: np.ndarray, classes: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``n`` rows of each query, by score and class."""
+    order = np.lexsort((classes, scores, queries))
+    queries = queries[order]
+    starts = np.flatnonzero(np.r_[True, queries[1:] != queries[:-1]])[: len(queries)]
+    place = np.arange(len(queries)) - np.repeat(starts, np.diff(np.r_[starts, len(queries)]))
+    first = order[place < n]
+    return queries[place < n], classes[first], scores[first]
+
+
+def _distances(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, n: int, numbers: int) -> DataFrame:
+    """``query, class, score`` of the pairs (query, class), at least those among the ``n`` nearest of a query.
+
+    ``numbers`` are the numbers that all vectors of ``queries`` hold: if they are few, every executor gets them, and pairs
+    need not travel with a vector in hand.  Of the rows of a task only those leave it that it has not seen beaten.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        rows = 0
         for batch in batches:
             if batch.num_rows:
                 a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in ("a", "b"))
                 square = ((a - b) ** 2).reshape(batch.num_rows, -1).sum(1)
-                yield pa.record_batch([*batch.columns[:2], pa.array(np.sqrt(square))], ["query", "class", "score"])
-
-    both = pairs.join(vectors.select("class", F.col("embedding").alias("a")), "class").join(
-        queries.select("query", F.col("embedding").alias("b")), "query"
-    )
+                # Copies, as views would keep the vectors of the batch.
+                held.append((*(batch.column(c).to_numpy().copy() for c in ("query", "class")), np.sqrt(square)))
+                rows += batch.num_rows
+                if rows >= HELD_ROWS:
+                    held = [_best(*map(np.concatenate, zip(*held)), n)]
+                    rows = len(held[0][0])
+                    if rows > HELD_ROWS // 2:
+                        yield pa.record_batch([*map(pa.array, held[0])], ["query", "class", "score"])
+                        held, rows = [], 0
+        if held:
+            yield pa.record_batch([*map(pa.array, _best(*map(np.concatenate, zip(*held)), n))], ["query", "class", "score"])
+
+    asked = queries.select("query", F.col("embedding").alias("b"))
+    asked = F.broadcast(asked) if numbers <= SHARED_NUMBERS else asked.hint("merge")
+    both = pairs.join(vectors.select("class", F.col("embedding").alias("a")), "class").join(asked, "query")
     return both.select("query", "class", "a", "b").mapInArrow(measure, "query bigint, class bigint, score double")
 
 
@@ -286,8 +316,9 @@ def search(vectors: DataFrame, query_step: int = 100, k: int = 10, tables: int =
     # Few bytes, much work: queries are spread by number, not by size; by a hash of their own, as the shuffle by their id is merged.
     spread = queries.select("query", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("query"))
     probes = spread.mapInArrow(probe, "query bigint, code bigint")
-    pairs = probes.join(entries, "code").select("query", "class").distinct()
-    near = stored(_nearest(_distances(pairs, classes, queries), "query", k + 1, "class").drop("rank"), "near")
+    # Spark takes probes for as few bytes as the queries they come from, and would broadcast them all.
+    pairs = probes.hint("merge").join(entries, "code").select("query", "class").distinct()
+    near = stored(_nearest(_distances(pairs, classes, queries, k + 1, queries.count() * size), "query", k + 1, "class").drop("rank"), "near")
     found = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     few = queries.join(found, "query", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, rows))
     rest = _compared(few, classes, k)

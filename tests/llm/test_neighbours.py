@@ -1,6 +1,7 @@
 import numpy as np
 
 from cutline.llm import neighbours
+from cutline.llm.common import stored
 from cutline.llm.neighbours import Table, rotated, search
 
 SCHEMA = "vec_id long, embedding array<float>, score double, query long, code long"
@@ -105,3 +106,38 @@ def test_all_rows_are_compared_with_few_queries(spark):
         found.setdefault(r["query"], []).append((r["score"], r["class"]))
     for q, a in vectors[:5]:
         assert sorted(found[q]) == sorted((float(np.sqrt(((np.array(a) - b) ** 2).sum())), i) for i, b in vectors)[:10]
+
+
+def test_the_best_rows_of_each_query_are_kept():
+    rng = np.random.default_rng(9)
+    queries, classes, scores = rng.integers(0, 5, 100), rng.permutation(100), rng.integers(0, 6, 100).astype(float)
+    kept = neighbours._best(queries, classes, scores, 3)
+    rows = [(q, s, c) for q, c, s in zip(queries.tolist(), classes.tolist(), scores.tolist())]
+    assert [(q, s, c) for q, c, s in zip(*(x.tolist() for x in kept))] == [r for q in range(5) for r in sorted(x for x in rows if x[0] == q)[:3]]
+    assert [len(x) for x in neighbours._best(queries[:0], classes[:0], scores[:0], 3)] == [0, 0, 0]
+
+
+def test_nearest_pairs_are_the_same_however_they_are_measured(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    vectors = spark.createDataFrame([(i, rng.integers(0, 3, 4).astype(float).tolist()) for i in range(60)], "class long, embedding array<float>")
+    asked = vectors.where("class < 7").withColumnRenamed("class", "query")
+    pairs = asked.select("query").crossJoin(vectors.select("class")).repartition(3)
+
+    def nearest(numbers):
+        return neighbours._nearest(neighbours._distances(pairs, vectors, asked, 5, numbers), "query", 5, "class").collect()
+
+    best = sorted(neighbours._compared(asked, vectors, 4).collect())
+    assert sorted(r[:3] for r in nearest(28)) == best
+    monkeypatch.setattr(neighbours, "HELD_ROWS", 10)
+    assert sorted(r[:3] for r in nearest(28)) == best
+    assert sorted(r[:3] for r in nearest(neighbours.SHARED_NUMBERS + 1)) == best
+
+
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(neighbours, "stored", lambda df, name, *a: plans.append((name, df._jdf.queryExecution().toString())) or stored(df, name, *a))
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(300)]
+    result(spark, rows, tables=2)
+    optimized = dict(plans)["near"].split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    joins = [line for line in optimized.splitlines() if "Join Inner, (code#" in line]
+    assert joins and all("merge" in line for line in joins)
