@@ -79,8 +79,7 @@ def import_cards(spark: SparkSession, tree_root: str, cards_root: str, names: st
     Of files with one id the last by path counts.  Unreadable files and files without an id or a brand are left out
     and are the details, ``(file, content)``. Exit code 1: there were such files. The result counts both kinds.
     """
-    cards, corrupt = read_card_sidecars(spark, tree_root, names, position="file")
-    cards = checkpointed(cards)
+    cards, corrupt = read_card_sidecars(spark, tree_root, names, position="file")  # stored
     nameless = cards.where(F.col("id").isNull() | F.col("brand").isNull())
     left_out = checkpointed(corrupt.unionByName(nameless.select("file", F.lit(None).cast("string").alias("content"))))
     incoming = cards.where(F.col("id").isNotNull() & F.col("brand").isNotNull())

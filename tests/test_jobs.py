@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from bindings import chain
+from bindings.common import spread
 from cutline import fixed_values as fv
 from cutline import schemas
 from cutline.operators import match
